@@ -1,0 +1 @@
+"""Spindle streaming."""
