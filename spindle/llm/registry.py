@@ -3,10 +3,12 @@
 from spindle.llm.decontaminate import OP8_SQL, op8_decontamination
 from spindle.llm.language import op5_language
 from spindle.llm.quality import op1_quality
+from spindle.llm.repeats import OP2_SQL, op2_suffix_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op5_language": op5_language,
     "op8_decontamination": op8_decontamination,
 }
-ORACLE = {"op8_decontamination": OP8_SQL}
+ORACLE = {"op2_suffix_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
