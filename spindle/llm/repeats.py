@@ -97,7 +97,9 @@ def _fingerprint(m: np.ndarray, parts: int) -> np.ndarray:
 
 def _bins(part: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, from, to) of a sorted array."""
-    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    if not len(part):
+        return []
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     return [(int(part[a]), int(a), int(b)) for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True)]
 
 
