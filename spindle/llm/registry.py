@@ -1,14 +1,18 @@
 """Queries of the corpus operators, and their DuckDB SQL where SQL can express them."""
 
+from spindle.llm.bpe import op3_bpe
 from spindle.llm.decontaminate import OP8_SQL, op8_decontamination
 from spindle.llm.language import op5_language
+from spindle.llm.minhash import OP7_SQL, op7_minhash
 from spindle.llm.quality import op1_quality
 from spindle.llm.repeats import OP2_SQL, op2_suffix_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_bpe": op3_bpe,
     "op5_language": op5_language,
+    "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
 }
-ORACLE = {"op2_suffix_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
+ORACLE = {"op2_suffix_dedup": OP2_SQL, "op7_minhash": OP7_SQL, "op8_decontamination": OP8_SQL}
