@@ -8,12 +8,14 @@ from spindle.llm.language import op5_language
 from spindle.llm.minhash import OP7_SQL, op7_minhash
 from spindle.llm.quality import op1_quality
 from spindle.llm.repeats import OP2_SQL, op2_suffix_dedup
+from spindle.llm.unigram import op4_token_counts
 from spindle.llm.urls import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe": op3_bpe,
+    "op4_token_counts": op4_token_counts,
     "op5_language": op5_language,
     "op6_url_filter": op6_url_filter,
     "op7_minhash": op7_minhash,
