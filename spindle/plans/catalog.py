@@ -1,4 +1,523 @@
-"""Registered queries of the library's own operators: QUERIES by name, ORACLE with the same name's DuckDB SQL."""
+"""Registered queries of the library's own operators: QUERIES by name, ORACLE with the same name's DuckDB SQL.
+
+Waveforms stand in from the table embeddings and trajectories from events (see sources/driver_tables.py). Sums are
+rounded to 6 places on both sides, as engines add in different orders.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spindle.functions.hashing import draw, sample_id, stable_int, stable_seed
+from spindle.operators import baselines, contract, eda, features, metadata, sampling, sensitivity, tensors, validation, windows
+from spindle.schemas import CHANNEL_FEATURES, CHANNELS, CONTEXT_MINUTES, HORIZON_RATIOS, SPECTRAL_FEATURES, TIME_FEATURES, TRAJECTORY
+from spindle.sources.driver_tables import trajectories, waves
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c) -> Column:
+    """Rounded to 6 places, without minus zero; NaN stays."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 6) + 0.0
+
+
+# ---------------------------------------------------------------- shared SQL
+
+WAVES = """
+w0 as (select vec_id, (vec_id // 2) % 15 b, vec_id // 30 + 1 measurement_index, embedding::double[] x from embeddings),
+waves as (select vec_id, 'XJTU-SY' dataset_name, 'condition_' || (b // 5 + 1) experiment_id, 'Bearing' || (b // 5 + 1) || '_' || (b % 5 + 1) bearing_id,
+  measurement_index, (measurement_index - 1) * 60.0::double elapsed_time_sec, case when vec_id % 2 = 0 then 'horizontal' else 'vertical' end channel_id, x, len(x) n from w0)
+"""
+SPLIT = "case when experiment_id = 'condition_3' then 'test' when bearing_id in ('Bearing1_5', 'Bearing2_5') then 'validation' else 'train' end"
+STATS = f"""
+cells as (select vec_id, unnest(x) v from waves),
+st0 as (select vec_id, avg(v) mean, stddev_pop(v) std, sqrt(avg(v * v)) rms, max(abs(v)) peak_abs, max(v) - min(v) peak_to_peak from cells group by 1),
+st1 as (select vec_id, avg(pow(v - mean, 4)) m4 from cells join st0 using (vec_id) group by 1),
+stats as (select vec_id, mean, std, rms, peak_abs, peak_to_peak, case when std > 0 then m4 / pow(std, 4) else 'nan'::double end kurtosis, case when rms > 0 then peak_abs / rms else 'nan'::double end crest_factor from st0 join st1 using (vec_id))
+"""
+SPECTRA = """
+win as (select i, 0.5 - 0.5 * cos(2 * pi() * i / 63) h from range(64) t(i)),
+wsum as (select sum(h) s from win),
+sig as (select vec_id, i, (x[i + 1] - list_avg(x)) * h v from waves, win),
+dft as (select vec_id, k, sum(v * cos(2 * pi() * k * i / 64)) re, sum(v * sin(2 * pi() * k * i / 64)) im from sig, range(33) t(k) group by 1, 2),
+mags as (select vec_id, k, sqrt(re * re + im * im) / s * case when k in (0, 32) then 1 else 2 end m from dft, wsum),
+tot as (select vec_id, sum(m * m) total from mags group by 1),
+spec as (select vec_id, arg_max(k * 400.0::double, m) filter (where k > 0) dominant_frequency_hz, max(m) filter (where k > 0) dominant_amplitude, any_value(total) total_spectral_power,
+  -sum(case when m > 0 then m * m / total * ln(m * m / total) else 0 end) / ln(33) spectral_entropy,
+  coalesce(sum(m * m) filter (where k * 400 < 1000), 0) band_power_0_1000_hz, coalesce(sum(m * m) filter (where k * 400 >= 1000 and k * 400 < 5000), 0) band_power_1000_5000_hz,
+  coalesce(sum(m * m) filter (where k * 400 >= 5000 and k * 400 < 10000), 0) band_power_5000_10000_hz, coalesce(sum(m * m) filter (where k * 400 >= 10000), 0) band_power_10000_12800_hz
+  from mags join tot using (vec_id) group by 1)
+"""
+FEATS = f"with {WAVES}, {STATS}, {SPECTRA}, feats as (select waves.*, {SPLIT} split, stats.* exclude (vec_id), spec.* exclude (vec_id) from waves join stats using (vec_id) join spec using (vec_id))"
+LONG = FEATS + ", long as (select dataset_name, experiment_id, bearing_id, measurement_index, elapsed_time_sec, split, channel_id, feature name, value from (unpivot feats on " + ", ".join(CHANNEL_FEATURES) + " into name feature value value)), " \
+    "scaler as (select name, coalesce(avg(value) filter (where split = 'train' and isfinite(value)), 0) mu, case when coalesce(stddev_pop(value) filter (where split = 'train' and isfinite(value)), 0) > 0 then stddev_pop(value) filter (where split = 'train' and isfinite(value)) else 1 end sd from long group by 1)," \
+    "snaps as (select distinct dataset_name, experiment_id, bearing_id, measurement_index, elapsed_time_sec, split from waves join (select distinct experiment_id e, bearing_id b, split from feats) s on s.e = experiment_id and s.b = bearing_id)," \
+    "names as (select c.channel_id, s.name, c.channel_id || '__' || s.name feature from (values ('horizontal'), ('vertical')) c(channel_id), scaler s)," \
+    "raw as (select snaps.*, feature, names.name, coalesce(value, 'nan'::double) value from snaps, names left join long l on l.experiment_id = snaps.experiment_id and l.bearing_id = snaps.bearing_id and l.measurement_index = snaps.measurement_index and l.channel_id = names.channel_id and l.name = names.name)"
+TRAJ = """
+t0 as (select user_id, event_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) measurement_index from events),
+traj as (select *, (measurement_index - 1) * 60.0::double elapsed_time_sec from t0 where event_id % 7 <> 0)
+"""
+#: Pools of the last 20 records within 1800 s, both ends counting, on distinct snapshots.
+SNAPS = f"with {WAVES}, snaps as (select distinct dataset_name, experiment_id, bearing_id, measurement_index, elapsed_time_sec, {SPLIT} split from waves)"
+POOL = ", pool0 as (select a.experiment_id, a.bearing_id, a.split, a.measurement_index, a.elapsed_time_sec, p.measurement_index i, p.elapsed_time_sec t, row_number() over (partition by a.experiment_id, a.bearing_id, a.measurement_index order by p.measurement_index desc) back, max(a.elapsed_time_sec) over (partition by a.experiment_id, a.bearing_id) last from snaps a join snaps p using (experiment_id, bearing_id) where p.elapsed_time_sec between a.elapsed_time_sec - 1800 and a.elapsed_time_sec), " \
+    "anchors as (select experiment_id, bearing_id, any_value(split) split, measurement_index, any_value(elapsed_time_sec) elapsed_time_sec, count(*) n from pool0 where back <= 20 group by experiment_id, bearing_id, measurement_index having count(*) >= 10 and any_value(elapsed_time_sec) < any_value(last))"
+
+
+def H(*parts: str) -> str:
+    """SQL of a 52-bit draw."""
+    return f"('0x' || substr(sha256(concat_ws('|', {', '.join(parts)})), 1, 13))::bigint"
+
+
+def LE(*parts: str) -> str:
+    """SQL of the stable seed: 8 bytes, least significant first, without the sign bit."""
+    h = f"sha256(concat_ws('|', {', '.join(parts)}))"
+    byte = lambda i: f"('0x' || substr({h}, {2 * i + 1}, 2))::hugeint * {256**i}"
+    return f"(({' + '.join(byte(i) for i in range(8))}) % 9223372036854775808)::bigint"
+
+
+# ---------------------------------------------------------------- signals and features
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.observation_features(waves(spark, sf_dir))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _features(spark, sf_dir)
+    return features.snapshots(f, features.fit_scaler(f))
+
+
+KEY = ["experiment_id", "bearing_id", "measurement_index", "channel_id"]
+
+
+@query(f"with {WAVES}, {STATS} select experiment_id, bearing_id, measurement_index, channel_id, " + ", ".join(f"round({c}, 6) + 0.0 {c}" for c in TIME_FEATURES) + " from waves join stats using (vec_id)")
+def wave_time_stats(spark, sf_dir):
+    from spindle.functions.signal import time_features
+
+    return waves(spark, sf_dir).select(*KEY, *[r6(v).alias(k) for k, v in time_features(F.col("vibration_signal")).items()])
+
+
+@query(f"with {WAVES}, {SPECTRA} select experiment_id, bearing_id, measurement_index, channel_id, " + ", ".join(f"round({c}, 6) + 0.0 {c}" for c in SPECTRAL_FEATURES) + " from waves join spec using (vec_id)")
+def wave_spectrum_scalars(spark, sf_dir):
+    from spindle.functions.signal import spectral_features
+
+    w = waves(spark, sf_dir).withColumn("s", spectral_features("vibration_signal", "sampling_rate_hz"))
+    return w.select(*KEY, *[r6(F.col(f"s.{c}")).alias(c) for c in SPECTRAL_FEATURES])
+
+
+@query(f"with {WAVES}, {STATS} select bearing_id, channel_id, count(*) n, round(avg(rms), 6) mean_rms, round(max(peak_abs), 6) max_peak from waves join stats using (vec_id) group by 1, 2")
+def bearing_rms(spark, sf_dir):
+    from spindle.functions.signal import time_features
+
+    w = waves(spark, sf_dir).withColumns({k: v for k, v in time_features(F.col("vibration_signal")).items() if k in ("rms", "peak_abs")})
+    return w.groupBy("bearing_id", "channel_id").agg(F.count("*").alias("n"), F.round(F.avg("rms"), 6).alias("mean_rms"), F.round(F.max("peak_abs"), 6).alias("max_peak"))
+
+
+@query(SNAPS + " select s.split, count(snaps.split) n_rows from (values ('train'), ('validation'), ('test')) s(split) left join snaps using (split) group by 1")
+def split_counts(spark, sf_dir):
+    return features.split_counts(waves(spark, sf_dir).select(*TRAJECTORY, "measurement_index").distinct().withColumn("split", features.split_of()))
+
+
+@query(LONG + " select name, round(mu, 6) + 0.0 mean, round(sd, 6) + 0.0 scale from scaler")
+def scaler_fit(spark, sf_dir):
+    one = features.fit_scaler(_features(spark, sf_dir))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r6(f"mean_{n}").alias("mean"), r6(f"scale_{n}").alias("scale")) for n in CHANNEL_FEATURES]))
+    return one.select(rows.alias("r")).select("r.*")
+
+
+@query(LONG + " select experiment_id, bearing_id, measurement_index, split, feature, round(value, 6) + 0.0 raw, round(case when isfinite(value) then (value - mu) / sd else 0 end, 3) + 0.0 scaled, isfinite(value) valid from raw join scaler using (name)")
+def snapshot_features_long(spark, sf_dir):
+    s = _snapshots(spark, sf_dir)
+    names = F.array(*[F.lit(f"{c}__{n}") for c in CHANNELS for n in CHANNEL_FEATURES])
+    z = F.explode(F.arrays_zip(names.alias("feature"), F.col("raw_double").alias("raw"), F.col("feature_vector").alias("z"), F.col("feature_valid_mask").alias("valid")))
+    return s.select("experiment_id", "bearing_id", "measurement_index", "split", z.alias("r")).select("experiment_id", "bearing_id", "measurement_index", "split", "r.feature", r6("r.raw").alias("raw"), (F.round(F.col("r.z").cast("double"), 3) + 0.0).alias("scaled"), "r.valid")
+
+
+QUALITY = LONG + """, fin as (select *, case when isfinite(value) then value end x from raw),
+ref as (select feature, coalesce(median(x) filter (where split = 'train'), 0) med, count(x) filter (where split = 'train') reference_count from fin group by 1),
+mads as (select feature, coalesce(median(abs(x - med)) filter (where split = 'train'), 0) mad from fin join ref using (feature) group by 1),
+q as (select feature, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) iqr from fin group by 1),
+o as (select fin.feature, value, x, case when x is null then false when mad > 0 then 0.6745 * abs(x - med) / mad > 7 else iqr > 0 and abs(x - med) > 1.5 * iqr end outlier from fin join ref using (feature) join mads using (feature) join q using (feature)),
+quality as (select feature, count(x) finite_count, count(*) filter (where isnan(value)) nan_count, count(*) filter (where isinf(value)) inf_count, coalesce(max(x) - min(x) <= 1e-12, false) constant, count(*) filter (where outlier) outlier_count, any_value(reference_count) reference_count from o join ref using (feature) group by 1)"""
+
+
+@query(QUALITY + " select *, round(case when finite_count > 0 then outlier_count / finite_count else 0 end, 6) outlier_rate from quality")
+def feature_quality(spark, sf_dir):
+    q = features.feature_quality(features.long_form(_snapshots(spark, sf_dir)))
+    return q.withColumn("outlier_rate", F.round("outlier_rate", 6))
+
+
+CORR = QUALITY + """, pairs as (select a.feature feature_a, b.feature feature_b, corr(a.value, b.value) r from raw a join raw b using (experiment_id, bearing_id, measurement_index)
+ where isfinite(a.value) and isfinite(b.value) and (a.feature < b.feature) group by 1, 2 having count(*) >= 2 and max(a.value) - min(a.value) > 1e-12 and max(b.value) - min(b.value) > 1e-12),
+high as (select feature_a, feature_b, r from pairs where abs(r) >= {limit})"""
+
+
+@query(CORR.format(limit=0.9) + " select feature_a, feature_b, round(r, 6) correlation, round(abs(r), 6) absolute_correlation from high")
+def high_correlations(spark, sf_dir):
+    h = features.high_correlations(_snapshots(spark, sf_dir), 0.9)
+    return h.select(F.least("feature_a", "feature_b").alias("feature_a"), F.greatest("feature_a", "feature_b").alias("feature_b"), F.round("correlation", 6).alias("correlation"), F.round("absolute_correlation", 6).alias("absolute_correlation"))
+
+
+@query(CORR.format(limit=0.99) + ", c as (select (select count(*) from snaps) snapshot_rows, 0::bigint normalized_nonfinite_total, (select sum(nan_count) from quality)::bigint raw_nan_total, (select sum(inf_count) from quality)::bigint raw_inf_total, (select sum(outlier_count) from quality)::bigint outlier_total, (select count(*) from quality where constant) constant_feature_count, (select count(*) from high) high_correlation_pair_count)"
+       " select *, case when outlier_total + constant_feature_count + high_correlation_pair_count > 0 then 'pass_with_warnings' else 'pass' end status from c")
+def quality_summary(spark, sf_dir):
+    s = _snapshots(spark, sf_dir)
+    return features.quality_summary(s, features.feature_quality(features.long_form(s)), features.high_correlations(s))
+
+
+# ---------------------------------------------------------------- lifecycle anchors and spectra
+
+ANCHORS = """, ord as (select *, row_number() over (partition by experiment_id, bearing_id order by measurement_index) - 1 pos, count(*) over (partition by experiment_id, bearing_id) n from (select distinct experiment_id, bearing_id, measurement_index from snaps)),
+anc as (select o.experiment_id, o.bearing_id, step, o.measurement_index from ord o join (select distinct experiment_id, bearing_id, n, step from ord, range(11) t(step)) s on s.experiment_id = o.experiment_id and s.bearing_id = o.bearing_id and o.pos = floor(step / 10.0 * (s.n - 1) + 0.5))"""
+
+
+@query(SNAPS + ANCHORS + f", {SPECTRA} select w.experiment_id, w.bearing_id, w.channel_id, step / 10.0::double fraction, w.measurement_index, round(dominant_frequency_hz, 6) dominant_frequency_hz, round(dominant_amplitude, 5) dominant_amplitude, 33 n_bins from anc join waves w using (experiment_id, bearing_id, measurement_index) join spec using (vec_id)")
+def fft_anchor_rows(spark, sf_dir):
+    f = eda.fft_rows(waves(spark, sf_dir))
+    return f.select("experiment_id", "bearing_id", "channel_id", "fraction", "measurement_index", F.round("dominant_frequency_hz", 6).alias("dominant_frequency_hz"), F.round("dominant_amplitude", 5).alias("dominant_amplitude"), F.size("magnitudes").alias("n_bins"))
+
+
+@query(SNAPS + ANCHORS + " select experiment_id, bearing_id, sum(c - 1)::bigint duplicate_anchors from (select experiment_id, bearing_id, measurement_index, count(*) c from anc group by all) group by 1, 2")
+def anchor_duplicates(spark, sf_dir):
+    a = windows.lifecycle_anchors(waves(spark, sf_dir), TRAJECTORY)
+    return windows.duplicate_anchors(a, TRAJECTORY).drop("dataset_name")
+
+
+@query(SNAPS + ANCHORS + f""", {SPECTRA}, rows as (select w.vec_id, channel_id, step / 10.0::double fraction from anc join waves w using (experiment_id, bearing_id, measurement_index)),
+g as (select p, p * 12800.0 / 511 f, least(floor(p * 12800.0 / 511 / 400), 31)::int k from range(512) t(p)),
+ip as (select r.channel_id, r.fraction, g.p, a.m::float + (b.m::float - a.m::float)::double * (g.f - g.k * 400) / 400 m from rows r, g join mags a on a.vec_id = r.vec_id and a.k = g.k join mags b on b.vec_id = r.vec_id and b.k = g.k + 1)
+select channel_id, fraction, p::int point, round(20 * log10(median(m) + 1e-12), 3) median_db from ip group by 1, 2, 3""")
+def median_spectrum_db(spark, sf_dir):
+    return eda.median_spectrum_db(eda.fft_rows(waves(spark, sf_dir))).withColumn("median_db", F.round("median_db", 3))
+
+
+GEOMETRY = {"n": 8.0, "d": 7.92, "D": 34.55, "angle": 0.0}
+
+
+@query("with c(experiment_id, rpm) as (values ('condition_1', 2100.0::double), ('condition_2', 2250.0), ('condition_3', 2400.0)), g as (select *, rpm / 60 s, 7.92 / 34.55::double r from c) "
+       "select experiment_id, round(s, 6) shaft_hz, round(4 * s * (1 - r), 6) bpfo_hz, round(4 * s * (1 + r), 6) bpfi_hz, round(34.55 / 15.84 * s * (1 - r * r), 6) bsf_hz, round(s / 2 * (1 - r), 6) ftf_hz, 'configured' geometry_status from g")
+def bearing_frequencies(spark, sf_dir):
+    f = eda.bearing_frequencies(metadata.condition_rows(spark), GEOMETRY)
+    return f.select("experiment_id", *[F.round(c, 6).alias(c) for c in ("shaft_hz", "bpfo_hz", "bpfi_hz", "bsf_hz", "ftf_hz")], "geometry_status")
+
+
+@query(f"with {WAVES}, {STATS} select bearing_id, channel_id, round(elapsed_time_sec / 60, 6) as minutes, round(rms, 6) rms, round(std, 6) std, round(peak_abs, 6) peak_abs, round(kurtosis, 6) kurtosis, round(crest_factor, 6) crest_factor from waves join stats using (vec_id)")
+def lifecycle_series(spark, sf_dir):
+    w = waves(spark, sf_dir)
+    meta = w.select(*TRAJECTORY).distinct().withColumns({"reported_lifetime_min": F.lit(None).cast("double"), "fault_elements": F.array().cast("array<string>")})
+    s = eda.lifecycle_series(eda.time_summary(w, meta))
+    return s.select("bearing_id", "channel_id", *[F.round(c, 6).alias(c) for c in ("minutes", "rms", "std", "peak_abs", "kurtosis", "crest_factor")])
+
+
+# ---------------------------------------------------------------- trajectories
+
+@query(f"with {TRAJ}, b as (select user_id, max(measurement_index) hi from traj group by 1) select user_id, i missing_index from (select user_id, unnest(range(1, hi + 1)) i from b) x where not exists (select 1 from traj t where t.user_id = x.user_id and t.measurement_index = x.i)")
+def gap_report(spark, sf_dir):
+    return windows.missing_indices(trajectories(spark, sf_dir), ["user_id"])
+
+
+@query("with d as (select user_id, event_type, floor(value / 10)::bigint measurement_index, event_id from events), c as (select *, count(*) over (partition by user_id, event_type, measurement_index) copies from d) select user_id, event_type, measurement_index, event_id, copies from c where copies > 1")
+def duplicate_measurements(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", F.floor(F.col("value") / 10).alias("measurement_index"), "event_id")
+    w = Window.partitionBy("user_id", "event_type", "measurement_index")
+    return e.withColumn("copies", F.count("*").over(w)).where("copies > 1")
+
+
+@query(f"with {TRAJ} select user_id, count(*) parsed_measurement_count, min(measurement_index) first_measurement_index, max(measurement_index) last_measurement_index from traj where event_type <> 'purchase' group by 1")
+def trajectory_bounds(spark, sf_dir):
+    t = trajectories(spark, sf_dir)
+    m = t.select(F.lit("e").alias("experiment_id"), F.col("user_id").cast("string").alias("bearing_id"), "measurement_index", F.when(F.col("event_type") == "purchase", "error").otherwise("ok").alias("parse_status"))
+    b = metadata.bounds(m)
+    return b.select(F.col("bearing_id").cast("long").alias("user_id"), "parsed_measurement_count", "first_measurement_index", "last_measurement_index")
+
+
+@query(f"with {TRAJ}, c as (select distinct user_id from traj where user_id % 5 <> 1 union select 1000000 + user_id from traj where user_id % 5 = 2), m as (select distinct user_id from traj) select user_id, 'missing' side from m where user_id not in (select user_id from c) union all select user_id, 'extra' from c where user_id not in (select user_id from m)")
+def key_reconciliation(spark, sf_dir):
+    t = trajectories(spark, sf_dir).select("user_id").distinct()
+    cfg = t.where("user_id % 5 <> 1").union(t.where("user_id % 5 = 2").select((F.col("user_id") + 1000000).alias("user_id")))
+    k = lambda d: d.select(F.lit("e").alias("experiment_id"), F.col("user_id").cast("string").alias("bearing_id"))
+    return metadata.key_differences(k(cfg), k(t)).select(F.col("bearing_id").cast("long").alias("user_id"), "side")
+
+
+@query(f"with {TRAJ}, e as (select user_id, case when event_id % 50 = 1 then measurement_index - 3 else measurement_index end measurement_index, elapsed_time_sec, event_id from traj), l as (select *, lag(measurement_index) over w bi, lag(elapsed_time_sec) over w bt from e window w as (partition by user_id order by elapsed_time_sec, measurement_index)) select user_id, measurement_index, elapsed_time_sec, bi before_index from l where bi >= measurement_index or bt >= elapsed_time_sec")
+def chronology_violations(spark, sf_dir):
+    t = trajectories(spark, sf_dir).withColumn("measurement_index", F.when(F.col("event_id") % 50 == 1, F.col("measurement_index") - 3).otherwise(F.col("measurement_index")))
+    return windows.chronology_violations(t, ["user_id"]).select("user_id", "measurement_index", "elapsed_time_sec", "before_index")
+
+
+@query(SNAPS + POOL + " select experiment_id, bearing_id, split, measurement_index, n pool_size from anchors")
+def eligible_anchors(spark, sf_dir):
+    s = waves(spark, sf_dir).select(*TRAJECTORY, "measurement_index", "elapsed_time_sec").distinct().withColumn("split", features.split_of())
+    return windows.eligible(windows.pools(s, TRAJECTORY, carry=["split"])).select("experiment_id", "bearing_id", "split", "measurement_index", F.size("pool").cast("long").alias("pool_size"))
+
+
+@query(f"with {TRAJ}, p as (select a.user_id, a.measurement_index, b.measurement_index i, row_number() over (partition by a.user_id, a.measurement_index order by b.measurement_index desc) k from traj a join traj b on a.user_id = b.user_id and b.elapsed_time_sec between a.elapsed_time_sec - 1800 and a.elapsed_time_sec) select user_id, measurement_index, count(*) n, string_agg(i::varchar, ',' order by i) members from p where k <= 20 group by 1, 2")
+def context_pool(spark, sf_dir):
+    p = windows.pools(trajectories(spark, sf_dir), ["user_id"])
+    return p.select("user_id", "measurement_index", F.size("pool").cast("long").alias("n"), F.array_join(F.transform("pool.i", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(f"with {TRAJ} select a.user_id, a.measurement_index, count(*) n, min(b.measurement_index) first_future, max(b.measurement_index) last_future from traj a join traj b on a.user_id = b.user_id and b.elapsed_time_sec > a.elapsed_time_sec and b.elapsed_time_sec <= a.elapsed_time_sec + 900 group by 1, 2")
+def future_pool(spark, sf_dir):
+    t = trajectories(spark, sf_dir).select("user_id", "measurement_index", "elapsed_time_sec")
+    f = windows.future_pairs(t, t, ["user_id"], 900.0)
+    return f.groupBy("user_id", "measurement_index").agg(F.count("*").alias("n"), F.min("future_index").alias("first_future"), F.max("future_index").alias("last_future"))
+
+
+# ---------------------------------------------------------------- sampling
+
+@query(f"with {TRAJ}, h as (select user_id, measurement_index, {H('7', chr(39) + 'anchor' + chr(39), 'measurement_index')} h from traj), r as (select *, row_number() over (partition by user_id order by h, measurement_index) k from h) select user_id, measurement_index from r where k <= 3")
+def sample_anchors(spark, sf_dir):
+    return sampling.choose_anchors(trajectories(spark, sf_dir), ["user_id"], 3, F.lit("7")).select("user_id", "measurement_index")
+
+
+CTX = f"""with {TRAJ}, p0 as (select a.user_id, a.measurement_index m, b.measurement_index i, row_number() over (partition by a.user_id, a.measurement_index order by b.measurement_index desc) back from traj a join traj b on a.user_id = b.user_id and b.elapsed_time_sec between a.elapsed_time_sec - 1800 and a.elapsed_time_sec),
+p1 as (select *, count(*) over (partition by user_id, m) n, concat_ws('|', user_id, m) seed from p0 where back <= 20),
+p2 as (select *, 10 + {H('seed', chr(39) + 'k' + chr(39))} % (least(20, n) - 10 + 1) k, row_number() over (partition by user_id, m, back <= 2 order by {H('seed', chr(39) + 'context' + chr(39), 'i')}) rk from p1 where n >= 10),
+ctx as (select user_id, m, i, seed from p2 where back <= 2 or rk <= k - 2)"""
+
+
+def _context(spark, sf_dir):
+    p = windows.pools(trajectories(spark, sf_dir), ["user_id"]).where(F.size("pool") >= 10)
+    seed = F.concat_ws("|", F.col("user_id").cast("string"), F.col("measurement_index").cast("string"))
+    return p.withColumn("seed", seed).withColumn("context", sampling.choose_context(F.col("pool"), 10, 20, F.col("seed")))
+
+
+@query(CTX + " select user_id, m measurement_index, count(*) k, string_agg(i::varchar, ',' order by i) members from ctx group by 1, 2")
+def sample_context(spark, sf_dir):
+    return _context(spark, sf_dir).select("user_id", "measurement_index", F.size("context").cast("long").alias("k"), F.array_join(F.transform("context.i", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(CTX + f" select user_id, m measurement_index, count(*) k, count(*) filter (where i = m or {H('seed', chr(39) + 'sparse' + chr(39), 'i')} / 4503599627370496.0 < 0.1) observed from ctx group by 1, 2")
+def sparse_mask(spark, sf_dir):
+    c = _context(spark, sf_dir)
+    mask = sampling.observed(F.col("context.i"), F.col("measurement_index"), 0.1, F.col("seed"))
+    return c.select("user_id", "measurement_index", F.size("context").cast("long").alias("k"), F.size(F.filter(mask, lambda x: x)).cast("long").alias("observed"))
+
+
+SEEDS = SNAPS + POOL + f""", s1 as (select *, {LE("'11'", "'-1'", "'XJTU-SY'", 'experiment_id', 'bearing_id')} tseed from anchors where split = 'train'),
+s2 as (select *, row_number() over (partition by experiment_id, bearing_id order by {H('tseed', "'anchor'", 'measurement_index')}, measurement_index) ra from s1),
+s3 as (select *, {LE('tseed', 'measurement_index', "'main'", "'dense'", "'False'")} sampling_seed from s2 where ra <= 3),
+s4 as (select *, substr(sha256(concat_ws('|', 'XJTU-SY', experiment_id, bearing_id, measurement_index, sampling_seed, 'None', 'main', 'dense', 'False')), 1, 24) sample_id from s3)"""
+
+
+def _manifest(spark, sf_dir, split="train", **kw):
+    s = waves(spark, sf_dir).groupBy(*TRAJECTORY, "measurement_index", "elapsed_time_sec").agg(*[F.max(F.col("channel_id") == c).alias(f"{c}_present") for c in CHANNELS]).withColumn("split", features.split_of())
+    return sampling.sample_manifest(s, split=split, seed=11, anchors_per_trajectory=3, **kw)
+
+
+@query(SEEDS + " select experiment_id, bearing_id, measurement_index anchor_measurement_index, sampling_seed, sample_id from s4")
+def sample_ids(spark, sf_dir):
+    return _manifest(spark, sf_dir).select("experiment_id", "bearing_id", "anchor_measurement_index", "sampling_seed", "sample_id")
+
+
+MANIFEST = SEEDS + f""", c0 as (select s4.*, p.i, p.back, 10 + {H('sampling_seed', "'k'")} % (least(20, n) - 10 + 1) k from s4 join pool0 p using (experiment_id, bearing_id, measurement_index) where p.back <= 20),
+c1 as (select *, row_number() over (partition by sample_id, back <= 2 order by {H('sampling_seed', "'context'", 'i')}) rk from c0),
+c2 as (select sample_id, count(*) context_count_k, string_agg(i::varchar, ',' order by i) context from c1 where back <= 2 or rk <= k - 2 group by 1),
+f0 as (select s4.sample_id, s4.sampling_seed, f.measurement_index i, count(*) over (partition by s4.sample_id) nf from s4 join snaps f using (experiment_id, bearing_id) where f.elapsed_time_sec > s4.elapsed_time_sec),
+f1 as (select *, row_number() over (partition by sample_id order by {H('sampling_seed', "'future'", 'i')}, i) rf, 1 + {H('sampling_seed', "'q'")} % least(8, nf) q from f0),
+f2 as (select sample_id, count(*) future_query_count_q, string_agg(i::varchar, ',' order by i) future from f1 where rf <= q group by 1)"""
+
+
+@query(MANIFEST + " select sample_id, split, context_count_k, context, future_query_count_q, future from s4 join c2 using (sample_id) join f2 using (sample_id)")
+def sample_manifest(spark, sf_dir):
+    j = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return _manifest(spark, sf_dir).select("sample_id", "split", "context_count_k", j("context_measurement_indices").alias("context"), "future_query_count_q", j("future_query_measurement_indices").alias("future"))
+
+
+@query(MANIFEST + " select count(*) samples, count(distinct bearing_id) trajectories, min(context_count_k) min_context_count_k, max(context_count_k) max_context_count_k, min(future_query_count_q) min_future_query_count_q, max(future_query_count_q) max_future_query_count_q from s4 join c2 using (sample_id) join f2 using (sample_id)")
+def sampler_summary(spark, sf_dir):
+    return sampling.sampler_summary(_manifest(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- contract and audit
+
+def _broken(spark, sf_dir):
+    """A manifest with faults put in by a fixed rule on the first hex digit of sample_id."""
+    m = _manifest(spark, sf_dir)
+    d = F.conv(F.substring("sample_id", 1, 1), 16, 10).cast("int")
+    return m.withColumns({
+        "split": F.when(d == 1, "holdout").otherwise(F.col("split")), "context_count_k": F.when(d.isin(2, 3), F.col("context_count_k") + 1).otherwise(F.col("context_count_k")),
+        "future_query_measurement_indices": F.when(d.isin(4, 5, 6), F.array_insert("future_query_measurement_indices", 1, F.col("anchor_measurement_index"))).otherwise(F.col("future_query_measurement_indices")),
+        "anchor_elapsed_time_sec": F.when(d.isin(7, 8, 9), F.col("anchor_elapsed_time_sec") + 1).otherwise(F.col("anchor_elapsed_time_sec")),
+        "sampling_seed": F.when(d >= 14, F.lit(-1)).otherwise(F.col("sampling_seed")),
+    })
+
+
+BROKEN = SEEDS + ", b as (select sample_id, ('0x' || substr(sample_id, 1, 1))::int d from s4)"
+
+
+@query(BROKEN + ", r(lo, hi, rule) as (values (1, 1, 'split'), (2, 3, 'k_matches'), (4, 6, 'q_matches'), (4, 6, 'overlap'), (14, 15, 'seed')) select sample_id, rule from b join r on d between lo and hi")
+def manifest_violations(spark, sf_dir):
+    return contract.contract_violations(_broken(spark, sf_dir))
+
+
+def _snapshot_stub(spark, sf_dir):
+    """Snapshots with the vectors left out: what an audit of references needs."""
+    return waves(spark, sf_dir).select(*TRAJECTORY, "measurement_index", "elapsed_time_sec").distinct().withColumn("split", features.split_of())
+
+
+@query(BROKEN + ", r(lo, hi, code) as (values (1, 1, 'anchor_split_mismatch'), (4, 6, 'context_future_overlap'), (4, 6, 'future_before_anchor'), (7, 9, 'anchor_time_mismatch')) select code, count(*) n from b join r on d between lo and hi group by 1")
+def validation_issues(spark, sf_dir):
+    i = validation.sample_issues(_broken(spark, sf_dir), _snapshot_stub(spark, sf_dir))
+    return validation.issue_counts(i.where("code not in ('future_time_mismatch', 'context_split_leakage', 'future_split_leakage')"))
+
+
+@query(BROKEN + ", n as (select count(*) filter (where d = 1) a, count(*) filter (where d between 4 and 6) o, count(*) filter (where d between 7 and 9) t, count(*) filter (where d in (1, 2, 3, 4, 5, 6, 14, 15)) c from b) "
+       "select 'manifest_contract' \"check\", c = 0 passed from n union all select 'causal_order', o = 0 from n union all select 'source_reference_integrity', a + t = 0 from n union all select 'split_isolation', not exists (select 1 from s4 join b using (sample_id) group by experiment_id, bearing_id having count(distinct case when d = 1 then 'holdout' else split end) > 1) union all select 'all', a + o + t + c = 0 from n")
+def validation_checks(spark, sf_dir):
+    m = _broken(spark, sf_dir)
+    return validation.checks(validation.sample_issues(m, _snapshot_stub(spark, sf_dir)).unionByName(validation.manifest_issues(m)))
+
+
+@query(BROKEN + " select sample_id, case when d = 1 then 'missing' when d = 2 then 'changed' end status from b where d in (1, 2) union all select sample_id || 'x', 'extra' from b where d = 3")
+def manifest_diff(spark, sf_dir):
+    m = _manifest(spark, sf_dir)
+    d = F.conv(F.substring("sample_id", 1, 1), 16, 10).cast("int")
+    other = m.where(d != 1).withColumn("context_count_k", F.when(d == 2, F.lit(0)).otherwise(F.col("context_count_k")))
+    other = other.unionByName(m.where(d == 3).withColumn("sample_id", F.concat("sample_id", F.lit("x"))))
+    return validation.compare_manifests(m, other)
+
+
+# ---------------------------------------------------------------- tensors, baselines, metrics
+
+def _examples(spark, sf_dir):
+    return tensors.examples(_manifest(spark, sf_dir), _snapshots(spark, sf_dir))
+
+
+LONGSQL = LONG.split("with ", 1)[1]
+MANSQL = MANIFEST.split("with ", 1)[1].replace(WAVES + ", ", "", 1).replace("snaps as (", "snaps2 as (", 1).replace("from snaps ", "from snaps2 ").replace("join snaps ", "join snaps2 ")
+EX = f"""with {LONGSQL}, {MANSQL},
+z as (select experiment_id, bearing_id, measurement_index, feature, (case when isfinite(value) then (value - mu) / sd else 0 end)::float::double z, isfinite(value) valid from raw join scaler using (name)),
+cx as (select s4.sample_id, z.feature, c1.i, (c1.i - s4.measurement_index) * 60.0::double t, z.z from c1 join s4 using (sample_id) join z on z.experiment_id = s4.experiment_id and z.bearing_id = s4.bearing_id and z.measurement_index = c1.i where (c1.back <= 2 or c1.rk <= c1.k - 2) and z.valid),
+tg as (select s4.sample_id, s4.split, s4.bearing_id, s4.experiment_id, z.feature, f1.i, (f1.i - s4.measurement_index) * 60.0::double qt, z.z target, z.valid from f1 join s4 using (sample_id) join z on z.experiment_id = s4.experiment_id and z.bearing_id = s4.bearing_id and z.measurement_index = f1.i where f1.rf <= f1.q),
+ln as (select sample_id, feature, arg_max(z, i) last, case when max(t) > min(t) then regr_slope(z, t) end slope, avg(t) mt, avg(z) mz from cx group by 1, 2),
+pr as (select tg.*, coalesce(last, 0) persistence, coalesce(mz + slope * (qt - mt), last, 0) trend from tg left join ln using (sample_id, feature))"""
+
+
+def _predictions(spark, sf_dir, f):
+    m, s = _manifest(spark, sf_dir), _snapshots(spark, sf_dir)
+    ex = tensors.examples(m, s)
+    return m, ex, f(ex)
+
+
+def _with_target(spark, sf_dir, f):
+    m, ex, p = _predictions(spark, sf_dir, f)
+    t = baselines.target_long(ex).join(p, ["sample_id", "query_pos", "feature_index"])
+    return t.groupBy("sample_id", "query_pos", "query_time").agg(F.round(F.sum("prediction"), 2).alias("prediction_sum"), F.round(F.sum("target"), 2).alias("target_sum")).drop("query_pos")
+
+
+@query(EX + " select sample_id, qt query_time, round(sum(persistence), 2) prediction_sum, round(sum(target), 2) target_sum from pr group by 1, 2")
+def persistence_forecast(spark, sf_dir):
+    return _with_target(spark, sf_dir, baselines.persistence)
+
+
+@query(EX + " select sample_id, qt query_time, round(sum(trend), 2) prediction_sum, round(sum(target), 2) target_sum from pr group by 1, 2")
+def linear_trend_forecast(spark, sf_dir):
+    return _with_target(spark, sf_dir, baselines.linear_trend)
+
+
+@query(EX + """, er as (select 'persistence' model, *, persistence - target e from pr where valid union all select 'linear_trend', *, trend - target from pr where valid),
+er2 as (select er.*, 'K=' || context_count_k k, case when qt < 300 then '0-5m' when qt < 600 then '5-10m' when qt < 1200 then '10-20m' when qt < 1800 then '20-30m' when qt < 3600 then '30-60m' else '60m+' end h from er join c2 using (sample_id)),
+gr as (select model, split, e, unnest([{'g': 'overall', 'v': 'all'}, {'g': 'bearing', 'v': bearing_id}, {'g': 'condition', 'v': experiment_id}, {'g': 'K', 'v': k}, {'g': 'sparse_regime', 'v': 'dense'}, {'g': 'future_horizon', 'v': h}]) x from er2)
+select model, split, x.g "group", x.v group_value, count(*) feature_count, round(avg(abs(e)), 3) mae, round(sqrt(avg(e * e)), 3) rmse from gr group by 1, 2, 3, 4""")
+def baseline_metrics(spark, sf_dir):
+    m, ex, p = _predictions(spark, sf_dir, baselines.persistence)
+    both = p.withColumn("model", F.lit("persistence")).unionByName(baselines.linear_trend(ex).withColumn("model", F.lit("linear_trend")))
+    out = baselines.baseline_metrics(both, baselines.target_long(ex), m)
+    return out.select("model", "split", "group", "group_value", "feature_count", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"))
+
+
+@query(EX + ", kk as (select sample_id, context_count_k k, future_query_count_q q from s4 join c2 using (sample_id) join f2 using (sample_id)) select sample_id, k context_length, q future_length, 1221 width, (select count(*) from cx where cx.sample_id = kk.sample_id) n_valid from kk")
+def context_encoding_pad(spark, sf_dir):
+    ex = _examples(spark, sf_dir)
+    enc = tensors.encode_context(ex).where("query_pos = 0").select("sample_id", F.size("encoding").alias("width"), F.aggregate(F.slice("encoding", 601, 600), F.lit(0.0), lambda a, b: a + b).cast("long").alias("n_valid"))
+    return ex.select("sample_id", "context_length", "future_length").join(enc, "sample_id")
+
+
+@query()
+def padded_batches(spark, sf_dir):
+    b = tensors.collate(_examples(spark, sf_dir), 8)
+    return b.select("batch_id", "sample_id", "context_length", "future_length", F.size("context_features").alias("kmax"), F.size("future_targets").alias("qmax"))
+
+
+@query()
+def mlp_forecast(spark, sf_dir):
+    s = _snapshots(spark, sf_dir)
+    train, test = (tensors.examples(_manifest(spark, sf_dir, x), s) for x in ("train", "test"))
+    return baselines.mlp_forecast(train, test)
+
+
+# ---------------------------------------------------------------- sensitivity grid
+
+def _long_snaps(spark, sf_dir):
+    """Trajectories of events on the regular clock, as snapshots with a two-number vector."""
+    t = trajectories(spark, sf_dir)
+    return t.select(F.lit("d").alias("dataset_name"), F.lit("e").alias("experiment_id"), F.concat(F.lit("u"), "user_id").alias("bearing_id"), "measurement_index", "elapsed_time_sec", F.lit("test").alias("split"),
+                    F.array(F.col("value").cast("double"), F.col("value").cast("double") * 2).alias("feature_vector"), F.array(F.lit(True), F.col("event_id") % 3 != 0).alias("feature_valid_mask"))
+
+
+def _eval_manifest(spark, sf_dir):
+    return sensitivity.prepare(_long_snaps(spark, sf_dir), splits=("test",), regimes=("dense", "sparse_10"), seed=2026, anchor_cap=2)
+
+
+GRID = " union all ".join(f"select {c} c, {r}::double r, {math.floor(c * r)} h, {math.floor(0.8 * c)} lo" for c in CONTEXT_MINUTES for r in HORIZON_RATIOS)
+SENS = f"""with {TRAJ}, grid as ({GRID}), cs as (select distinct c, lo from grid),
+p0 as (select cs.c, cs.lo, a.user_id, a.measurement_index m, a.elapsed_time_sec t, count(*) n from traj a, cs join traj b on b.user_id = a.user_id and b.elapsed_time_sec between a.elapsed_time_sec - c * 60 and a.elapsed_time_sec group by all having least(count(*), cs.c) >= cs.lo),
+p1 as (select *, row_number() over (partition by c, user_id order by {H("'2026'", "'d'", "'e'", "'u' || user_id", 'c', "'anchors'", 'm')}, m) k from p0),
+cell as (select p1.*, r, h, (select count(*) from traj f where f.user_id = p1.user_id and f.elapsed_time_sec > t and f.elapsed_time_sec <= t + h * 60) q from p1 join grid using (c) where k <= 2),
+man as (select cell.*, regime, rr, lo + {H("sha256(concat_ws('|', '2026', 'd', 'e', 'u' || user_id, c, m))", "'k'")} % (least(c, n) - lo + 1) kk,
+ substr(sha256('["xjtu_context_horizon_eval_v1",["d","e","u' || user_id || '"],' || m || ',' || c || ',' || r::varchar || ',"' || regime || '",2026]'), 1, 24) sample_id from cell, (values ('dense', 1.0), ('sparse_10', 0.1)) g(regime, rr) where q > 0)"""
+
+
+@query(SENS + " select sample_id, 'u' || user_id bearing_id, c::int context_window_min, r predict_ratio, h::int predict_horizon_min, regime sparse_regime, m anchor_measurement_index, kk::int context_count_k, q::int future_query_count_q from man")
+def sensitivity_grid(spark, sf_dir):
+    return _eval_manifest(spark, sf_dir).select("sample_id", "bearing_id", "context_window_min", "predict_ratio", "predict_horizon_min", "sparse_regime", "anchor_measurement_index", "context_count_k", "future_query_count_q")
+
+
+def _eval_predictions(m):
+    """Predictions that depend on the sample's id alone; one model misses some samples and one has samples around its mean."""
+    d = F.conv(F.substring("sample_id", 1, 2), 16, 10).cast("double")
+    q = F.col("future_query_count_q")
+    flat = F.array_repeat(F.array(d, d), q)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.array_repeat(F.array(d + 0.0037 + i * 10.0, d + 0.0037 - i * 10.0), q))
+    a = m.where(F.substring("sample_id", 1, 1) != "0").select("sample_id", F.lit("flat").alias("model"), flat.alias("predicted_features"), F.lit(None).cast("array<array<array<double>>>").alias("prediction_samples"))
+    b = m.select("sample_id", F.lit("drawn").alias("model"), F.lit(None).cast("array<array<double>>").alias("predicted_features"), drawn.alias("prediction_samples"))
+    return a.unionByName(b)
+
+
+EVAL = SENS + """, d as (select *, ('0x' || substr(sample_id, 1, 2))::int::double v from man),
+t as (select d.*, x.value y, x.event_id % 3 <> 0 ok2 from d join traj x on x.user_id = d.user_id and x.elapsed_time_sec > d.t and x.elapsed_time_sec <= d.t + d.h * 60),
+l as (select 'flat' model, sample_id, v p, y, null::double lo5, null::double hi95 from t where substr(sample_id, 1, 1) <> '0' union all select 'flat', sample_id, v, 2 * y, null, null from t where ok2 and substr(sample_id, 1, 1) <> '0'
+ union all select 'drawn', sample_id, v + 20.0037, y, v + 2.0037, v + 38.0037 from t union all select 'drawn', sample_id, v - 19.9963, 2 * y, v - 37.9963, v - 1.9963 from t where ok2),
+o as (select model, sample_id, sum(abs(p - y)) a, sum((p - y) * (p - y)) s, count(*) n, avg((y between lo5 and hi95)::int) cover, avg(hi95 - lo5) width from l group by 1, 2)"""
+
+
+@query(EVAL + """, tot as (select regime, c, r, h, count(*) total from man group by all), g as (select o.*, d.regime, d.c, d.r, d.h, unnest([{'g': 'overall', 'v': 'all'}, {'g': 'condition', 'v': 'e'}]) x from o join d using (sample_id))
+select model, x.g group_name, x.v group_value, regime sparse_regime, c::int context_window_min, r predict_ratio, count(*) evaluated_examples, any_value(total) cell_record_count, sum(n)::bigint feature_sample_count, round(sum(a) / sum(n), 4) mae, round(sqrt(sum(s) / sum(n)), 4) rmse, round(avg(cover), 4) coverage_90, round(avg(width), 4) mean_interval_width_90
+from g join tot using (regime, c, r, h) group by all""")
+def sensitivity_metrics(spark, sf_dir):
+    m = _eval_manifest(spark, sf_dir)
+    out = sensitivity.evaluate(m, _long_snaps(spark, sf_dir), _eval_predictions(m)).where("group_name in ('overall', 'condition')")
+    return out.select("model", "group_name", "group_value", "sparse_regime", "context_window_min", "predict_ratio", "evaluated_examples", "cell_record_count", "feature_sample_count", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "coverage_90", "mean_interval_width_90")])
+
+
+@query(SENS + " select 'drawn' model, 0::bigint n_missing union all select 'flat', count(*) from man where substr(sample_id, 1, 1) = '0'")
+def missing_predictions(spark, sf_dir):
+    m = _eval_manifest(spark, sf_dir)
+    return sensitivity.missing_predictions(m, _eval_predictions(m))
