@@ -11,7 +11,7 @@ One suffix array of all texts would need every suffix of the corpus in one order
 2. Partitions of 32-bit fingerprints of minimisers say which of them more than one document holds. A block of documents
    sends each minimiser once, whatever the number of its documents, so that a hot one counts once for each block.
    Only runs of such minimisers go on (a fingerprint that collides costs work and changes nothing).
-3. Runs with equal bytes are a class, whose least document is its first copy: in other documents they go whole.
+3. Runs, sent as their bytes alone, meet by minimiser. Runs with equal bytes are a class, whose least document is its first copy: in other documents they go whole.
    Where a minimiser has several classes (passages that end, or differ nearby), their suffixes are sorted by
    prefix doubling up to `LENGTH` bytes. In suffix order, neighbours with that long a common prefix form an interval;
    the previous or next smaller document in it exists, and gives a long enough previous factor, exactly where the
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import SALT, documents, mix, powers, raw, slices, table
+from spindle.llm.common import SALT, documents, mix, powers, raw, slices, table, written
 
 LENGTH = 50
 GRAM = 18
@@ -171,8 +171,10 @@ def _repeated(group: pa.Table) -> pa.Table:
     return _by_doc(np.concatenate((doc, kd)), np.concatenate((fp, kf)), np.concatenate((hot, np.zeros(len(kd), bool))))
 
 
-_RUN = pa.schema([("part", pa.int32()), ("m", pa.binary()), ("h", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("size", pa.binary()), ("bytes", pa.large_binary()), ("sure", pa.bool_())])
-RUN_DDL = "part int, m binary, h binary, doc binary, start binary, size binary, bytes binary, sure boolean"
+_RUN = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("n", pa.binary()), ("start", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
+RUN_DDL = "part int, kind int, docs binary, n binary, start binary, size binary, bytes binary"
+#: Kinds of rows: runs of windows, single windows of hot minimisers, spans that go for sure. Hashes aren't sent, as the bytes give them.
+RUNS, WINDOWS, SURE = 0, 1, 2
 SPAN_DDL = "doc_id long, starts array<long>, ends array<long>"
 
 
@@ -203,39 +205,37 @@ def _runs(batches, parts: int, length: int = LENGTH):
             cold, warm = _member(doc, fp, asked[lo:hi]), _member(doc, fp, hot[lo:hi])
             cold &= ~warm
             k = n[warm]
-            each = np.repeat(start[warm], k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))  # the windows of hot runs
+            each = _spread(start[warm], k)  # the windows of hot runs
             d = np.concatenate((doc[cold], np.repeat(doc[warm], k)))
             s = np.concatenate((start[cold], each))
             e = np.concatenate((start[cold] + n[cold] + length - 1, each + length))
             if not len(d):
                 continue
             h = _hash(total, s, e)
-            key = np.concatenate((m[cold], mix(h[cold.sum() :] + _U(1))))
+            kind = np.repeat(np.array([RUNS, WINDOWS]), [cold.sum(), k.sum()])
+            key = np.where(kind == RUNS, np.concatenate((m[cold], h[cold.sum() :])), h)
             own = ids[lo + d]
-            order = np.lexsort((own, h, key))
-            d, s, e, h, key, own = d[order], s[order], e[order], h[order], key[order], own[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
-            least = own[new][np.cumsum(new) - 1]
-            begin = at[d]
-            for sure, pick in ((False, own == least), (True, own > least)):
-                idx = np.flatnonzero(pick)
-                part = ((key[idx] if not sure else mix(own[idx].astype(np.uint64))) % _U(parts)).astype(np.int32)
-                idx = idx[np.argsort(part, kind="stable")]
-                part.sort()
-                out: list[list] = [[] for _ in _RUN]
-                for p, a, b in _bins(part):
-                    i = idx[a:b]
-                    size = (e[i] - s[i]).astype(np.int32)
-                    if sure:
-                        body = b""
-                    else:
-                        pos = np.repeat(s[i], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-                        body = text[pos].tobytes()
-                    blank = np.zeros(0, np.uint64) if sure else None
-                    row = (p, (blank if sure else key[i]).tobytes(), (blank if sure else h[i]).tobytes(), own[i].tobytes(), (s[i] - begin[i]).tobytes(), size.tobytes(), body, sure)
-                    for col, v in zip(out, row, strict=True):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _RUN, strict=True)], schema=_RUN).cast(pa.schema([f if f.name != "bytes" else pa.field("bytes", pa.binary()) for f in _RUN]))
+            order = np.lexsort((own, h, key, kind))
+            d, s, e, h, key, own, kind = (x[order] for x in (d, s, e, h, key, own, kind))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
+            kind[own > own[new][np.cumsum(new) - 1]] = SURE
+            part = (np.where(kind == SURE, mix(own.astype(np.uint64)), key) % _U(parts)).astype(np.int64)
+            order = np.lexsort((s, own, kind, part))
+            d, s, e, own, kind, part = (x[order] for x in (d, s, e, own, kind, part))
+            out: list[list] = [[] for _ in _RUN]
+            for p, a, b in _bins(part * 4 + kind):
+                size = (e[a:b] - s[a:b]).astype(np.int32)
+                body = b"" if p % 4 == SURE else text[_spread(s[a:b], size)].tobytes()
+                first = np.flatnonzero(np.concatenate(([True], own[a + 1 : b] != own[a : b - 1])))
+                row = (p // 4, p % 4, own[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), (s[a:b] - at[d[a:b]]).astype(np.int32).tobytes(), size.tobytes(), body)
+                for col, v in zip(out, row, strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _RUN, strict=True)], schema=_RUN)
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each size."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def _rank(*keys: np.ndarray) -> np.ndarray:
@@ -262,7 +262,7 @@ def earlier(body: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarr
     if have < length:
         rank = _rank(rank[: len(rank) - (length - have)], rank[length - have :])
     k = size - length + 1
-    pos = np.repeat(begin, k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
+    pos = _spread(begin, k)
     of = np.repeat(np.arange(len(begin)), k)
     rank = rank[pos]
     order = np.argsort(rank, kind="stable")  # the suffixes' order
@@ -273,55 +273,81 @@ def earlier(body: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarr
     return of[hit], pos[hit] - begin[of[hit]]
 
 
+def _least_gram(body: np.ndarray, begin: np.ndarray, size: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The minimiser and the hash of each string."""
+    m, h = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+    edge = np.append(begin, len(body))
+    for lo, hi in slices(edge):
+        part, at = body[edge[lo] : edge[hi]], begin[lo:hi] - edge[lo]
+        total = _prefix(part)
+        h[lo:hi] = _hash(total, at, at + size[lo:hi])
+        place = np.arange(len(part) - gram + 1)
+        g = _hash(total, place, place + gram)
+        cut = np.empty(2 * len(at), np.int64)  # from each string's first gram to after its last
+        cut[::2], cut[1::2] = at, at + size[lo:hi] - gram + 1
+        m[lo:hi] = np.minimum.reduceat(np.append(g, _U(2**64 - 1)), cut)[::2]
+    return m, h
+
+
+#: Bytes of strings whose suffixes are sorted at once (strings of one minimiser stay together).
+SORT_BYTES = 1_000_000
+
+
 def _factors(group: pa.Table, length: int = LENGTH) -> pa.Table:
     """Spans that go, of a part's runs."""
-    rows = group.to_pylist()
-    cat = lambda name, t, pick: np.concatenate([*(np.frombuffer(r[name], t) for r in rows if pick(r)), np.zeros(0, t)])
-    sure, rest = (lambda r: r["sure"]), (lambda r: not r["sure"])
-    docs, starts, ends = [cat("doc", np.int64, sure)], [cat("start", np.int64, sure)], []
-    ends.append(starts[0] + cat("size", np.int32, sure))
-    m, h, doc, start, size = (cat(c, t, rest) for c, t in (("m", np.uint64), ("h", np.uint64), ("doc", np.int64), ("start", np.int64), ("size", np.int32)))
-    body = np.frombuffer(b"".join(r["bytes"] for r in rows if not r["sure"]), np.uint8)
-    del rows
-    if len(m):
-        begin = np.cumsum(size.astype(np.int64)) - size
-        order = np.lexsort((start, doc, h, m))
-        m, h, doc, start, size, begin = (x[order] for x in (m, h, doc, start, size, begin))
-        new = np.concatenate(([True], (m[1:] != m[:-1]) | (h[1:] != h[:-1])))
-        of = np.cumsum(new) - 1
-        least = doc[new][of]
-        later = doc > least
-        docs.append(doc[later]), starts.append(start[later]), ends.append(start[later] + size[later])
-        # classes of minimisers with several of them, one string each
-        head = np.flatnonzero(new)
-        same = m[head]
-        first = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
-        several = np.repeat(np.diff(np.append(first, len(same))), np.diff(np.append(first, len(same)))) > 1
-        pick = head[several]
-        if len(pick):
-            k = size[pick].astype(np.int64)
-            at = np.repeat(begin[pick], k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
-            which, offset = earlier(body[at], np.cumsum(k) - k, k, doc[pick], length)
-            if len(which):  # neighbouring offsets make one span
-                cut = np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)))
-                a = np.flatnonzero(cut)
-                b = np.append(a[1:], len(which)) - 1
-                string, lo, hi = which[a], offset[a], offset[b] + length
-                # in every place where the least document holds the class
-                cls = of[pick][string]
-                places = np.flatnonzero(~later)
-                by = of[places]
-                left, right = np.searchsorted(by, cls), np.searchsorted(by, cls, side="right")
-                rep = right - left
-                at = places[np.repeat(left, rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))]
-                docs.append(doc[at]), starts.append(start[at] + np.repeat(lo, rep)), ends.append(start[at] + np.repeat(hi, rep))
-    doc, start, end = np.concatenate(docs), np.concatenate(starts), np.concatenate(ends)
-    doc, start, end = merged(doc, start, end)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    kinds = group.column("kind").to_numpy()
+    for kind in (RUNS, WINDOWS, SURE):
+        rows = group.filter(pa.array(kinds == kind))
+        cat = lambda name, t: np.concatenate([*(np.frombuffer(x.as_buffer(), t) for x in rows.column(name)), np.zeros(0, t)])  # noqa: B023, E731
+        doc, start, size = np.repeat(cat("docs", np.int64), cat("n", np.int32)), cat("start", np.int32).astype(np.int64), cat("size", np.int32).astype(np.int64)
+        if kind == SURE:
+            found.append((doc, start, start + size))
+        elif len(doc):
+            body = cat("bytes", np.uint8)
+            begin = np.cumsum(size) - size
+            m, h = _least_gram(body, begin, size)
+            found += _earlier_spans(m if kind == RUNS else h, h, doc, start, size, begin, body, length)
+    doc, start, end = merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
     cut = _bins(doc)
     offsets = pa.array([a for _, a, _ in cut] + [len(doc)], pa.int32())
     return pa.table({"doc_id": pa.array([p for p, _, _ in cut], pa.int64()), "starts": pa.ListArray.from_arrays(offsets, pa.array(start, pa.int64())), "ends": pa.ListArray.from_arrays(offsets, pa.array(end, pa.int64()))})
 
 
+def _earlier_spans(m, h, doc, start, size, begin, body, length):
+    """Spans of runs that smaller documents hold: whole copies of a class, and long enough previous factors among the classes of a minimiser."""
+    order = np.lexsort((start, doc, h, m))
+    m, h, doc, start, size, begin = (x[order] for x in (m, h, doc, start, size, begin))
+    new = np.concatenate(([True], (m[1:] != m[:-1]) | (h[1:] != h[:-1])))
+    of = np.cumsum(new) - 1
+    later = doc > doc[new][of]
+    yield doc[later], start[later], start[later] + size[later]
+    head = np.flatnonzero(new)
+    same = m[head]
+    first = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
+    n = np.diff(np.append(first, len(same)))
+    pick = head[np.repeat(n, n) > 1]  # classes of minimisers with several of them
+    edges = np.concatenate(([0], np.cumsum(n[n > 1])))
+    weight = np.concatenate(([0], np.cumsum(size[pick])))[edges]
+    places = np.flatnonzero(~later)  # where the least document holds its class
+    by = of[places]
+    for lo, hi in slices(weight, SORT_BYTES):
+        own = pick[edges[lo] : edges[hi]]
+        k = size[own]
+        which, offset = earlier(body[_spread(begin[own], k)], np.cumsum(k) - k, k, doc[own], length)
+        if not len(which):
+            continue
+        cut = np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)))
+        a = np.flatnonzero(cut)  # neighbouring offsets make one span
+        b = np.append(a[1:], len(which)) - 1
+        left_of, right_of = offset[a], offset[b] + length
+        cls = of[own][which[a]]
+        left, right = np.searchsorted(by, cls), np.searchsorted(by, cls, side="right")
+        rep = right - left
+        at = places[_spread(left, rep)]
+        yield doc[at], start[at] + np.repeat(left_of, rep), start[at] + np.repeat(right_of, rep)
+
+
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Spans that overlap or touch become one, by document and place."""
     if not len(doc):
@@ -369,8 +395,6 @@ def _kept_bytes(text: bytes, starts, ends) -> bytes:
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with starts and ends (null where nothing goes); the spans are broadcast if their counted size is small."""
-    from spindle.llm.common import written
-
     spans = written(spans, "spans")
     size = spans.agg(F.sum(16 * F.size("starts") + 40)).first()[0] or 0
     spans = spans.withColumnRenamed("doc_id", "_span_id")
