@@ -1,15 +1,18 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-A document's set holds its distinct shingles of `width` words. Its signature has `COORDINATES` values, each the least of
-the set under its own hash; two sets agree in a coordinate with their Jaccard similarity as probability. Documents with
+A document's set holds its distinct shingles of `width` words. Its signature has `MINIMA` values, each the least of
+the set under its own hash; two sets agree in a value with their Jaccard similarity as probability. Documents with
 equal sets are one class, of which the least doc_id goes on.
 
-Every class is posted under each (coordinate, value) pair. A pair of classes is a candidate if it collides in at least
-`MATCHES` coordinates: at similarity 0.8 that misses fewer than 5 pairs in a million, and more similar pairs more
-rarely. Values that a single class has can't collide, so a class with `c` values left and c < `MATCHES` is done (that
-skips nearly all of a corpus). Else, any candidate shares one of its c - MATCHES + 1 rarest values (its *prefix*);
-only these are posted again and merged; longer lists are skipped, as their collisions are counted
-from the signatures of the pairs that the prefixes give. Candidates are then confirmed on full sets.
+A *coordinate* joins `JOINED` of these values into one, so that sets of similarity 0.8 agree in a coordinate with
+probability 0.26, and sets of similarity 0.5, of which a group of loosely edited copies has as many pairs as the square of its size,
+with 0.016. Every class is posted under each of its `COORDINATES` (coordinate, value) pairs. A pair of classes is a
+candidate if it collides in at least `COLLISIONS` coordinates and in `MATCHES` values of the signature: at similarity
+0.8 that misses about 2 pairs in a million, and more similar pairs more rarely. Values that a single class has can't
+collide, so a class with c values left and c < `COLLISIONS` is done (that skips nearly all of a corpus). Else, any
+candidate shares one of its c - COLLISIONS + 1 rarest values (its *prefix*); only these are posted again and merged;
+longer lists are skipped, as agreement is counted from the signatures of the pairs that the prefixes give. Candidates
+are then confirmed on full sets.
 
 All pairs within a list would grow with its square. Instead (1) each list links its members to its most popular one,
 whose values most others share: the original of a group of edited copies; (2) components are formed; (3) in lists that
@@ -30,8 +33,11 @@ from pyspark.sql import functions as F
 from spindle.llm.common import documents, dropped, mix, raw, slices, table, words, written
 from spindle.llm.graph import components
 
-COORDINATES = 64
-MATCHES = 36
+MINIMA = 192
+JOINED = 6
+COORDINATES = 80
+COLLISIONS = 2
+MATCHES = 126
 #: Similarity as parts of 100: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
 
@@ -41,8 +47,10 @@ _ROWS = 511  # documents in a slice; leaves 55 bits of a shingle hash beside the
 _BITS = np.uint64(55)
 _U = np.uint64
 _rng = np.random.default_rng(20)
-_A = _rng.integers(0, 2**64, COORDINATES, dtype=np.uint64) | _U(1)
-_B = _rng.integers(0, 2**64, COORDINATES, dtype=np.uint64)
+_A = _rng.integers(0, 2**64, MINIMA, dtype=np.uint64) | _U(1)
+_B = _rng.integers(0, 2**64, MINIMA, dtype=np.uint64)
+#: The values that each coordinate joins.
+_PICK = np.stack([_rng.permutation(MINIMA)[:JOINED] for _ in range(COORDINATES)])
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +98,13 @@ def _signed(batches, width: int):
                 key, first = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
-                sig = np.zeros((hi - lo, COORDINATES), dtype=np.uint32)
+                sig = np.zeros((hi - lo, MINIMA), dtype=np.uint16)
                 f1, f2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
                 if len(some):
                     at, x = first[some], key & mask
                     f1[some], f2[some] = np.add.reduceat(mix(x + _U(1)), at), np.add.reduceat(mix(x ^ _U(0x5555555555555555)), at)
-                    for k in range(COORDINATES):
-                        sig[some, k] = np.minimum.reduceat((x * _A[k] + _B[k]) >> _U(32), at)
+                    for k in range(MINIMA):  # the low 16 bits of each least value
+                        sig[some, k] = (np.minimum.reduceat(x * _A[k] + _B[k], at) >> _U(32)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary())],
                 names=["doc_id", "n_shingles", "f1", "f2", "sig"])
@@ -105,16 +113,19 @@ def _signed(batches, width: int):
 def _postings(batches):
     """(key, rep) of each coordinate of each signature."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        key = (np.arange(COORDINATES, dtype=np.int64) << 32) | sig.astype(np.int64)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, MINIMA)
+        key = np.repeat(np.arange(1, COORDINATES + 1, dtype=np.uint64)[None, :], len(sig), axis=0)
+        with np.errstate(over="ignore"):
+            for j in range(JOINED):
+                key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, _PICK[:, j]].astype(np.uint64))
         rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), COORDINATES)))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), rep], names=["key", "rep"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), rep], names=["key", "rep"])
 
 
 def _collide(batches):
     """Pairs whose signatures agree in MATCHES coordinates at least."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, MINIMA) for i in (2, 3))
         good = pa.array((x == y).sum(axis=1) >= MATCHES)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
@@ -158,9 +169,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
     # values that several classes have, and each class's prefix of its rarest
     posts = classes.select("rep", "sig").mapInArrow(_postings, f"key long, rep {key}")
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    held = posts.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("held")).where(F.size("held") >= MATCHES)  # COORDINATES at most
-    popular = F.aggregate("held", F.lit(0.0), lambda x, v: x + F.log(v["df"].cast("double")))
-    prefix = held.select("rep", popular.alias("popular"), F.explode(F.slice("held", 1, F.size("held") - MATCHES + 1)).alias("v")).select(F.col("v.key").alias("key"), "rep", "popular")
+    held = posts.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("held")).where(F.size("held") >= COLLISIONS)  # COORDINATES at most
+    popular = F.struct(F.size("held").alias("c"), F.aggregate("held", F.lit(0.0), lambda x, v: x + F.log(v["df"].cast("double"))).alias("s"))  # an original shares all its values
+    prefix = held.select("rep", popular.alias("popular"), F.explode(F.slice("held", 1, F.size("held") - COLLISIONS + 1)).alias("v")).select(F.col("v.key").alias("key"), "rep", "popular")
     prefix = written(prefix.join(classes.select("rep", "n_shingles"), "rep"), "prefix")
     like = lambda x, y: (100 * F.least(x, y) >= similarity * F.greatest(x, y))  # noqa: E731  sizes that allow the similarity
     # 1. each list's most popular class with the others
