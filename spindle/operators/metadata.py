@@ -27,7 +27,7 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
 
 
 def elements(raw: str) -> Column:
-    return F.filter(F.transform(F.split(raw, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(raw, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def typed(config: DataFrame) -> DataFrame:
