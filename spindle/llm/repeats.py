@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ LENGTH = 50
 GRAM = 18
 #: Blocks that hold a minimiser, from which on its windows are dealt one by one.
 HOT_BLOCKS = 96
+#: Text bytes of a block.
+BLOCK_BYTES = 12_000_000
 #: Text bytes for each partition of minimisers.
 PART_BYTES = 64_000_000
 #: Bound of the spans (bytes) that are broadcast to the texts; more are joined by shuffle.
@@ -105,7 +108,6 @@ def _bins(part: np.ndarray) -> list[tuple[int, int, int]]:
 
 _SEED = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("n", pa.binary()), ("fp", pa.binary()), ("known", pa.bool_())])
 SEED_DDL = "part int, docs binary, n binary, fp binary, known boolean"
-ASK_DDL = "doc_id long, fp binary, hot binary"
 
 
 def _seeds(batches, parts: int):
@@ -113,62 +115,95 @@ def _seeds(batches, parts: int):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         data, off = raw(batch.column(1))
-        docs, mins = [], []
-        for lo, hi in slices(off):
-            part, base = data[off[lo] : off[hi]], off[lo]
-            doc, _, _, m = minimisers(part, off[lo : hi + 1] - base, _prefix(part))
-            docs.append(ids[lo + doc])
-            mins.append(m)
-        if not docs:
-            continue
-        doc, m = np.concatenate(docs), np.concatenate(mins)
-        order = np.lexsort((doc, m))
-        doc, m = doc[order], m[order]
-        new = np.concatenate(([True], m[1:] != m[:-1])) if len(m) else np.zeros(0, bool)
-        pair = new.copy()
-        pair[1:] |= doc[1:] != doc[:-1]
-        doc, m, new = doc[pair], m[pair], new[pair]
-        several = ~new
-        several[:-1] |= ~new[1:]
-        for known, pick in ((False, new), (True, several)):
-            d, x = doc[pick], m[pick]
-            part = (x % _U(parts)).astype(np.int32) if not known else (mix(d.astype(np.uint64)) % _U(parts)).astype(np.int32)
-            order = np.lexsort((d, part))
-            d, x, part = d[order], x[order], part[order]
-            fp = _fingerprint(x, parts)
-            out: list[list] = [[], [], [], [], []]
-            for p, a, b in _bins(part):
-                cut = np.concatenate(([True], d[a + 1 : b] != d[a : b - 1]))
-                at = np.flatnonzero(cut)
-                for col, v in zip(out, (p, d[a:b][at].tobytes(), np.diff(np.append(at, b - a)).astype(np.int32).tobytes(), fp[a:b].tobytes(), known), strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _SEED, strict=True)], schema=_SEED)
-
-
-def _by_doc(doc: np.ndarray, fp: np.ndarray, hot: np.ndarray):
-    order = np.argsort(doc, kind="stable")
-    doc, fp, hot = doc[order], fp[order], hot[order]
-    rows = [(p, fp[a:b][~hot[a:b]].tobytes(), fp[a:b][hot[a:b]].tobytes()) for p, a, b in _bins(doc)]
-    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "fp": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def _repeated(group: pa.Table) -> pa.Table:
-    """Of a part's minimisers, those of several blocks, told to each block's document; and those that blocks knew of."""
-    known = group.column("known").to_numpy(zero_copy_only=False)
-    docs = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)) for d, n in zip(group.column("docs").to_pylist(), group.column("n").to_pylist(), strict=True)]
-    fps = [np.frombuffer(x, np.uint32) for x in group.column("fp").to_pylist()]
-    cat = lambda x, t: np.concatenate([*x, np.zeros(0, t)])
-    sent = [i for i in range(len(known)) if not known[i]]
-    doc, fp = cat([docs[i] for i in sent], np.int64), cat([fps[i] for i in sent], np.uint32)
+        for first, last in slices(off, BLOCK_BYTES):
+            docs, mins = [], []
+            for lo, hi in slices(off[first : last + 1]):
+                at = off[first + lo : first + hi + 1]
+                part = data[at[0] : at[-1]]
+                doc, _, _, m = minimisers(part, at - at[0], _prefix(part))
+                docs.append(ids[first + lo + doc])
+                mins.append(m)
+            yield _seed_rows(np.concatenate(docs), np.concatenate(mins), parts)
+
+
+def _seed_rows(doc: np.ndarray, m: np.ndarray, parts: int) -> pa.RecordBatch:
+    out: list[list] = [[] for _ in _SEED]
+    order = np.lexsort((doc, m))
+    doc, m = doc[order], m[order]
+    new = np.ones(len(m), bool)
+    new[1:] = m[1:] != m[:-1]
+    pair = new.copy()
+    pair[1:] |= doc[1:] != doc[:-1]
+    doc, m, new = doc[pair], m[pair], new[pair]
+    several = ~new
+    several[:-1] |= ~new[1:]
+    for known, pick in ((False, new), (True, several)):
+        d, x = doc[pick], m[pick]
+        part = _bucket(d, parts) if known else (x % _U(parts)).astype(np.int32)
+        order = np.lexsort((d, part))
+        d, x, part = d[order], x[order], part[order]
+        fp = _fingerprint(x, parts)
+        for p, a, b in _bins(part):
+            for col, v in zip(out, (p, *_packed(d[a:b]), fp[a:b].tobytes(), known), strict=True):
+                col.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _SEED, strict=True)], schema=_SEED)
+
+
+def _bucket(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.astype(np.uint64)) % _U(parts)).astype(np.int32)
+
+
+def _packed(doc: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted documents as distinct ones with their counts."""
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    return doc[first].tobytes(), np.diff(np.append(first, len(doc))).astype(np.int32).tobytes()
+
+
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    """All values of a column of blobs."""
+    return np.concatenate([*(np.frombuffer(x.as_buffer(), kind) for x in table.column(name)), np.zeros(0, kind)])
+
+
+def _docs(table: pa.Table) -> np.ndarray:
+    return np.repeat(_column(table, "docs", np.int64), _column(table, "n", np.int32))
+
+
+_ASK = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("docs", pa.binary()), ("n", pa.binary()), ("fp", pa.binary())])
+ASK_DDL = "bucket int, hot boolean, docs binary, n binary, fp binary"
+ASKED_DDL = "doc_id long, fp binary, hot binary"
+
+
+def _repeated(group: pa.Table, parts: int) -> pa.Table:
+    """Of a part's minimisers, those of several blocks, told to each block's document; and those that blocks knew of. Packed by bucket of documents."""
+    sent = pa.compute.invert(group.column("known"))
+    new, old = group.filter(sent), group.filter(group.column("known"))
+    doc, fp = _docs(new), _column(new, "fp", np.uint32)
     order = np.argsort(fp, kind="stable")
     doc, fp = doc[order], fp[order]
     cut = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1]))) if len(fp) else np.zeros(0, np.int64)
     n = np.diff(np.append(cut, len(fp)))
     n = np.repeat(n, n)
     doc, fp, hot = doc[n > 1], fp[n > 1], n[n > 1] >= HOT_BLOCKS
-    old = [i for i in range(len(known)) if known[i]]
-    kd, kf = cat([docs[i] for i in old], np.int64), cat([fps[i] for i in old], np.uint32)
-    return _by_doc(np.concatenate((doc, kd)), np.concatenate((fp, kf)), np.concatenate((hot, np.zeros(len(kd), bool))))
+    kd, kf = _docs(old), _column(old, "fp", np.uint32)
+    doc, fp, hot = np.concatenate((doc, kd)), np.concatenate((fp, kf)), np.concatenate((hot, np.zeros(len(kd), bool)))
+    bucket = _bucket(doc, parts).astype(np.int64) * 2 + hot
+    order = np.lexsort((doc, bucket))
+    doc, fp, bucket = doc[order], fp[order], bucket[order]
+    rows = [(p // 2, bool(p % 2), *_packed(doc[a:b]), fp[a:b].tobytes()) for p, a, b in _bins(bucket)]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ASK)], schema=_ASK)
+
+
+def _asked(group: pa.Table) -> pa.Table:
+    """One row for each document of a bucket."""
+    hot = np.repeat(group.column("hot").to_numpy(zero_copy_only=False), [len(x.as_buffer()) // 4 for x in group.column("fp")])
+    doc, fp = _docs(group), _column(group, "fp", np.uint32)
+    order = np.lexsort((hot, doc))
+    doc, fp, hot = doc[order], fp[order], hot[order]
+    rows = []
+    for p, a, b in _bins(doc):
+        c = a + int(np.searchsorted(hot[a:b], True))
+        rows.append((p, fp[a:c].tobytes(), fp[c:b].tobytes()))
+    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "fp": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
 
 
 _RUN = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("n", pa.binary()), ("start", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
@@ -178,9 +213,9 @@ RUNS, WINDOWS, SURE = 0, 1, 2
 SPAN_DDL = "doc_id long, starts array<long>, ends array<long>"
 
 
-def _member(doc: np.ndarray, fp: np.ndarray, lists: list[list[bytes]]) -> np.ndarray:
+def _member(doc: np.ndarray, fp: np.ndarray, lists: list[bytes]) -> np.ndarray:
     """Whether a document's list holds the fingerprint."""
-    asked = [np.frombuffer(b"".join(x), np.uint32) for x in lists]
+    asked = [np.frombuffer(x, np.uint32) for x in lists]
     have = np.concatenate([*asked, np.zeros(0, np.uint32)]).astype(np.uint64) | (np.repeat(np.arange(len(asked), dtype=np.uint64), [len(x) for x in asked]) << _U(32))
     have.sort()
     key = fp.astype(np.uint64) | (doc.astype(np.uint64) << _U(32))
@@ -219,15 +254,14 @@ def _runs(batches, parts: int, length: int = LENGTH):
             d, s, e, h, key, own, kind = (x[order] for x in (d, s, e, h, key, own, kind))
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
             kind[own > own[new][np.cumsum(new) - 1]] = SURE
-            part = (np.where(kind == SURE, mix(own.astype(np.uint64)), key) % _U(parts)).astype(np.int64)
+            part = np.where(kind == SURE, _bucket(own, parts), key % _U(parts)).astype(np.int64)
             order = np.lexsort((s, own, kind, part))
             d, s, e, own, kind, part = (x[order] for x in (d, s, e, own, kind, part))
             out: list[list] = [[] for _ in _RUN]
             for p, a, b in _bins(part * 4 + kind):
                 size = (e[a:b] - s[a:b]).astype(np.int32)
                 body = b"" if p % 4 == SURE else text[_spread(s[a:b], size)].tobytes()
-                first = np.flatnonzero(np.concatenate(([True], own[a + 1 : b] != own[a : b - 1])))
-                row = (p // 4, p % 4, own[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), (s[a:b] - at[d[a:b]]).astype(np.int32).tobytes(), size.tobytes(), body)
+                row = (p // 4, p % 4, *_packed(own[a:b]), (s[a:b] - at[d[a:b]]).astype(np.int32).tobytes(), size.tobytes(), body)
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _RUN, strict=True)], schema=_RUN)
@@ -293,22 +327,35 @@ def _least_gram(body: np.ndarray, begin: np.ndarray, size: np.ndarray, gram: int
 SORT_BYTES = 1_000_000
 
 
-def _factors(group: pa.Table, length: int = LENGTH) -> pa.Table:
-    """Spans that go, of a part's runs."""
+def _factors(group: pa.Table, parts: int, length: int = LENGTH) -> pa.Table:
+    """Spans that go, of a part's runs, packed by bucket of documents."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     kinds = group.column("kind").to_numpy()
     for kind in (RUNS, WINDOWS, SURE):
         rows = group.filter(pa.array(kinds == kind))
-        cat = lambda name, t: np.concatenate([*(np.frombuffer(x.as_buffer(), t) for x in rows.column(name)), np.zeros(0, t)])  # noqa: B023, E731
-        doc, start, size = np.repeat(cat("docs", np.int64), cat("n", np.int32)), cat("start", np.int32).astype(np.int64), cat("size", np.int32).astype(np.int64)
+        doc, start, size = _docs(rows), _column(rows, "start", np.int32).astype(np.int64), _column(rows, "size", np.int32).astype(np.int64)
         if kind == SURE:
             found.append((doc, start, start + size))
         elif len(doc):
-            body = cat("bytes", np.uint8)
+            body = _column(rows, "bytes", np.uint8)
             begin = np.cumsum(size) - size
             m, h = _least_gram(body, begin, size)
             found += _earlier_spans(m if kind == RUNS else h, h, doc, start, size, begin, body, length)
     doc, start, end = merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    bucket = _bucket(doc, parts)
+    order = np.lexsort((start, doc, bucket))
+    doc, start, end, bucket = doc[order], start[order], end[order], bucket[order]
+    rows = [(p, *_packed(doc[a:b]), start[a:b].astype(np.int32).tobytes(), end[a:b].astype(np.int32).tobytes()) for p, a, b in _bins(bucket)]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_CUT)], schema=_CUT)
+
+
+_CUT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("n", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
+CUT_DDL = "bucket int, docs binary, n binary, starts binary, ends binary"
+
+
+def _spans(group: pa.Table) -> pa.Table:
+    """One row of merged spans for each document of a bucket."""
+    doc, start, end = merged(_docs(group), _column(group, "starts", np.int32).astype(np.int64), _column(group, "ends", np.int32).astype(np.int64))
     cut = _bins(doc)
     offsets = pa.array([a for _, a, _ in cut] + [len(doc)], pa.int32())
     return pa.table({"doc_id": pa.array([p for p, _, _ in cut], pa.int64()), "starts": pa.ListArray.from_arrays(offsets, pa.array(start, pa.int64())), "ends": pa.ListArray.from_arrays(offsets, pa.array(end, pa.int64()))})
@@ -368,22 +415,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("length(text) >= %d" % LENGTH)
     size = text.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    asked = text.mapInArrow(lambda b: _seeds(b, parts), SEED_DDL).repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _repeated(t), ASK_DDL)
-    asked = asked.groupBy("doc_id").agg(F.collect_list("fp").alias("fp"), F.collect_list("hot").alias("hot"))  # at most a text's own size
+    asked = text.mapInArrow(lambda b: _seeds(b, parts), SEED_DDL).repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _repeated(t, parts), ASK_DDL)
+    asked = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _asked(t), ASKED_DDL)
     runs = text.join(asked, "doc_id").select("doc_id", "text", "fp", "hot").mapInArrow(lambda b: _runs(b, parts), RUN_DDL)
-    spans = runs.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _factors(t), SPAN_DDL)
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")).mapInArrow(_whole, SPAN_DDL)
-
-
-def _whole(batches):
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        starts, ends = batch.column(1), batch.column(2)
-        n = np.diff(starts.offsets.to_numpy())
-        row = np.repeat(np.arange(len(ids)), n)
-        row, s, e = merged(row, starts.flatten().to_numpy(zero_copy_only=False), ends.flatten().to_numpy(zero_copy_only=False))
-        off = pa.array(np.searchsorted(row, np.arange(len(ids) + 1)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(off, pa.array(s)), pa.ListArray.from_arrays(off, pa.array(e))], names=["doc_id", "starts", "ends"])
+    cuts = runs.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _factors(t, parts), CUT_DDL)
+    return cuts.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _spans(t), SPAN_DDL)
 
 
 def _kept_bytes(text: bytes, starts, ends) -> bytes:
