@@ -36,7 +36,7 @@ STRETCH = 8192
 #: Bytes of chunk texts remembered by a worker.
 CHUNK_MEMORY = 24_000_000
 #: Words remembered by a worker, in each of two generations.
-WORD_MEMORY = 300_000
+WORD_MEMORY = 450_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -113,6 +113,9 @@ class Encoder:
         self.plain = spec.get("decoder") is None
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.names = {str(i): self.tok.id_to_token(i) for i in range(size)}
+        end = spec["model"].get("end_of_word_suffix")
+        #: Ids of tokens that end a word, where the vocabulary marks them.
+        self.last = {i for i in range(size) if (self.tok.id_to_token(i) or "").endswith(end)} if end and self.isolated else set()
         self.chunks, self.words = Memory(CHUNK_MEMORY), Memory(WORD_MEMORY)
 
     def _ids(self, text: str) -> list[int]:
@@ -121,6 +124,16 @@ class Encoder:
     def _new(self, texts: list[str]) -> list[str]:
         return [" ".join(map(str, e.ids)) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _stems(self, words: list[str]) -> list[str]:
+        """Ids of words that are one run of letters each: encoded as one text and parted where a token ends a word."""
+        out, own = [], []
+        for i in self._ids(" ".join(words)):
+            own.append(str(i))
+            if i in self.last:
+                out.append(" ".join(own))
+                own = []
+        return out if len(out) == len(words) and not own else self._new(words)
+
     def _chunk(self, chunk: bytes) -> str:
         """The chunk's ids as decimals joined by one space."""
         got = self.chunks.get(chunk)
@@ -157,8 +170,10 @@ class Encoder:
                     else:
                         made[y] = x
         if fresh:
-            fresh = list(fresh)
-            for w, x in zip(fresh, self._new(fresh), strict=True):
+            plain = [w for w in fresh if w.isalpha() and max(w) < "\u0100"] if self.last else []
+            rest = [w for w in fresh if not (w.isalpha() and max(w) < "\u0100")] if self.last else list(fresh)
+            got = (self._stems(plain) if plain else []) + (self._new(rest) if rest else [])
+            for w, x in zip(plain + rest, got, strict=True):
                 made[w] = x
                 self.words.put(w, x)
         for w, own in parts.items():
