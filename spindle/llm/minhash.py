@@ -15,9 +15,12 @@ longer lists are skipped, as agreement is counted from the signatures of the pai
 are then confirmed on full sets.
 
 All pairs within a list would grow with its square. Instead (1) each list links its members to its most popular one,
-whose values most others share: the original of a group of edited copies; (2) components are formed; (3) in lists that
-still hold several components, pairs across components are merged. Pairs within a component can't change it, so none
-of them is needed and no link between components is lost.
+whose values most others share: the original of a group of edited copies; (2) components are formed; (3) lists that
+still hold several components are merged into clusters, each dealt in blocks of `BLOCK` classes, and two blocks meet in
+one task that counts the shingles all their classes share and gives only the links across components. So a cluster costs rows as its
+size times its number of blocks, and no pair is a row unless it is a link. Clusters beyond `CLUSTER` classes, which
+chains of loose collisions could make, go pair by pair as in (1). Pairs within a component can't change it, so none of them is
+needed and no link between components is lost.
 
 Defined results: null, empty or blank text: an empty set, linked with nothing. Fewer words than `width`: the whole
 sequence is the one shingle.
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindle.llm.common import documents, dropped, mix, raw, slices, table, words, written
@@ -38,6 +41,8 @@ JOINED = 6
 COORDINATES = 80
 COLLISIONS = 2
 MATCHES = 126
+BLOCK = 512
+CLUSTER = 20_000
 #: Similarity as parts of 100: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
 
@@ -160,6 +165,78 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, s
     return written(sure, "links")
 
 
+def _shared(ka: np.ndarray, da: np.ndarray, na: int, kb: np.ndarray, db: np.ndarray, nb: int) -> np.ndarray:
+    """How many shingles each pair of documents shares. k: shingles, d: their documents."""
+    both = np.intersect1d(np.unique(ka), np.unique(kb))
+    out = np.zeros((na, nb), dtype=np.float32)
+    ia, ib = np.searchsorted(both, ka), np.searchsorted(both, kb)
+    fa = np.append(both, _U(0))[ia] == ka if len(both) else np.zeros(len(ka), bool)
+    fb = np.append(both, _U(0))[ib] == kb if len(both) else np.zeros(len(kb), bool)
+    fa &= ia < len(both)
+    fb &= ib < len(both)
+    ia, da, ib, db = ia[fa], da[fa], ib[fb], db[fb]
+    for lo in range(0, len(both), 4096):
+        x, y = np.zeros((na, 4096), np.float32), np.zeros((nb, 4096), np.float32)
+        at, bt = (ia >= lo) & (ia < lo + 4096), (ib >= lo) & (ib < lo + 4096)
+        x[da[at], ia[at] - lo] = 1
+        y[db[bt], ib[bt] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def _sets_of(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, their documents, set sizes)."""
+    mask = (_U(1) << _BITS) - _U(1)
+    data, off = raw(texts)
+    keys, docs, sizes = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in _parts(off):
+        key, first = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
+        keys.append(key & mask)
+        docs.append((key >> _BITS).astype(np.int64) + lo)
+        sizes.append(np.diff(first))
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
+
+
+def _block_links(group: pa.Table, width: int, similarity: int, schema: pa.Schema) -> pa.Table:
+    """Links across components, of every pair of blocks in the group."""
+    group = group.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending"), ("b", "ascending"), ("rep", "ascending")])
+    where = np.stack([group.column(c).to_numpy() for c in ("cluster", "i", "j")])
+    cut = np.flatnonzero(np.concatenate(([True], (where[:, 1:] != where[:, :-1]).any(axis=0))))
+    found = []
+    for lo, hi in zip(cut, np.append(cut[1:], where.shape[1]), strict=True):
+        part = group.slice(int(lo), int(hi - lo))
+        b, comp = part.column("b").to_numpy(), part.column("c").to_numpy()
+        i, j = int(where[1, lo]), int(where[2, lo])
+        split = int(np.searchsorted(b, j)) if i != j else 0
+        key, doc, size = _sets_of(part.column("text"), width)
+        left = doc < split if i != j else np.ones(len(doc), bool)
+        right = doc >= split
+        n = len(b)
+        inter = _shared(key[left], doc[left], split if i != j else n, key[right], doc[right] - split, n - split)
+        nl, nr = size[: split if i != j else n], size[split:]
+        good = (inter > 0) & (100 * inter >= similarity * (nl[:, None] + nr[None, :] - inter)) & (comp[: len(nl)][:, None] != comp[split:][None, :])
+        x, y = np.nonzero(good)
+        y = y + split
+        found.append((part.column("rep").take(pa.array(x)), part.column("rep").take(pa.array(y))))
+    return pa.Table.from_arrays([pa.chunked_array([c for f in found for c in f[k].chunks], type=schema.field(k).type) for k in (0, 1)], schema=schema)
+
+
+def _cluster_links(members: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """members: rep, c, cluster, size. The links (a, b) across components within each cluster."""
+    spark = members.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    arrow = pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("rep")) - 1
+    own = members.withColumn("b", F.floor(rank / BLOCK).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))))
+    own = own.select("rep", F.dense_rank().over(Window.partitionBy("cluster").orderBy("c")).alias("c"), F.xxhash64("cluster").alias("cluster"), "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    text = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("text"))
+    own = own.join(text, F.col("rep") == F.col("_id"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.select("rep", "c", "cluster", "b", "i", "j", "text", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(parts)).alias("task"))
+    schema = pa.schema([("a", arrow), ("b", arrow)])
+    return written(dealt.groupBy("task").applyInArrow(lambda t: _block_links(t, width, similarity, schema), f"a {kind}, b {kind}"), "links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of every document. docs: doc_id, text."""
     docs = documents(docs, "text")
@@ -183,11 +260,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
     comp = components(links)
     placed = written(prefix.join(comp, prefix["rep"] == comp["id"], "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("c")), "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = placed.join(mixed, "key")
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & like(F.col("x.n_shingles"), F.col("y.n_shingles")))
-    cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _linked(cross, classes, docs, width, similarity)
+    left = written(placed.join(mixed, "key"), "left")
+    chain = left.groupBy("key").agg(F.min("rep").alias("b"))
+    cluster = components(left.join(chain, "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
+    size = cluster.groupBy("component").agg(F.count("*").alias("size"))
+    members = left.select("rep", "c").distinct().join(cluster.withColumnRenamed("id", "rep"), "rep").join(size, "component").withColumnRenamed("component", "cluster")
+    more = _cluster_links(members.where(F.col("size") <= CLUSTER), docs, width, similarity)
+    huge = members.where(F.col("size") > CLUSTER).select("rep")
+    if huge.limit(1).count():
+        left = left.join(huge, "rep", "left_semi")
+        x, y = left.alias("x"), left.alias("y")
+        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & like(F.col("x.n_shingles"), F.col("y.n_shingles")))
+        cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        more = more.unionByName(_linked(cross, classes, docs, width, similarity))
     if more.limit(1).count():
         dropped(comp)
         comp = components(links.union(more))
