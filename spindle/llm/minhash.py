@@ -258,10 +258,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
     links = _linked(star, classes, docs, width, similarity)
     # 2. pairs across the components so far, in lists that hold several
     comp = components(links)
-    placed = written(prefix.join(comp, prefix["rep"] == comp["id"], "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("c")), "placed")
+    placed = written(prefix.join(comp, prefix["rep"] == comp["id"], "left").select("key", "rep", "n_shingles", "popular", F.coalesce("component", "rep").alias("c")), "placed")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     left = written(placed.join(mixed, "key"), "left")
-    chain = left.groupBy("key").agg(F.min("rep").alias("b"))
+    chain = left.groupBy("key").agg(F.max(F.struct("popular", "rep")).alias("top")).select("key", F.col("top.rep").alias("b"))  # often the same one in all lists of a group
     cluster = components(left.join(chain, "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
     size = cluster.groupBy("component").agg(F.count("*").alias("size"))
     members = left.select("rep", "c").distinct().join(cluster.withColumnRenamed("id", "rep"), "rep").join(size, "component").withColumnRenamed("component", "cluster")
