@@ -19,7 +19,8 @@ One suffix array of all texts would need every suffix of the corpus in one order
 4. Spans are gathered by document, merged and cut out.
 
 A minimiser that many blocks hold may have as many classes; its windows are dealt one by one by their own hash, so that
-no partition gathers them.
+no partition gathers them. All its documents do so: what its part says of it goes to the block, whose bucket also has the block's
+other documents of it. Parts and fingerprints together decide that, so that a collision takes all documents of both minimisers along.
 
 Defined results: null text is empty; texts shorter than `LENGTH` bytes stay whole; matches within a document don't count.
 doc_id must be of an integer type.
@@ -106,12 +107,15 @@ def _bins(part: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(part[a]), int(a), int(b)) for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True)]
 
 
-_SEED = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("n", pa.binary()), ("fp", pa.binary()), ("known", pa.bool_())])
-SEED_DDL = "part int, docs binary, n binary, fp binary, known boolean"
+_SEED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("n", pa.binary()), ("fp", pa.binary()), ("of", pa.binary())])
+SEED_DDL = "part int, block long, docs binary, n binary, fp binary, of binary"
 
 
 def _seeds(batches, parts: int):
-    """Each block's minimisers, once each with the least document, by part; and at once those that several of its documents hold."""
+    """Each block's minimisers, once each with the least document, by part; and at once those that several of its documents hold, with their parts.
+
+    A block is named by its least document.
+    """
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         data, off = raw(batch.column(1))
@@ -127,6 +131,7 @@ def _seeds(batches, parts: int):
 
 
 def _seed_rows(doc: np.ndarray, m: np.ndarray, parts: int) -> pa.RecordBatch:
+    block = doc.min()
     out: list[list] = [[] for _ in _SEED]
     order = np.lexsort((doc, m))
     doc, m = doc[order], m[order]
@@ -139,12 +144,13 @@ def _seed_rows(doc: np.ndarray, m: np.ndarray, parts: int) -> pa.RecordBatch:
     several[:-1] |= ~new[1:]
     for known, pick in ((False, new), (True, several)):
         d, x = doc[pick], m[pick]
-        part = _bucket(d, parts) if known else (x % _U(parts)).astype(np.int32)
-        order = np.lexsort((d, part))
-        d, x, part = d[order], x[order], part[order]
+        of = (x % _U(parts)).astype(np.int32)
+        part = np.repeat(_bucket(np.array([block]), parts), len(d)) if known else of
+        order = np.lexsort((of, d, part))
+        d, x, part, of = d[order], x[order], part[order], of[order]
         fp = _fingerprint(x, parts)
         for p, a, b in _bins(part):
-            for col, v in zip(out, (p, *_packed(d[a:b]), fp[a:b].tobytes(), known), strict=True):
+            for col, v in zip(out, (p, int(block), *_packed(d[a:b]), fp[a:b].tobytes(), of[a:b].tobytes() if known else None), strict=True):
                 col.append(v)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _SEED, strict=True)], schema=_SEED)
 
@@ -168,41 +174,69 @@ def _docs(table: pa.Table) -> np.ndarray:
     return np.repeat(_column(table, "docs", np.int64), _column(table, "n", np.int32))
 
 
-_ASK = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("docs", pa.binary()), ("n", pa.binary()), ("fp", pa.binary())])
-ASK_DDL = "bucket int, hot boolean, docs binary, n binary, fp binary"
+_ASK = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("part", pa.int32()), ("blocks", pa.binary()), ("k", pa.binary()), ("docs", pa.binary()), ("n", pa.binary()), ("fp", pa.binary()), ("of", pa.binary())])
+ASK_DDL = "bucket int, hot boolean, part int, blocks binary, k binary, docs binary, n binary, fp binary, of binary"
 ASKED_DDL = "doc_id long, fp binary, hot binary"
 
 
 def _repeated(group: pa.Table, parts: int) -> pa.Table:
-    """Of a part's minimisers, those of several blocks, told to each block's document; and those that blocks knew of. Packed by bucket of documents."""
-    sent = pa.compute.invert(group.column("known"))
-    new, old = group.filter(sent), group.filter(group.column("known"))
+    """Of a part's minimisers, those of several blocks, told to each block; and those that blocks knew of (rows with `of`). Packed by bucket of blocks."""
+    sent = pa.compute.is_null(group.column("of"))
+    new, old = group.filter(sent), group.filter(pa.compute.invert(sent))
     doc, fp = _docs(new), _column(new, "fp", np.uint32)
+    block = np.repeat(new.column("block").to_numpy(), _lengths(new, "fp"))
     order = np.argsort(fp, kind="stable")
-    doc, fp = doc[order], fp[order]
+    doc, fp, block = doc[order], fp[order], block[order]
     cut = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1]))) if len(fp) else np.zeros(0, np.int64)
     n = np.diff(np.append(cut, len(fp)))
     n = np.repeat(n, n)
-    doc, fp, hot = doc[n > 1], fp[n > 1], n[n > 1] >= HOT_BLOCKS
-    kd, kf = _docs(old), _column(old, "fp", np.uint32)
-    doc, fp, hot = np.concatenate((doc, kd)), np.concatenate((fp, kf)), np.concatenate((hot, np.zeros(len(kd), bool)))
-    bucket = _bucket(doc, parts).astype(np.int64) * 2 + hot
-    order = np.lexsort((doc, bucket))
-    doc, fp, bucket = doc[order], fp[order], bucket[order]
-    rows = [(p // 2, bool(p % 2), *_packed(doc[a:b]), fp[a:b].tobytes()) for p, a, b in _bins(bucket)]
+    doc, fp, block, hot = doc[n > 1], fp[n > 1], block[n > 1], n[n > 1] >= HOT_BLOCKS
+    bucket = _bucket(block, parts).astype(np.int64) * 2 + hot
+    order = np.lexsort((doc, block, bucket))
+    doc, fp, block, bucket = doc[order], fp[order], block[order], bucket[order]
+    own = int(group.column("part")[0].as_py())
+    rows = [(p // 2, bool(p % 2), own, *_packed(block[a:b]), *_packed(doc[a:b]), fp[a:b].tobytes(), None) for p, a, b in _bins(bucket)]
+    for x in old.to_pylist():
+        count = np.array([len(x["fp"]) // 4], np.int32).tobytes()
+        rows.append((x["part"], False, None, np.array([x["block"]], np.int64).tobytes(), count, x["docs"], x["n"], x["fp"], x["of"]))
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ASK)], schema=_ASK)
 
 
+def _lengths(table: pa.Table, name: str) -> np.ndarray:
+    """Numbers of 4-byte values of a column of blobs."""
+    return np.array([len(x.as_buffer()) // 4 for x in table.column(name)], np.int64)
+
+
+def _place(fp: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Part and fingerprint of minimisers as one number."""
+    return (part.astype(np.uint64) << _U(32)) | fp.astype(np.uint64)
+
+
 def _asked(group: pa.Table) -> pa.Table:
-    """One row for each document of a bucket."""
-    hot = np.repeat(group.column("hot").to_numpy(zero_copy_only=False), [len(x.as_buffer()) // 4 for x in group.column("fp")])
-    doc, fp = _docs(group), _column(group, "fp", np.uint32)
-    order = np.lexsort((hot, doc))
-    doc, fp, hot = doc[order], fp[order], hot[order]
+    """One row for each document of a bucket's blocks: fingerprints, and places of hot minimisers."""
+    told = pa.compute.is_null(group.column("of"))
+    new, old = group.filter(told), group.filter(pa.compute.invert(told))
+    n = _lengths(new, "fp")
+    hot = np.repeat(new.column("hot").to_numpy(zero_copy_only=False).astype(bool), n)
+    key = _place(_column(new, "fp", np.uint32), np.repeat(new.column("part").to_numpy().astype(np.int64), n))
+    block, doc = np.repeat(_column(new, "blocks", np.int64), _column(new, "k", np.int32)), _docs(new)
+    order = np.argsort(block, kind="stable")
+    hot, key, block, doc = hot[order], key[order], block[order], doc[order]
+    spans = {p: (a, b) for p, a, b in _bins(block)}
+    known = {int(np.frombuffer(x.as_buffer(), np.int64)[0]): i for i, x in enumerate(old.column("blocks"))}
     rows = []
-    for p, a, b in _bins(doc):
-        c = a + int(np.searchsorted(hot[a:b], True))
-        rows.append((p, fp[a:c].tobytes(), fp[c:b].tobytes()))
+    for one in sorted(spans.keys() | known.keys()):
+        a, b = spans.get(one, (0, 0))
+        d, x, h = doc[a:b], key[a:b], hot[a:b]
+        if one in known:
+            row = old.slice(known[one], 1)
+            kx = _place(_column(row, "fp", np.uint32), _column(row, "of", np.int32))
+            d, x, h = np.concatenate((d, _docs(row))), np.concatenate((x, kx)), np.concatenate((h, np.isin(kx, x[h])))
+        order = np.lexsort((h, d))
+        d, x, h = d[order], x[order], h[order]
+        for p, a, b in _bins(d):
+            c = a + int(np.searchsorted(h[a:b], True))
+            rows.append((p, (x[a:c] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), x[c:b].tobytes()))
     return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "fp": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
 
 
@@ -226,6 +260,16 @@ def _member(doc: np.ndarray, fp: np.ndarray, lists: list[bytes]) -> np.ndarray:
     return have[at] == key
 
 
+def _hot(doc: np.ndarray, key: np.ndarray, lists: list[bytes]) -> np.ndarray:
+    """Whether a document's list holds the place of a minimiser."""
+    asked = [np.frombuffer(x, np.uint64) for x in lists]
+    have = np.unique(np.concatenate([*asked, np.zeros(0, np.uint64)]))
+    if not len(have):
+        return np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(have, key), len(have) - 1)
+    return (have[at] == key) & _member(doc, at.astype(np.uint32), [np.searchsorted(have, x).astype(np.uint32).tobytes() for x in asked])
+
+
 def _runs(batches, parts: int, length: int = LENGTH):
     """The runs that go on, by part: m, h (of the run's bytes), document, first byte, bytes; later copies in the block are sure to go."""
     for batch in batches:
@@ -237,7 +281,7 @@ def _runs(batches, parts: int, length: int = LENGTH):
             total = _prefix(text)
             doc, start, n, m = minimisers(text, at, total)
             fp = _fingerprint(m, parts)
-            cold, warm = _member(doc, fp, asked[lo:hi]), _member(doc, fp, hot[lo:hi])
+            cold, warm = _member(doc, fp, asked[lo:hi]), _hot(doc, _place(fp, m % _U(parts)), hot[lo:hi])
             cold &= ~warm
             k = n[warm]
             each = _spread(start[warm], k)  # the windows of hot runs

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,38 @@ def test_repeats_equal_brute_force(docs, none, hot, monkeypatch):
     assert repeats.removal(none).count() == 0
 
 
+def local_spans(texts, parts=3):
+    """The stages of repeated_spans without Spark (whose workers don't see changed module values)."""
+    def grouped(rows, f):
+        t = pa.Table.from_batches(rows) if isinstance(rows, list) else rows
+        key = t.column(0).to_pylist()
+        return pa.concat_tables([f(t.filter(pa.array([x == k for x in key]))) for k in sorted(set(key))])
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(list(texts), pa.int64()), "text": pa.array([t.encode() for t in texts.values()])})
+    asked = grouped(grouped(list(repeats._seeds([batch], parts)), lambda t: repeats._repeated(t, parts)), repeats._asked).to_pylist()
+    rows = [(x["doc_id"], texts[x["doc_id"]].encode(), x["fp"], x["hot"]) for x in asked]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k::2]], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["doc_id", "text", "fp", "hot"]) for k in range(2)]
+    runs = [x for b in batches for x in repeats._runs([b], parts)]
+    spans = grouped(grouped(runs, lambda t: repeats._factors(t, parts)), repeats._spans)
+    return {r["doc_id"]: (r["starts"], r["ends"]) for r in spans.to_pylist()}
+
+
+@pytest.mark.parametrize("hot", [96, 3, 2])
+def test_repeats_hot_blocks_reach_every_document(hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 4000)
+    shared, other = prose(40, 90), prose(30, 91)
+    texts = {i: prose(60, 100 + i) + (" " + shared[i % 5 :] if i % 6 < 4 else " " + other if i % 2 else "") + prose(60, 200 + i) for i in range(40)}
+    want = brute_repeats(texts)
+    spans = local_spans(texts)
+    got = {}
+    for d, t in texts.items():
+        starts, ends = spans.get(d, ([], []))
+        kept = repeats._kept_bytes(t.encode(), starts, ends)
+        got[d] = (len(t.encode()), len(t.encode()) - len(kept), len(starts), hashlib.sha256(kept).hexdigest())
+    assert got == want
+
+
 def test_repeats_cut_keeps_columns(docs):
     out = repeats.without_repeats(docs.where("doc_id in (0, 1, 2, 12)").dropDuplicates())
     assert out.columns == docs.columns
