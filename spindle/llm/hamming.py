@@ -5,8 +5,8 @@ most r. So a query looks into every segment's buckets at segment distance r = 0,
 finds on the whole code, and stops once its k-th verified distance is at most m * (r + 1) - 1: all nearer codes have been seen.
 
 Rows are dealt in blocks (any partitioning will do); each task indexes the distinct codes of its block and searches it
-for all queries, which come in blocks of bounded size (`QUERY_BLOCK`). A code that many rows share is one entry with its k
-least ids, as no more of them can be among the first k. Then the k best of each query are merged from k of each block.
+for all queries, which come in blocks of bounded size (`QUERY_BLOCK`). A code that many rows share is one entry with its least
+ids: k, and as many more as an id has rows in the block, since those may be the query's own; no more of them can be among the first k. Then the k best of each query are merged from k of each block.
 
 Results are exact, ordered by distance and then by id; a row is not its own neighbour.
 
@@ -49,7 +49,8 @@ class MultiIndex:
         new = np.concatenate(([True], codes[1:] != codes[:-1]))
         first = np.flatnonzero(new)
         rank = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
-        keep = rank <= k  # one more than k, as one may be the query itself
+        self.known, self.times = np.unique(ids, return_counts=True)
+        keep = rank < k + self.times.max(initial=0)  # more than k, as some may be the query's own
         self.ids, self.k = ids[keep], k
         self.codes = codes[first]
         self.first = np.searchsorted(np.cumsum(new)[keep], np.arange(1, len(first) + 2))
@@ -95,10 +96,12 @@ class MultiIndex:
         return ids, near
 
     def _rows(self, found: np.ndarray, dist: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(found) > self.k:  # codes farther than the (k + 1)-th can't matter: each holds a row at least, one may be the query
-            limit = np.partition(dist, self.k)[self.k]
+        at = np.searchsorted(self.known, own)
+        most = self.k + (int(self.times[at]) if at < len(self.known) and self.known[at] == own else 0)
+        if len(found) > most:  # codes farther than the k-th beside the query's own rows can't matter: each holds a row at least
+            limit = np.partition(dist, most - 1)[most - 1]
             found, dist = found[dist <= limit], dist[dist <= limit]
-        n = self.first[found + 1] - self.first[found]
+        n = np.minimum(self.first[found + 1] - self.first[found], most)
         ids = self.ids[np.repeat(self.first[found], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
         dist = np.repeat(dist, n)[ids != own]
         ids = ids[ids != own]

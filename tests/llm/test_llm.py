@@ -287,6 +287,20 @@ def test_top_k_equals_brute_force(spark):
         assert got[q] == sorted((int(x), i) for x, i in zip(d, ids, strict=True) if i != q)[:10]
 
 
+def test_top_k_of_an_id_in_many_rows():
+    # id 100 holds 12 rows of the code that 50 greater ids share, and 12 codes one bit away
+    near = np.uint64(1) << np.arange(12, dtype=np.uint64)
+    ids = np.concatenate((np.full(24, 100), np.arange(200, 250), [300, 301]))
+    codes = np.concatenate((np.zeros(12, np.uint64), near, np.zeros(50, np.uint64), near[:1], np.array([7 << 20], np.uint64)))
+    for keep in (np.ones(len(ids), bool), ids != 300, (ids < 200) | (ids > 299)):
+        x, c = ids[keep], codes[keep]
+        for own, code in ((100, np.uint64(0)), (300, near[0]), (999, np.uint64(3))):
+            d = np.bitwise_count(c ^ code)
+            want = sorted((int(n), int(i)) for n, i in zip(d, x, strict=True) if i != own)[:10]
+            got, dist = hamming.MultiIndex(x, c, 10).search(own, code)
+            assert list(zip(dist.tolist(), got.tolist(), strict=True)) == want
+
+
 def test_url_filter(spark):
     ev = [("l", "bad.com", "2024-01-10", "add"), ("l", "bad.com", "2024-01-20", "remove"), ("l", "bad.com", "2024-01-20", "add"), ("m", "x.bad.com", "2024-01-15", "add"), ("l", None, "2024-01-01", "add"), ("l", "q.org", "2024-01-01", "oops")]
     cap = [(1, "http://a.bad.com/p", "2024-01-09"), (2, "http://A.BAD.com./p", "2024-01-10"), (3, "https://u@x.bad.com:8/", "2024-01-19"), (4, "http://bad.com", "2024-01-20"), (5, "http://notbad.com", "2024-01-12"), (6, None, "2024-01-12"), (7, "nonsense", "2024-01-12"), (8, "http://bad.com", None), (3, "https://u@x.bad.com:8/", "2024-01-19"), (9, "http://q.org", "2024-01-12")]
