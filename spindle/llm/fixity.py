@@ -1,6 +1,7 @@
 """WARC records, and a Merkle fixity audit of two replicas.
 
-Records become WARC/1.1 bytes with their place in the archive (ordered offset ranges). Each record is hashed with its place, and
+Records become WARC/1.1 bytes, and stand in an archive in the order of their indices without gaps: offset ranges are running sums of
+lengths. Each record is hashed with its index and length, so that roots cover all ranges, and a lost record doesn't change those behind it; and
 every `FANOUT` neighbours are hashed again, level by level, until an archive has one root. Replicas with equal roots
 are equal; from unequal roots the audit descends only into the children of nodes that differ, to the records.
 
@@ -94,6 +95,13 @@ def offsets(records: DataFrame) -> DataFrame:
     return size.join(before, ["archive", "block"]).withColumn("ends", ends).select("archive", "idx", (F.col("ends") - F.col("n")).alias("begins"), "ends")
 
 
+def findings(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """The audit with byte ranges: in the primary, and of extra records in the replica."""
+    places = offsets(primary).withColumn("_extra", F.lit(False)).unionByName(offsets(replica).withColumn("_extra", F.lit(True)))
+    found = audit(primary, replica).withColumn("_extra", F.col("status") == "extra")
+    return found.join(places, ["archive", "idx", "_extra"], "left").select("archive", "idx", "status", "begins", "ends")
+
+
 def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The pages as archives, and a replica damaged by a fixed rule (there is no second copy here)."""
     pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / ARCHIVE).alias("archive"), (F.col("page_id") % ARCHIVE).alias("idx"), "page_id", "url", "html")
@@ -102,9 +110,7 @@ def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    primary, replica = _replicas(spark, sf_dir)
-    places = offsets(primary)
-    return audit(primary, replica).join(places, ["archive", "idx"], "left").select("archive", "idx", "status", "begins", "ends")
+    return findings(*_replicas(spark, sf_dir))
 
 
 OP9_SQL = r"""

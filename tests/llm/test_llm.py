@@ -287,6 +287,15 @@ def test_top_k_equals_brute_force(spark):
         assert got[q] == sorted((int(x), i) for x, i in zip(d, ids, strict=True) if i != q)[:10]
 
 
+def test_extra_records_have_the_replicas_offsets(spark):
+    rows = [(0, i, bytes([65 + i]) * (10 + i)) for i in range(5)]
+    ddl = "archive long, idx long, record binary"
+    primary = spark.createDataFrame([r for r in rows if r[1] != 3], ddl)
+    replica = spark.createDataFrame([r for r in rows if r[1] != 1], ddl)
+    got = sorted(tuple(r) for r in fixity.findings(primary, replica).collect())
+    assert got == [(0, 1, "missing", 10, 21), (0, 3, "extra", 22, 35)]
+
+
 def test_top_k_of_an_id_in_many_rows():
     # id 100 holds 12 rows of the code that 50 greater ids share, and 12 codes one bit away
     near = np.uint64(1) << np.arange(12, dtype=np.uint64)
