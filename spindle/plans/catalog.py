@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions.hashing import draw, sample_id, stable_int, stable_seed
 from spindle.operators import baselines, contract, eda, features, metadata, sampling, sensitivity, tensors, validation, windows
-from spindle.schemas import CHANNEL_FEATURES, CHANNELS, CONTEXT_MINUTES, HORIZON_RATIOS, SPECTRAL_FEATURES, TIME_FEATURES, TRAJECTORY
+from spindle.schemas import CHANNELS, CHANNEL_FEATURES, CONTEXT_MINUTES, HORIZON_RATIOS, SPARSE_RETENTION, SPECTRAL_FEATURES, TIME_FEATURES, TRAJECTORY
 from spindle.sources.driver_tables import trajectories, waves
 
 QUERIES: dict = {}
@@ -532,3 +532,34 @@ def sensitivity_metrics(spark, sf_dir):
 def missing_predictions(spark, sf_dir):
     m = _eval_manifest(spark, sf_dir)
     return sensitivity.missing_predictions(m, _eval_predictions(m))
+
+
+# ---------------------------------------------------------------- sensitivity grid without a cap, in all regimes
+
+def _all_eval_manifest(spark, sf_dir):
+    return sensitivity.prepare(_long_snaps(spark, sf_dir), splits=("test",), regimes=tuple(SPARSE_RETENTION), seed=2026)
+
+
+def _all_cells(sql: str) -> str:
+    """SQL over every anchor and regime."""
+    regimes = ", ".join(f"('{r}', {p})" for r, p in SPARSE_RETENTION.items())
+    return sql.replace(" where k <= 2)", ")").replace("(values ('dense', 1.0), ('sparse_10', 0.1))", f"(values {regimes})")
+
+
+@query(_all_cells(ORACLE["sensitivity_grid"]))
+def sensitivity_grid_all(spark, sf_dir):
+    return _all_eval_manifest(spark, sf_dir).select("sample_id", "bearing_id", "context_window_min", "predict_ratio", "predict_horizon_min", "sparse_regime", "anchor_measurement_index", "context_count_k", "future_query_count_q")
+
+
+@query(_all_cells(ORACLE["sensitivity_metrics"]).replace("o.*, d.regime,", "o.*, d.kk, d.user_id, d.regime,").replace("{'g': 'condition', 'v': 'e'}", "{'g': 'condition', 'v': 'e'}, {'g': 'bearing', 'v': 'u' || user_id}, {'g': 'context_records', 'v': kk::varchar}").replace("round(sum(a) / sum(n), 4)", "round(sum(a) / sum(n) + 1e-7, 4)"))
+def sensitivity_metrics_all(spark, sf_dir):
+    """Every group; mean errors just at a rounding tie go up, as sums differ in their last bits."""
+    m = _all_eval_manifest(spark, sf_dir)
+    out = sensitivity.evaluate(m, _long_snaps(spark, sf_dir), _eval_predictions(m))
+    return out.select("model", "group_name", "group_value", "sparse_regime", "context_window_min", "predict_ratio", "evaluated_examples", "cell_record_count", "feature_sample_count", F.round(F.col("mae") + 1e-7, 4).alias("mae"), *[F.round(c, 4).alias(c) for c in ("rmse", "coverage_90", "mean_interval_width_90")])
+
+
+@query(_all_cells(ORACLE["missing_predictions"]))
+def missing_predictions_all(spark, sf_dir):
+    m = _all_eval_manifest(spark, sf_dir)
+    return sensitivity.missing_predictions(m, _eval_predictions(m))
