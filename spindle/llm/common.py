@@ -5,12 +5,16 @@ Defined results common to all operators of this subpackage
 * Only the columns an operator names are read; any other column of the input is ignored, whatever its name.
 * A null text is the empty text unless the operator says otherwise.
 * Rows whose key (``doc_id``) is null are no documents: they are left out.
-* Rows that repeat a ``doc_id`` are one document, with the greatest text of the repeats (null is least).
+* Rows that repeat a ``doc_id`` are one document, with the greatest text of the repeats (null is least). Both rules hold
+  in the stages of a pipeline too: these return one row for each doc_id, with all its columns.
 * Empty tables give empty results with the full schema.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1_000_000
 
 _own_dirs: dict[str, str] = {}
+_tables: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,45 +36,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local master (as in tests) gets a folder of its own; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spindle-")
+        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-spindle-")
     return _own_dirs[app]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """The same rows, read from a table in the shared folder: cuts lineage and survives lost executors."""
+    """The same rows, read from a table in the shared folder: cuts lineage and survives lost executors.
+
+    Tables go when `dropped` or when the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _tables.add(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(path: str) -> None:
+    from pyspark import SparkContext
+
+    jvm, context = SparkContext._jvm, SparkContext._active_spark_context
+    conf = context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+    _tables.discard(path)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files that `written` made, once nothing reads them any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark).split("://")[-1]
-    for f in df.inputFiles()[:1]:
-        folder = f.rpartition("/")[0]
-        if root in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files = df.inputFiles()[:1]
+    for path in [x for x in _tables if files and x.rpartition("/")[2] == files[0].rpartition("/")[0].rpartition("/")[2]]:
+        _delete(path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        for path in list(_tables):
+            _delete(path)
 
 
 def documents(df: DataFrame, *cols: str) -> DataFrame:
-    """doc_id and the named columns, one row for each doc_id that is not null.
+    """doc_id and the named columns (by default all, in their order), one row for each doc_id that is not null.
 
-    Ids alone are counted first (8 bytes a row); the texts are shuffled only if some id does repeat.
+    Ids alone are counted first (8 bytes a row); the texts are shuffled only if some id does repeat. Of repeats, the row with
+    the greatest text stays; of equal texts, that whose other columns (of types with an order) are greatest.
     """
-    out = df.select("doc_id", *cols).where(F.col("doc_id").isNotNull())
+    own = list(cols) or [c for c in df.columns if c.lower() != "doc_id"]
+    out = df.select(*(("doc_id", *cols) if cols else df.columns)).where(F.col("doc_id").isNotNull())
     repeats = out.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeats:
         return out
-    return out.groupBy("doc_id").agg(F.max(F.struct(*cols)).alias("_r")).select("doc_id", *[F.col("_r")[c].alias(c) for c in cols])
+    first = [c for c in own if c.lower() == "text"]
+    order = [*first, *(c for c in own if c not in first and "map<" not in df.schema[c].dataType.simpleString() and "variant" not in df.schema[c].dataType.simpleString())]
+    best = out.groupBy(F.col("doc_id")).agg(F.max_by(F.struct(*own), F.struct(*order)).alias("_r"))
+    return best.select(*["doc_id" if c.lower() == "doc_id" else F.col("_r")[c].alias(c) for c in out.columns])
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -77,6 +109,25 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+#: Bound of the ids (8 bytes each) that are broadcast to drop rows; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id the first column of gone doesn't hold. What is gone is worked out once, in a written table."""
+    name = fresh(docs, "_gone")
+    gone = small(written(gone.toDF(name), "gone"), BROADCAST_IDS)
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+
+
 def held_out(col: str = "doc_id"):
     """True for the fifth of the documents that no model may learn from."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0

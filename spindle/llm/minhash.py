@@ -8,19 +8,25 @@ A *coordinate* joins `JOINED` of these values into one, so that sets of similari
 probability 0.26, and sets of similarity 0.5, of which a group of loosely edited copies has as many pairs as the square of its size,
 with 0.016. Every class is posted under each of its `COORDINATES` (coordinate, value) pairs. A pair of classes is a
 candidate if it collides in at least `COLLISIONS` coordinates and in `MATCHES` values of the signature: at similarity
-0.8 that misses about 2 pairs in a million, and more similar pairs more rarely. Values that a single class has can't
+0.8 that misses about 2 pairs in a million (`recall` works it out), and more similar pairs more rarely. Values that a single class has can't
 collide, so a class with c values left and c < `COLLISIONS` is done (that skips nearly all of a corpus). Else, any
 candidate shares one of its c - COLLISIONS + 1 rarest values (its *prefix*); only these are posted again and merged;
 longer lists are skipped, as agreement is counted from the signatures of the pairs that the prefixes give. Candidates
 are then confirmed on full sets.
 
-All pairs within a list would grow with its square. Instead (1) each list links its members to its most popular one,
-whose values most others share: the original of a group of edited copies; (2) components are formed; (3) lists that
-still hold several components are merged into clusters, each dealt in blocks of `BLOCK` classes, and two blocks meet in
-one task that counts the shingles all their classes share and gives only the links across components. So a cluster costs rows as its
-size times its number of blocks, and no pair is a row unless it is a link. Clusters beyond `CLUSTER` classes, which
-chains of loose collisions could make, go pair by pair as in (1). Pairs within a component can't change it, so none of them is
-needed and no link between components is lost.
+A row for every pair within a list would grow with its square. Instead
+
+1. each list links its members to its most popular one, whose values most others share: the original of a group of edited
+   copies. These pairs are confirmed, and components formed;
+2. lists that still hold several components are dealt to tasks with their members' signatures, a long list in pairs of
+   parts of `LIST` members. A task counts how many values every pair across components agrees in; of the pairs over the
+   threshold it returns a forest, at most a row for each member;
+3. the trees of these forests are dealt in blocks of `BLOCK` classes with their texts, any two of which meet in one task. There the candidates
+   are confirmed on full sets, and again a forest is returned.
+
+So rows follow postings, and members times blocks; no pair is a row. The work within a task is still that of all pairs
+of a list or of a tree: a group of N classes that are alike but not linked costs N * N / `BLOCK` rows of texts. Pairs
+within a component can't change it, so none of them is needed and no link between components is lost.
 
 Defined results: null, empty or blank text: an empty set, linked with nothing. Fewer words than `width`: the whole
 sequence is the one shingle.
@@ -33,16 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import documents, dropped, mix, raw, slices, table, words, written
+from spindle.llm.common import documents, dropped, mix, raw, slices, small, table, without, words, written
 from spindle.llm.graph import components
 
 MINIMA = 192
 JOINED = 6
 COORDINATES = 80
 COLLISIONS = 2
-MATCHES = 126
+MATCHES = 120
+#: Members of a part of a list (some 400 bytes each).
+LIST = 4096
+#: Classes of a block, which come with their texts.
 BLOCK = 512
-CLUSTER = 20_000
+#: Links of a class with its most popular partner that one task confirms.
+STAR = 256
+#: Bound of the classes' ids (8 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
+BROADCAST_REPS = 500_000
 #: Similarity as parts of 100: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
 
@@ -118,7 +130,7 @@ def _signed(batches, width: int):
 def _postings(batches):
     """(key, rep) of each coordinate of each signature."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, MINIMA)
+        sig = _signatures(batch.column(1))
         key = np.repeat(np.arange(1, COORDINATES + 1, dtype=np.uint64)[None, :], len(sig), axis=0)
         with np.errstate(over="ignore"):
             for j in range(JOINED):
@@ -127,42 +139,102 @@ def _postings(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), rep], names=["key", "rep"])
 
 
-def _collide(batches):
-    """Pairs whose signatures agree in MATCHES coordinates at least."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, MINIMA) for i in (2, 3))
-        good = pa.array((x == y).sum(axis=1) >= MATCHES)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+def recall(similarity: float, tries: int = 100_000, seed: int = 1) -> float:
+    """The share of pairs of a similarity that become candidates, by drawing which values agree."""
+    rng = np.random.default_rng(seed)
+    found = 0
+    for at in range(0, tries, 10_000):
+        same = rng.random((min(10_000, tries - at), MINIMA)) < similarity
+        hits = sum(same[:, p].all(axis=1).astype(np.int64) for p in _PICK)
+        found += int(((hits >= COLLISIONS) & (same.sum(axis=1) >= MATCHES)).sum())
+    return found / tries
 
 
-def _confirm(batches, width: int, similarity: int):
-    """Pairs whose full sets are similar enough."""
-    mask = (_U(1) << _BITS) - _U(1)
-    for batch in batches:
-        (da, oa), (db, ob) = raw(batch.column(2)), raw(batch.column(3))
-        for lo, hi in _parts(oa + ob, 4_000_000):
-            sets = []
-            for d, o in ((da, oa), (db, ob)):
-                key, first = shingle_sets(d[o[lo] : o[hi]], o[lo : hi + 1] - o[lo], width)
-                sets.append((key, np.diff(first)))
-            (ka, na), (kb, nb) = sets
-            key = np.sort(np.concatenate((ka, kb)))
-            both = key[1:][key[1:] == key[:-1]]
-            inter = np.bincount((both >> _BITS).astype(np.int64), minlength=hi - lo)
-            good = pa.array((inter > 0) & (100 * inter >= similarity * (na + nb - inter)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(good), batch.column(1).slice(lo, hi - lo).filter(good)], names=["a", "b"])
-
-
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) that collide often enough and are confirmed on full sets."""
-    key = classes.schema["rep"].dataType.simpleString()
-    sig = lambda c: classes.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
-    near = written(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_collide, f"a {key}, b {key}"), "near")
-    asked = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(asked, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
-    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    sure = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda x: _confirm(x, width, similarity), f"a {key}, b {key}")
-    return written(sure, "links")
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, MINIMA)
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many values each signature of x agrees with each of y."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), strict=True):
+        out += a[:, None] == b[None, :]
+    return out
+
+
+def _united(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (each the least member of its tree) after x and y are linked pair by pair."""
+    while True:
+        a, b = label[x], label[y]
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        if (lo == hi).all():
+            return label
+        np.minimum.at(label, hi, lo)
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _cuts(*keys: np.ndarray):
+    """(from, to) of each run of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    return zip(at.tolist(), np.append(at[1:], len(new)).tolist(), strict=True)
+
+
+def _ranks(column) -> np.ndarray:
+    """A number for each distinct value."""
+    return pa.chunked_array(column).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+_PAIRS = 50_000  # pairs of signatures compared at once, in short lists
+
+
+def _short(lo: np.ndarray, hi: np.ndarray):
+    """All pairs of rows within runs lo .. hi, some at a time."""
+    n = hi - lo
+    row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    rest = np.repeat(hi, n) - row - 1
+    upto = np.concatenate(([0], np.cumsum(rest)))
+    for a, b in slices(upto, _PAIRS):
+        k = rest[a:b]
+        p = np.repeat(row[a:b], k)
+        yield p, p + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+
+
+def _forest(group: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Of lists (key, i, j, part, rep, c, sig), trees of the pairs across components whose signatures agree in MATCHES values."""
+    group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("part", "ascending"), ("rep", "ascending")])
+    key, i, j, part = (group.column(x).to_numpy() for x in ("key", "i", "j", "part"))
+    rep, c, sig = _ranks(group.column("rep")), _ranks(group.column("c")), _signatures(group.column("sig"))
+    label = np.arange(rep.max() + 1)
+    runs = np.array(list(_cuts(key, i, j)), np.int64).reshape(-1, 2)
+    tiny = (runs[:, 1] - runs[:, 0] <= 48) & (i[runs[:, 0]] == j[runs[:, 0]])
+    for p, q in _short(*runs[tiny].T):
+        some = (c[p] != c[q]) & (label[rep[p]] != label[rep[q]])
+        p, q = p[some], q[some]
+        good = (sig[p] == sig[q]).sum(axis=1) >= MATCHES
+        label = _united(label, rep[p[good]], rep[q[good]])
+    for lo, hi in runs[~tiny]:
+        mid = lo + int(np.searchsorted(part[lo:hi], j[lo])) if i[lo] != j[lo] else hi
+        for a in range(lo, mid, 1024):
+            x = slice(a, min(a + 1024, mid))
+            for b in range(mid if i[lo] != j[lo] else a, hi, 1024):
+                y = slice(b, min(b + 1024, hi))
+                some = (c[x][:, None] != c[y][None, :]) & (label[rep[x]][:, None] != label[rep[y]][None, :])
+                if some.any():
+                    p, q = np.nonzero((_agree(sig[x], sig[y]) >= MATCHES) & some)
+                    label = _united(label, rep[x][p], rep[y][q])
+    return _links_of(group.column("rep"), rep, label, schema)
+
+
+def _links_of(names, rank: np.ndarray, label: np.ndarray, schema: pa.Schema) -> pa.Table:
+    """(a, b) of each rank that isn't its own label."""
+    first = np.full(len(label), -1)
+    first[rank[::-1]] = np.arange(len(rank))[::-1]
+    moved = np.flatnonzero((label != np.arange(len(label))) & (first >= 0))
+    take = lambda x: pa.chunked_array(names).combine_chunks().take(pa.array(first[x]))
+    return pa.Table.from_arrays([take(label[moved]).cast(schema.field(0).type), take(moved).cast(schema.field(1).type)], schema=schema)
 
 
 def _shared(ka: np.ndarray, da: np.ndarray, na: int, kb: np.ndarray, db: np.ndarray, nb: int) -> np.ndarray:
@@ -197,44 +269,53 @@ def _sets_of(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
 
 
-def _block_links(group: pa.Table, width: int, similarity: int, schema: pa.Schema) -> pa.Table:
-    """Links across components, of every pair of blocks in the group."""
-    group = group.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending"), ("b", "ascending"), ("rep", "ascending")])
-    where = np.stack([group.column(c).to_numpy() for c in ("cluster", "i", "j")])
-    cut = np.flatnonzero(np.concatenate(([True], (where[:, 1:] != where[:, :-1]).any(axis=0))))
-    found = []
-    for lo, hi in zip(cut, np.append(cut[1:], where.shape[1]), strict=True):
-        part = group.slice(int(lo), int(hi - lo))
-        b, comp = part.column("b").to_numpy(), part.column("c").to_numpy()
-        i, j = int(where[1, lo]), int(where[2, lo])
-        split = int(np.searchsorted(b, j)) if i != j else 0
-        key, doc, size = _sets_of(part.column("text"), width)
-        left = doc < split if i != j else np.ones(len(doc), bool)
-        right = doc >= split
-        n = len(b)
-        inter = _shared(key[left], doc[left], split if i != j else n, key[right], doc[right] - split, n - split)
-        nl, nr = size[: split if i != j else n], size[split:]
-        good = (inter > 0) & (100 * inter >= similarity * (nl[:, None] + nr[None, :] - inter)) & (comp[: len(nl)][:, None] != comp[split:][None, :])
-        x, y = np.nonzero(good)
-        y = y + split
-        found.append((part.column("rep").take(pa.array(x)), part.column("rep").take(pa.array(y))))
-    return pa.Table.from_arrays([pa.chunked_array([c for f in found for c in f[k].chunks], type=schema.field(k).type) for k in (0, 1)], schema=schema)
-
-
-def _cluster_links(members: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """members: rep, c, cluster, size. The links (a, b) across components within each cluster."""
-    spark = members.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow = pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("rep")) - 1
-    own = members.withColumn("b", F.floor(rank / BLOCK).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))))
-    own = own.select("rep", F.dense_rank().over(Window.partitionBy("cluster").orderBy("c")).alias("c"), F.xxhash64("cluster").alias("cluster"), "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    text = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("text"))
-    own = own.join(text, F.col("rep") == F.col("_id"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.select("rep", "c", "cluster", "b", "i", "j", "text", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(parts)).alias("task"))
+def _confirmed(group: pa.Table, width: int, similarity: int, schema: pa.Schema) -> pa.Table:
+    """Trees of the links in bins (bin, side, rep, c, sig, text): of sides 1 and 2 with one another, of side 0 with itself."""
+    group = group.sort_by([("bin", "ascending"), ("side", "ascending"), ("rep", "ascending")])
+    bins, side = group.column("bin").to_numpy(), group.column("side").to_numpy()
+    rep, c, sig = _ranks(group.column("rep")), _ranks(group.column("c")), _signatures(group.column("sig"))
+    label = np.arange(rep.max() + 1)
+    for lo, hi in _cuts(bins):
+        alone = side[lo] == 0
+        mid = hi if alone else lo + int(np.searchsorted(side[lo:hi], 2))
+        at = lo if alone else mid
+        near = (_agree(sig[lo:mid], sig[at:hi]) >= MATCHES) & (c[lo:mid][:, None] != c[at:hi][None, :])
+        if alone:
+            near = np.triu(near, 1)
+        x, y = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(x):
+            continue
+        (kx, dx, nx), (ky, dy, ny) = (_sets_of(group.column("text").take(pa.array(k)), width) for k in (lo + x, at + y))
+        inter = _shared(kx, dx, len(x), ky, dy, len(y))
+        p, q = np.nonzero(near[np.ix_(x, y)] & (inter > 0) & (100 * inter >= similarity * (nx[:, None] + ny[None, :] - inter)))
+        label = _united(label, rep[lo + x[p]], rep[at + y[q]])
+    return _links_of(group.column("rep"), rep, label, schema)
+
+
+def _dealt(rows: DataFrame, size: int, each: int, key: str, run) -> DataFrame:
+    """Links (a, b) from run over the rows, whose column `bin` is dealt by hash to tasks of about `each` of `size` rows."""
+    spark = rows.sparkSession
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[key]
     schema = pa.schema([("a", arrow), ("b", arrow)])
-    return written(dealt.groupBy("task").applyInArrow(lambda t: _block_links(t, width, similarity, schema), f"a {kind}, b {kind}"), "links")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("bin"), F.lit(tasks)))
+    return written(dealt.groupBy("task").applyInArrow(lambda t: run(t, schema), f"a {key}, b {key}"), "links")
+
+
+def _confirm(bins: DataFrame, classes: DataFrame, docs: DataFrame, key: str, width: int, similarity: int) -> DataFrame:
+    """bins: bin, side, rep, c. The links (a, b) that full sets confirm."""
+    bins = written(bins, "bins")
+    asked = small(bins.select(F.col("rep").alias("doc_id")).distinct(), BROADCAST_REPS)
+    texts = docs.join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"))
+    rows = bins.join(classes.select("rep", "sig"), "rep").join(texts, "rep").select("bin", "side", "rep", "c", "sig", "text")
+    return _dealt(rows, bins.count(), 2 * BLOCK, key, lambda t, schema: _confirmed(t, width, similarity, schema))
+
+
+def _paired(rows: DataFrame, by: str, n: str, part: int) -> DataFrame:
+    """Rows in as many copies as parts of `part` rows meet: columns part, i, j with i <= j."""
+    parts = F.ceil(F.col(n) / part).cast("int")
+    own = rows.withColumn("part", F.pmod(F.xxhash64(by, "rep"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return own.withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o")).drop("o")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -250,34 +331,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
     popular = F.struct(F.size("held").alias("c"), F.aggregate("held", F.lit(0.0), lambda x, v: x + F.log(v["df"].cast("double"))).alias("s"))  # an original shares all its values
     prefix = held.select("rep", popular.alias("popular"), F.explode(F.slice("held", 1, F.size("held") - COLLISIONS + 1)).alias("v")).select(F.col("v.key").alias("key"), "rep", "popular")
     prefix = written(prefix.join(classes.select("rep", "n_shingles"), "rep"), "prefix")
-    like = lambda x, y: (100 * F.least(x, y) >= similarity * F.greatest(x, y))  # noqa: E731  sizes that allow the similarity
     # 1. each list's most popular class with the others
+    like = 100 * F.least("n_shingles", "lead_n") >= similarity * F.greatest("n_shingles", "lead_n")  # sizes that allow the similarity
     lead = prefix.groupBy("key").agg(F.max(F.struct("popular", "rep", "n_shingles")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.rep").alias("lead"), F.col("top.n_shingles").alias("lead_n"))
-    star = prefix.join(lead, "key").where((F.col("rep") != F.col("lead")) & like(F.col("n_shingles"), F.col("lead_n"))).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    star = written(star, "star")
-    links = _linked(star, classes, docs, width, similarity)
-    # 2. pairs across the components so far, in lists that hold several
-    comp = components(links)
-    placed = written(prefix.join(comp, prefix["rep"] == comp["id"], "left").select("key", "rep", "n_shingles", "popular", F.coalesce("component", "rep").alias("c")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    star = written(prefix.join(lead, "key").where((F.col("rep") != F.col("lead")) & like).select("lead", "rep").distinct(), "star")
+    size = star.groupBy("lead").agg(F.ceil(F.count("*") / STAR).alias("bins"))
+    rays = star.join(size, "lead").select("lead", "rep", F.pmod(F.xxhash64("lead", "rep"), "bins").alias("k"))
+    bins = rays.select(F.xxhash64("lead", "k").alias("bin"), F.lit(2).alias("side"), "rep", F.col("rep").alias("c")).union(rays.select("lead", "k").distinct().select(F.xxhash64("lead", "k"), F.lit(1), "lead", "lead"))
+    links = _confirm(bins, classes, docs, key, width, similarity)
+    # 2. trees of the pairs across the components so far, in lists that hold several
+    comp = written(components(links), "components")
+    placed = written(prefix.join(comp, prefix["rep"] == comp["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "placed")
+    dropped(prefix)
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     left = written(placed.join(mixed, "key"), "left")
-    chain = left.groupBy("key").agg(F.max(F.struct("popular", "rep")).alias("top")).select("key", F.col("top.rep").alias("b"))  # often the same one in all lists of a group
-    cluster = components(left.join(chain, "key").where("rep <> b").select(F.col("rep").alias("a"), "b"))
-    size = cluster.groupBy("component").agg(F.count("*").alias("size"))
-    members = left.select("rep", "c").distinct().join(cluster.withColumnRenamed("id", "rep"), "rep").join(size, "component").withColumnRenamed("component", "cluster")
-    more = _cluster_links(members.where(F.col("size") <= CLUSTER), docs, width, similarity)
-    huge = members.where(F.col("size") > CLUSTER).select("rep")
-    if huge.limit(1).count():
-        left = left.join(huge, "rep", "left_semi")
-        x, y = left.alias("x"), left.alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & like(F.col("x.n_shingles"), F.col("y.n_shingles")))
-        cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        more = more.unionByName(_linked(cross, classes, docs, width, similarity))
+    lists = _paired(left.join(classes.select("rep", "sig"), "rep"), "key", "n", LIST).withColumn("bin", F.xxhash64("key", "i", "j"))
+    trees = components(_dealt(lists, left.count(), 2 * LIST, key, _forest))
+    # 3. their pairs on full sets
+    many = trees.groupBy("component").agg(F.count("*").alias("size"))
+    of = left.select(F.col("rep").alias("id"), "c").distinct()
+    members = trees.join(of, "id").join(many, "component").select(F.col("component").alias("tree"), F.col("id").alias("rep"), "c", "size")
+    blocks = _paired(members, "tree", "size", BLOCK)
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("part") == F.col("i"), 1).otherwise(2)
+    more = _confirm(blocks.select(F.xxhash64("tree", "i", "j").alias("bin"), side.alias("side"), "rep", "c"), classes, docs, key, width, similarity)
+    for t in (placed, left, star):
+        dropped(t)
     if more.limit(1).count():
         dropped(comp)
-        comp = components(links.union(more))
-    for t in (prefix, placed, star):
-        dropped(t)
+        comp = written(components(links.union(more)), "components")
     reps = classes.join(comp, classes["rep"] == comp["id"], "left").select("f1", "f2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))
     same = (signed["f1"] == reps["f1"]) & (signed["f2"] == reps["f2"]) & (signed["n_shingles"] == reps["n"])
     return signed.join(reps, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -285,8 +366,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
 
 def first_of_each(docs: DataFrame, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id; all columns stay."""
-    gone = near_duplicates(docs, width, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    docs = documents(docs)
+    return without(docs, near_duplicates(docs, width, similarity).where("doc_id <> component_id").select("doc_id"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

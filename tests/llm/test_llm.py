@@ -137,13 +137,17 @@ def brute_classes(texts, width=2):
     return {d: (len(sets[d]), top(d)) for d in ids}
 
 
-@pytest.mark.parametrize("block, cluster", [(512, 20_000), (2, 20_000), (512, 0)])
-def test_near_duplicates_equal_brute_force(spark, docs, none, block, cluster, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "CLUSTER", cluster)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 2).collect()}
+@pytest.mark.parametrize("part", [None, 2])
+def test_near_duplicates_equal_brute_force(spark, docs, none, part, monkeypatch):
+    if part:  # lists, blocks and stars in many parts
+        for name in ("LIST", "BLOCK", "STAR"):
+            monkeypatch.setattr(minhash, name, part)
+    odd = docs.withColumns({c: F.lit("x") for c in ("a", "b", "rep", "text_", "_gone", "bin", "key", "sig", "id", "component_id", "n_shingles")})
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(odd, 2).collect()}
     assert got == brute_classes(texts())
-    if block == 512 and cluster:
+    if not part:
+        kept = minhash.first_of_each(odd, 2)
+        assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, c) in got.items() if d == c)
         assert minhash.near_duplicates(none, 2).count() == 0
         return
     r, t = random.Random(9), {}
@@ -158,10 +162,33 @@ def test_near_duplicates_equal_brute_force(spark, docs, none, block, cluster, mo
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df, 2).collect()} == brute_classes(t)
 
 
+def test_signatures_find_pairs_at_the_limit():
+    assert minhash.recall(0.8, 200_000) >= 0.99999 and minhash.recall(0.85, 50_000) == 1.0
+
+
+def test_agreement_of_pairs_in_lists():
+    r = np.random.default_rng(8)
+    sig = r.integers(0, 65536, (70, minhash.MINIMA)).astype(np.uint16)
+    for x, y, n in ((0, 1, 120), (1, 2, 119), (3, 4, 192), (60, 61, 150), (5, 69, 130)):
+        sig[y] = sig[x].copy()
+        sig[y, n:] ^= 1
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for rows, c in ((np.arange(70), np.arange(70)), (np.arange(10), np.arange(10)), (np.arange(70), np.where(np.arange(70) < 2, 0, np.arange(70)))):
+        t = pa.table({"key": np.ones(len(rows), np.int64), "i": np.zeros(len(rows), np.int32), "j": np.zeros(len(rows), np.int32), "part": np.zeros(len(rows), np.int32), "rep": rows, "c": c[: len(rows)], "sig": [x.tobytes() for x in sig[rows]]})
+        got = {(x["a"], x["b"]) for x in minhash._forest(t, schema).to_pylist()}
+        whole = (sig[rows][:, None] == sig[rows][None]).sum(axis=2) >= minhash.MATCHES
+        want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(whole, 1)), strict=True) if c[a] != c[b]}
+        assert got == want  # no tree has three members here
+
+
 def test_components(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 60)], "a long, b long")
-    got = {r.id: r.component for r in graph.components(links).collect()}
-    assert got == {**{i: 1 for i in range(1, 31)}, 40: 40, 50: 40, 60: 40}
+    pairs = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 60), (60, 50), (50, 40), (70, 70)] + [(i, 1000 - i) for i in range(100, 140)] + [(100, 900 - i) for i in range(40)] + [(2000 - 7 * i % 41, 2000 - 7 * (i + 1) % 41) for i in range(40)]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    up = {x: x for p in pairs for x in p}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got == {x: c for x, c in up.items() if x != 70} and graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
 # -- decontamination
