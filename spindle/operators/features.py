@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.functions.signal import NAN, is_finite, spectral_features, time_features
+from spindle.functions.signal import NAN, is_finite, wave_features
 from spindle.schemas import (
-    CHANNEL_FEATURES, CHANNELS, CORRELATION_LIMIT, DIMENSION, FEATURE_VERSION, FEATURES, MEASUREMENT, OUTLIER_LIMIT, SPECTRAL_FEATURES, VALIDATION_BEARINGS,
+    CHANNEL_FEATURES, CHANNELS, CORRELATION_LIMIT, DIMENSION, FEATURE_VERSION, FEATURES, MEASUREMENT, OUTLIER_LIMIT, VALIDATION_BEARINGS,
 )
 
 
@@ -18,8 +20,8 @@ def split_of(experiment: str = "experiment_id", bearing: str = "bearing_id") ->
 
 def observation_features(obs: DataFrame) -> DataFrame:
     """Each observation with its 15 features (double) and its split; the waveform goes no further."""
-    with_time = obs.withColumns(time_features(F.col("vibration_signal"))).withColumn("_s", spectral_features("vibration_signal", "sampling_rate_hz"))
-    return with_time.withColumn("split", split_of()).select(*[c for c in obs.columns if c != "vibration_signal"], "split", *CHANNEL_FEATURES[:7], *[F.col(f"_s.{n}").alias(n) for n in SPECTRAL_FEATURES])
+    own = wave_features(F.col("vibration_signal"), F.col("sampling_rate_hz"))
+    return obs.select(*[c for c in obs.columns if c != "vibration_signal"], split_of().alias("split"), *[v.alias(k) for k, v in own.items()])
 
 
 def fit_scaler(features: DataFrame) -> DataFrame:
@@ -81,17 +83,42 @@ def feature_quality(long: DataFrame) -> DataFrame:
     return out.withColumn("outlier_rate", F.coalesce(F.try_divide(F.col("outlier_count"), F.col("finite_count")), F.lit(0.0)))
 
 
+_MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy", "lx", "hx", "ly", "hy")
+
+
+def _pair_moments(batches):
+    """Of each pair of features, over the batch's rows with both finite: count, means, co-moments and ranges."""
+    first, second = np.triu_indices(DIMENSION, 1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v = np.stack([np.asarray(x, np.float64) for x in batch.column(0).to_numpy(zero_copy_only=False)])
+        ok = np.isfinite(v)
+        mid = np.where(ok, v, 0.0).sum(axis=0) / np.maximum(ok.sum(axis=0), 1)  # sums of differences from here stay exact enough
+        d, m = np.where(ok, v - mid, 0.0), ok.astype(np.float64)
+        n, sums, squares, cross = m.T @ m, d.T @ m, (d * d).T @ m, d.T @ d
+        low = np.stack([np.where(ok & ok[:, [j]], v, np.inf).min(axis=0) for j in range(DIMENSION)], axis=1)  # of row's feature where column's is finite
+        high = np.stack([np.where(ok & ok[:, [j]], v, -np.inf).max(axis=0) for j in range(DIMENSION)], axis=1)
+        k = np.maximum(n, 1)
+        i, j = first[n[first, second] > 0], second[n[first, second] > 0]
+        sx, sy, c = sums[i, j], sums[j, i], k[i, j]
+        cols = (n[i, j], mid[i] + sx / c, mid[j] + sy / c, squares[i, j] - sx * sx / c, squares[j, i] - sy * sy / c, cross[i, j] - sx * sy / c, low[i, j], high[i, j], low[j, i], high[j, i])
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, cols)], names=["i", "j", *_MOMENTS])
+
+
 def high_correlations(snaps: DataFrame, limit: float = CORRELATION_LIMIT) -> DataFrame:
     """Pairs of features whose correlation over rows with both finite is at least the limit in size.
 
-    One pass: every row gives its 435 pairs, which are summed before the shuffle.
+    One pass: a batch of rows becomes one row of moments for each of the 435 pairs, and only those are shuffled.
     """
-    pairs = [(i, j) for i in range(DIMENSION) for j in range(i + 1, DIMENSION)]
-    spec = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    rows = snaps.select(F.col("raw_double").alias("v"), F.explode(spec).alias("p")).select("p.i", "p.j", F.expr("v[p.i]").alias("x"), F.expr("v[p.j]").alias("y")).where(is_finite(F.col("x")) & is_finite(F.col("y")))
-    got = rows.groupBy("i", "j").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), (F.max("x") - F.min("x")).alias("rx"), (F.max("y") - F.min("y")).alias("ry"))
+    part = snaps.select(F.col("raw_double").cast("array<double>").alias("v")).mapInArrow(_pair_moments, "i int, j int, " + ", ".join(f"{c} double" for c in _MOMENTS))
+    pair = Window.partitionBy("i", "j")
+    mean = lambda m: F.sum(F.col("n") * F.col(m)).over(pair) / F.sum("n").over(pair)
+    part = part.withColumn("dx", F.col("mx") - mean("mx")).withColumn("dy", F.col("my") - mean("my"))
+    total = lambda c, a, b: F.sum(F.col(c) + F.col("n") * F.col(a) * F.col(b)).alias(c)
+    got = part.groupBy("i", "j").agg(F.sum("n").alias("n"), total("cxx", "dx", "dx"), total("cyy", "dy", "dy"), total("cxy", "dx", "dy"), (F.max("hx") - F.min("lx")).alias("rx"), (F.max("hy") - F.min("ly")).alias("ry"))
     names = F.array(*[F.lit(n) for n in FEATURES])
-    r = F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))
+    r = F.try_divide(F.col("cxy"), F.sqrt(F.col("cxx")) * F.sqrt(F.col("cyy")))
     return got.where("n >= 2 and rx > 1e-12 and ry > 1e-12").select(names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"), r.alias("correlation"), F.abs(r).alias("absolute_correlation")).where(F.col("absolute_correlation") >= limit)
 
 

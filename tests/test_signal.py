@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindle.functions.hashing import sample_id, stable_int, stable_seed
-from spindle.functions.signal import spectral_row, time_features
+from spindle.functions.signal import spectral_statistics, time_features, wave_features
+from spindle.schemas import CHANNEL_FEATURES
 
 
 def stats(spark, x):
@@ -37,10 +38,34 @@ def test_time_features_equal_numpy(spark):
 
 def test_spectrum_finds_its_tone_and_first_of_ties():
     n = np.arange(64)
-    row = spectral_row(np.sin(2 * np.pi * 8 * n / 64), 25_600.0)
+    one = lambda x, rate: tuple(spectral_statistics(np.array([x], dtype=np.float64), rate)[0])
+    row = one(np.sin(2 * np.pi * 8 * n / 64), 25_600.0)
     assert row[0] == 3200.0 and row[1] == pytest.approx(1.0, rel=0.05) and row[5] == pytest.approx(row[2], rel=1e-3)
-    assert spectral_row(np.zeros(8), 100.0)[:3] == (12.5, 0.0, 0.0) and math.isnan(spectral_row(np.zeros(8), 100.0)[3])
-    assert all(math.isnan(v) for v in spectral_row(np.ones(1), 100.0)) and all(math.isnan(v) for v in spectral_row(np.ones(4), 0.0))
+    assert one(np.zeros(8), 100.0)[:3] == (12.5, 0.0, 0.0) and math.isnan(one(np.zeros(8), 100.0)[3])
+    assert all(math.isnan(v) for v in one(np.ones(1), 100.0)) and all(math.isnan(v) for v in one(np.ones(4), 0.0))
+
+
+def test_stacked_signals_equal_single_ones(spark):
+    """Signals of many lengths and rates, whole 32,768-sample ones among them, against sums over a plain Fourier transform."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in np.float32(r.normal(size=n))], rate) for i, (n, rate) in enumerate([(64, 25_600.0), (65, 25_600.0), (32_768, 25_600.0), (64, 8_000.0), (2, 100.0), (0, 100.0), (7, -1.0), (64, 25_600.0), (32_768, 25_600.0)])]
+    df = spark.createDataFrame([*rows, (9, None, 1.0), (10, [1.0, float("nan")], 10.0)], "i int, x array<float>, rate double").repartition(2)
+    got = {x.i: x for x in df.select("i", *[v.alias(k) for k, v in wave_features(F.col("x"), F.col("rate")).items()]).collect()}
+    assert all(math.isnan(got[i][n]) for i in (5, 9, 10) for n in CHANNEL_FEATURES)
+    for i, x, rate in rows:
+        x, n = np.array(x), len(x)
+        if n:
+            assert got[i]["std"] == pytest.approx(x.std()) and got[i]["peak_to_peak"] == pytest.approx(x.max() - x.min())
+        if n < 2 or rate <= 0:
+            assert math.isnan(got[i]["spectral_entropy"])
+            continue
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)) if n > 2 else np.ones(n)
+        f = np.abs(np.fft.fft((x - x.mean()) * w))[: n // 2 + 1] / w.sum()
+        f[1 : (n + 1) // 2] *= 2
+        hz = np.arange(len(f)) * rate / n
+        p = f * f / (f * f).sum()
+        assert got[i]["total_spectral_power"] == pytest.approx((f * f).sum()) and got[i]["spectral_entropy"] == pytest.approx(-(p[p > 0] * np.log(p[p > 0])).sum() / np.log(len(f)))
+        assert got[i]["dominant_frequency_hz"] == pytest.approx(hz[1:][f[1:].argmax()]) and got[i]["band_power_1000_5000_hz"] == pytest.approx((f * f)[(hz >= 1000) & ((hz < 5000) | (rate <= 10_000))].sum())
 
 
 def test_identifiers_equal_hashlib(spark):
