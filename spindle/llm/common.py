@@ -128,6 +128,15 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
+#: A hash is drawn from so many values, so that a share of any table is exact enough.
+SHARES = 1 << 50
+
+
+def share_of(wanted: float, rows: int) -> int:
+    """How many of SHARES hash values draw about `wanted` of `rows` rows."""
+    return max(1, int(SHARES * min(1.0, wanted / max(rows, 1))))
+
+
 def held_out(col: str = "doc_id"):
     """True for the fifth of the documents that no model may learn from."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0

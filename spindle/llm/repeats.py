@@ -13,9 +13,9 @@ One suffix array of all texts would need every suffix of the corpus in one order
    Only runs of such minimisers go on (a fingerprint that collides costs work and changes nothing).
 3. Runs, sent as their bytes alone, meet by minimiser. Runs with equal bytes are a class, whose least document is its first copy: in other documents they go whole.
    Where a minimiser has several classes (passages that end, or differ nearby), their suffixes are sorted by
-   prefix doubling up to `LENGTH` bytes. In suffix order, neighbours with that long a common prefix form an interval;
-   the previous or next smaller document in it exists, and gives a long enough previous factor, exactly where the
-   document is greater than the interval's least.
+   prefix doubling up to `LENGTH` bytes. In suffix order, the previous and the next position of a smaller document give a
+   suffix's longest previous factor: the greater of its common prefixes with the two (counted up to `LENGTH`).
+   A hash only proposes that runs are equal: their bytes are compared before either goes for sure.
 4. Spans are gathered by document, merged and cut out.
 
 A minimiser that many blocks hold may have as many classes; its windows are dealt one by one by their own hash, so that
@@ -36,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import SALT, documents, mix, powers, raw, slices, table, written
+from spindle.llm.common import SALT, documents, fresh, mix, powers, raw, slices, table, written
 
 LENGTH = 50
 GRAM = 18
@@ -297,7 +297,7 @@ def _runs(batches, parts: int, length: int = LENGTH):
             order = np.lexsort((own, h, key, kind))
             d, s, e, h, key, own, kind = (x[order] for x in (d, s, e, h, key, own, kind))
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
-            kind[own > own[new][np.cumsum(new) - 1]] = SURE
+            kind[own > own[_heads(new, text, s, e - s)]] = SURE
             part = np.where(kind == SURE, _bucket(own, parts), key % _U(parts)).astype(np.int64)
             order = np.lexsort((s, own, kind, part))
             d, s, e, own, kind, part = (x[order] for x in (d, s, e, own, kind, part))
@@ -328,6 +328,14 @@ def earlier(body: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarr
     body holds strings (begin, size) of at least `length` bytes. Suffixes are ordered by prefix doubling: ranks of 8
     bytes, then of 16 and 32, then of `length` by two overlapping halves.
     """
+    order, pos, of = suffix_order(body, begin, size, length)
+    factor = previous_factors(body, pos[order], doc[of[order]], length)
+    hit = np.sort(order[factor >= length])
+    return of[hit], pos[hit] - begin[of[hit]]
+
+
+def suffix_order(body: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, place, string) of the suffixes of `length` bytes at least; the order is that of their first `length` bytes, then of place."""
     pad = np.concatenate((body, np.zeros(length + 8, np.uint8)))
     n = len(body)
     word = np.zeros(n + length, np.uint64)
@@ -341,14 +349,68 @@ def earlier(body: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarr
         rank = _rank(rank[: len(rank) - (length - have)], rank[length - have :])
     k = size - length + 1
     pos = _spread(begin, k)
-    of = np.repeat(np.arange(len(begin)), k)
-    rank = rank[pos]
-    order = np.argsort(rank, kind="stable")  # the suffixes' order
-    rank, d = rank[order], doc[of[order]]
-    cut = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if len(rank) else np.zeros(0, np.int64)
-    least = np.repeat(np.minimum.reduceat(d, cut), np.diff(np.append(cut, len(d)))) if len(d) else d
-    hit = np.sort(order[d > least])
-    return of[hit], pos[hit] - begin[of[hit]]
+    return np.argsort(rank[pos], kind="stable"), pos, np.repeat(np.arange(len(begin)), k)
+
+
+def common_prefixes(body: np.ndarray, pos: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """How many bytes, up to `length`, each suffix of an order shares with the one before it (the first: 0)."""
+    out = np.zeros(len(pos), np.int16)
+    for at in range(1, len(pos), 20_000):
+        x, y = pos[at - 1 : at + 19_999], pos[at : at + 20_000]
+        x = x[: len(y)]
+        live = np.arange(len(y))
+        for j in range(length):  # those that still agree
+            live = live[body[x[live] + j] == body[y[live] + j]]
+            if not len(live):
+                break
+            out[at + live] += 1
+    return out
+
+
+def previous_factors(body: np.ndarray, pos: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The longest previous factor, up to `length` bytes, of each suffix (in suffix order) in a smaller document.
+
+    It is the greater of the common prefixes with the previous and the next suffix of a smaller document. Pointers to these
+    start at the neighbour and jump along the pointers of what they point at, as nothing between is smaller.
+    """
+    lcp = common_prefixes(body, pos, length)
+    best = np.zeros(len(pos), np.int16)
+    for side in (1, -1):
+        d = doc[::side]
+        share = lcp.copy() if side == 1 else np.append(lcp[1:], 0)[::-1].astype(np.int16)
+        to = np.arange(-1, len(d) - 1)
+        live = np.flatnonzero((to >= 0) & (share > 0))
+        live = live[d[to[live]] >= d[live]]
+        while len(live):
+            via = to[live]
+            low = np.minimum(share[live], share[via])
+            to[live], share[live] = to[via], low
+            live = live[(to[live] >= 0) & (low > 0)]
+            live = live[d[to[live]] >= d[live]]
+        found = np.where((to >= 0) & (d[np.maximum(to, 0)] < d), share, 0)
+        best = np.maximum(best, found[::side])
+    return best
+
+
+def _equal(body: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of these sizes at a and at b are equal, byte by byte."""
+    out = np.ones(len(a), bool)
+    edge = np.concatenate(([0], np.cumsum(size)))
+    for lo, hi in slices(edge):
+        if hi > lo and edge[hi] > edge[lo]:
+            other = np.flatnonzero(body[_spread(a[lo:hi], size[lo:hi])] != body[_spread(b[lo:hi], size[lo:hi])])
+            out[lo + np.searchsorted(edge[lo : hi + 1] - edge[lo], other, side="right") - 1] = False
+    return out
+
+
+def _heads(new: np.ndarray, body: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first row of each row's class. Classes (new: where one begins) are equal by hash; what differs in bytes becomes a class of its own."""
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    rows = np.flatnonzero(head != np.arange(len(head)))
+    same = size[rows] == size[head[rows]]
+    same[same] = _equal(body, start[rows[same]], start[head[rows[same]]], size[rows[same]])
+    head[rows[~same]] = rows[~same]
+    return head
 
 
 def _least_gram(body: np.ndarray, begin: np.ndarray, size: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -410,10 +472,10 @@ def _earlier_spans(m, h, doc, start, size, begin, body, length):
     order = np.lexsort((start, doc, h, m))
     m, h, doc, start, size, begin = (x[order] for x in (m, h, doc, start, size, begin))
     new = np.concatenate(([True], (m[1:] != m[:-1]) | (h[1:] != h[:-1])))
-    of = np.cumsum(new) - 1
-    later = doc > doc[new][of]
+    heads = _heads(new, body, begin, size)
+    head, of = np.unique(heads, return_inverse=True)
+    later = doc > doc[heads]
     yield doc[later], start[later], start[later] + size[later]
-    head = np.flatnonzero(new)
     same = m[head]
     first = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
     n = np.diff(np.append(first, len(same)))
@@ -421,6 +483,7 @@ def _earlier_spans(m, h, doc, start, size, begin, body, length):
     edges = np.concatenate(([0], np.cumsum(n[n > 1])))
     weight = np.concatenate(([0], np.cumsum(size[pick])))[edges]
     places = np.flatnonzero(~later)  # where the least document holds its class
+    places = places[np.argsort(of[places], kind="stable")]
     by = of[places]
     for lo, hi in slices(weight, SORT_BYTES):
         own = pick[edges[lo] : edges[hi]]
@@ -473,12 +536,13 @@ def _kept_bytes(text: bytes, starts, ends) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with starts and ends (null where nothing goes); the spans are broadcast if their counted size is small."""
+def _with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, starts and ends (null where nothing goes), and their names; the spans are broadcast if their counted size is small."""
     spans = written(spans, "spans")
     size = spans.agg(F.sum(16 * F.size("starts") + 40)).first()[0] or 0
-    spans = spans.withColumnRenamed("doc_id", "_span_id")
-    return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, docs["doc_id"] == spans["_span_id"], "left")
+    key, starts, ends = (fresh(docs, x) for x in ("_span_id", "_starts", "_ends"))
+    spans = spans.toDF(key, starts, ends)
+    return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, docs["doc_id"] == spans[key], "left"), starts, ends
 
 
 def removal(docs: DataFrame) -> DataFrame:
@@ -496,8 +560,8 @@ def removal(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array([a - len(b) for a, b in zip(n, kept, strict=True)], pa.int64()), pa.array([len(x or ()) for x in starts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
                 names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    both = _with_spans(docs, repeated_spans(docs))
-    return both.select("doc_id", F.col("text").cast("binary").alias("text"), "starts", "ends").mapInArrow(run, f"doc_id {key}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both, starts, ends = _with_spans(docs, repeated_spans(docs))
+    return both.select("doc_id", F.col("text").cast("binary").alias("text"), starts, ends).mapInArrow(run, f"doc_id {key}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -505,7 +569,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A span's edge may lie inside a character: the bytes of such a broken character become U+FFFD in the text.
     """
-    one = documents(docs, "text")
+    docs = documents(docs)
 
     def run(texts, starts, ends):
         import pandas as pd
@@ -513,8 +577,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return pd.Series([None if t is None else _kept_bytes(t.encode(), a, b).decode("utf-8", "replace") for t, a, b in zip(texts, starts, ends, strict=True)])
 
     cut = F.pandas_udf(run, "string")
-    both = _with_spans(docs, repeated_spans(one))
-    return both.select(*[F.when(F.col("starts").isNull(), F.col("text")).otherwise(cut("text", "starts", "ends")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    both, starts, ends = _with_spans(docs, repeated_spans(docs.select("doc_id", "text")))
+    return both.select(*[F.when(F.col(starts).isNull(), F.col("text")).otherwise(cut("text", starts, ends)).alias(c) if c.lower() == "text" else docs[c] for c in docs.columns])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

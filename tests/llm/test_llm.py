@@ -107,10 +107,48 @@ def test_repeats_hot_blocks_reach_every_document(hot, monkeypatch):
 
 
 def test_repeats_cut_keeps_columns(docs):
-    out = repeats.without_repeats(docs.where("doc_id in (0, 1, 2, 12)").dropDuplicates())
-    assert out.columns == docs.columns
+    odd = docs.where("doc_id in (0, 1, 2, 12)").dropDuplicates().withColumns({c: F.lit(c) for c in ("starts", "ends", "_starts", "_ends", "_span_id", "bucket")})
+    out = repeats.without_repeats(odd)
+    assert out.columns == odd.columns
     got = {r.doc_id: r.text for r in out.collect()}
-    assert got == {0: texts()[0], 1: "", 2: None, 12: ""}
+    assert got == {0: texts()[0], 1: "", 2: None, 12: ""} and {r.starts for r in out.collect()} == {"starts"}
+
+
+def test_repeats_of_an_id_with_two_texts(spark, docs):
+    base, other = prose(40, 70), "~ " + prose(60, 71)
+    rows = [(1, base), (2, "a " + base), (2, other), (2, other), (3, other), (None, base)]
+    out = {r.doc_id: r.text for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: base, 2: other, 3: ""}  # the greatest text of document 2 is its text, and the row without an id is no document
+
+
+def test_previous_factors_equal_their_definition():
+    r, length = random.Random(12), 12
+    for trial in range(30):
+        parts = [bytes(r.choice(b"ab") for _ in range(r.randint(length, 40))) for _ in range(r.randint(1, 8))]
+        doc = np.array([r.randint(1, 4) for _ in parts])
+        body = np.frombuffer(b"".join(parts), np.uint8)
+        size = np.array([len(p) for p in parts])
+        begin = np.cumsum(size) - size
+        order, pos, of = repeats.suffix_order(body, begin, size, length)
+        got = np.zeros(len(pos), int)
+        got[order] = repeats.previous_factors(body, pos[order], doc[of[order]], length)
+        heads = [bytes(body[p : p + length]) for p in pos]
+        assert [heads[i] for i in order] == sorted(heads)
+
+        def shared(x, y):
+            n = 0
+            while n < length and x[n] == y[n]:
+                n += 1
+            return n
+
+        want = [max([shared(heads[i], heads[j]) for j in range(len(pos)) if doc[of[j]] < doc[of[i]]], default=0) for i in range(len(pos))]
+        assert got.tolist() == want
+
+
+def test_runs_of_equal_hash_and_other_bytes_are_not_equal():
+    body = np.frombuffer(b"aaaabbbbaaaacccc", np.uint8)
+    new = np.array([True, False, False, False])
+    assert repeats._heads(new, body, np.array([0, 4, 8, 12]), np.array([4, 4, 4, 4])).tolist() == [0, 1, 0, 3]
 
 
 # -- near-duplicates
