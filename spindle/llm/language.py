@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import LOWER, documents, held_out, mix, raw, slices, table
+from spindle.llm.common import LOWER, SHARES, documents, held_out, mix, raw, share_of, slices, table
 from spindle.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 
 DIMS = 2048
@@ -115,8 +115,8 @@ def train(docs: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, per_
     have = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not have:
         return None
-    h = F.pmod(F.xxhash64(F.lit(43), F.col("doc_id")), F.lit(1_000_000))
-    share = F.create_map(*[x for k, n in have.items() for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, per_language / n))))])
+    h = F.pmod(F.xxhash64(F.lit(43), F.col("doc_id")), F.lit(SHARES))
+    share = F.create_map(*[x for k, n in have.items() for x in (F.lit(k), F.lit(share_of(per_language, n)))])
 
     def run(batches):
         for batch in batches:

@@ -2,7 +2,7 @@
 
 Each text becomes the set of its n-gram indicators; an indicator's value is the log ratio of its class frequencies
 (Naive Bayes), counted over *all* labelled training rows on Spark; a linear hinge-loss machine is then fitted by dual
-coordinate descent on a bounded sample of them (`SAMPLE_ROWS` rows, drawn by a hash of doc_id) and its margins are turned
+coordinate descent on a bounded sample of them (`SAMPLE_ROWS` rows, drawn by a hash of doc_id, `CLASS_ROWS` of either class at least) and its margins are turned
 into probabilities by a sigmoid fitted on rows of the sample that the machine didn't see.
 
 The n-grams are over words as they look (lower, title or upper case; digits; the sign before and after; a length class;
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import documents, held_out, mix, raw, slices, small, table, words
+from spindle.llm.common import SHARES, documents, held_out, mix, raw, share_of, slices, small, table, without, words
 from spindle.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 
 DIMS = 1 << 16
 #: Bound of the sample that the hinge-loss machine sees.
 SAMPLE_ROWS = 4000
+#: Rows of a rarer class that the sample has at least (or all of them), on average.
+CLASS_ROWS = 400
 #: Bound under which labels are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
@@ -127,9 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     p[sums.f], q[sums.f] = p[sums.f] + sums.pos, q[sums.f] + sums.neg
     r = np.log(p / (totals[1] + 2 * SMOOTHING)) - np.log(q / (totals[0] + 2 * SMOOTHING))
     h = F.xxhash64(F.lit(41), F.col("doc_id"))
-    share = min(1.0, 0.9 * sample_rows / n)
-    drawn = rows.where(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000)).select(text, "y", h.alias("h"))
-    got = drawn.mapInArrow(_as_rows, "y int, h long, f binary").limit(sample_rows).toPandas().sort_values("h")
+    share = [share_of(max(0.9 * sample_rows * totals[k] / n, min(CLASS_ROWS, 0.1 * sample_rows)), totals[k]) for k in (0, 1)]
+    drawn = rows.where(F.pmod(h, F.lit(SHARES)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select(text, "y", h.alias("h"))
+    got = drawn.mapInArrow(_as_rows, "y int, h long, f binary").orderBy("h").limit(sample_rows).toPandas()
     feats = [np.frombuffer(x, np.int32) for x in got.f]
     y = np.where(got.y.to_numpy() > 0, 1.0, -1.0)
     if len(set(y)) < 2:
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     else:
         a, b = 1.0, 0.0
     w = fit_hinge(scaled, y, DIMS)
-    return {"w": w[:DIMS] * r, "bias": float(w[DIMS]), "a": a, "b": b}
+    return {"w": w[:DIMS] * r, "bias": float(w[DIMS]), "a": a, "b": b + float(np.log(share[0] / share[1]))}  # the odds of the rows, not of the sample
 
 
 def scores(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
@@ -165,9 +167,9 @@ def scores(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier keeps, all columns as they were."""
-    one = documents(docs, "text")
-    bad = scores(one, train(one, labels)).where(F.col("score") < threshold).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    docs = documents(docs)
+    bad = scores(docs, train(docs, labels)).where(F.col("score") < threshold).select("doc_id")
+    return without(docs, bad)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
