@@ -1,20 +1,23 @@
 """WARC records, and a Merkle fixity audit of two replicas.
 
-Records become WARC/1.1 bytes, and stand in an archive in the order of their indices without gaps: offset ranges are running sums of
-lengths. Each record is hashed with its index and length, so that roots cover all ranges, and a lost record doesn't change those behind it; and
-every `FANOUT` neighbours are hashed again, level by level, until an archive has one root. Replicas with equal roots
-are equal; from unequal roots the audit descends only into the children of nodes that differ, to the records.
+Records become WARC/1.1 bytes, and stand in an archive in the order of their indices without gaps. Each record is hashed with its
+index and length. Every `FANOUT` neighbours are hashed again, each with its place and its offset range *within their parent*, level by
+level, until an archive has one root. So a root covers the ordered offset ranges of all its records, and yet a lost or longer record changes
+the hashes above it alone, not those of the records behind it. Replicas with equal roots are equal; from unequal roots the audit
+descends only into the children of nodes that differ, to the records. On its way down it adds up where each node begins in
+either replica, so that the ranges of what it finds need no pass over all records.
 
 A tree level is one grouping of the level below by (archive, index div FANOUT): a group never has more than FANOUT rows, whatever an
-archive's size, and levels shrink by that factor. Only hashes are shuffled, not records.
+archive's size, and levels shrink by that factor. Every level is written once and read again. Only hashes and lengths are shuffled, not records.
 
 Defined results: a null payload is an empty one. Records without archive or index are left out. Of records that repeat
-an index, all count, in the order of their hashes. A record that one replica lacks is `missing` or `extra`.
+an index, all count, in the order of their hashes, and their range is that of all. A record that one replica lacks is
+`missing` or `extra`. Empty replicas differ in nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindle.llm.common import table, written
@@ -36,70 +39,64 @@ def warc_records(pages: DataFrame) -> DataFrame:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """archive, node, hash: one leaf for each index. records: archive, idx, record."""
-    own = F.sha2(F.concat(F.concat_ws("|", F.col("archive").cast("string"), F.col("idx").cast("string"), F.octet_length("record").cast("string")).cast("binary"), F.lit("|").cast("binary"), F.coalesce("record", F.lit(b""))), 256)
-    one = records.where("archive is not null and idx is not null").select("archive", F.col("idx").cast("long").alias("node"), own.alias("hash"))
-    return _folded(one)
-
-
-def _folded(children: DataFrame) -> DataFrame:
-    return children.groupBy("archive", "node").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), "").cast("binary"), 256).alias("hash"))
+    """archive, node, hash, size: one leaf for each index. records: archive, idx, record."""
+    size = F.coalesce(F.octet_length("record"), F.lit(0)).cast("long")
+    own = F.sha2(F.concat(F.concat_ws("|", F.col("archive").cast("string"), F.col("idx").cast("string"), size.cast("string")).cast("binary"), F.lit("|").cast("binary"), F.coalesce("record", F.lit(b""))), 256)
+    one = records.where("archive is not null and idx is not null").select("archive", F.col("idx").cast("long").alias("node"), own.alias("hash"), size.alias("size"))
+    return one.groupBy("archive", "node").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), "").cast("binary"), 256).alias("hash"), F.sum("size").alias("size"))
 
 
 def parents(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The level above: each node's hash covers its children's places and hashes in order."""
-    child = F.struct("node", "hash")
-    return level.groupBy("archive", F.floor(F.col("node") / fanout).alias("up")).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: F.concat_ws(":", x["node"].cast("string"), x["hash"])), ",").cast("binary"), 256).alias("hash")).withColumnRenamed("up", "node")
+    """The level above: each node's hash covers its children's places, hashes and offset ranges in order."""
+    kids = F.array_sort(F.collect_list(F.struct("node", "hash", "size")))
+    blank = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("said"))
+    line = lambda s, x: F.concat(s["said"], F.concat_ws(":", x["node"].cast("string"), s["at"].cast("string"), (s["at"] + x["size"]).cast("string"), x["hash"]), F.lit(","))
+    whole = F.aggregate("kids", blank, lambda s, x: F.struct((s["at"] + x["size"]).alias("at"), line(s, x).alias("said")))
+    up = level.groupBy("archive", F.floor(F.col("node") / fanout).alias("node")).agg(kids.alias("kids")).select("archive", "node", whole.alias("whole"))
+    return up.select("archive", "node", F.sha2(F.col("whole.said").cast("binary"), 256).alias("hash"), F.col("whole.at").alias("size"))
 
 
 def tree(records: DataFrame, depth: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels from the leaves to the roots."""
+    """Levels from the leaves to the roots, each a written table."""
     levels = [written(leaves(records), "leaves")]
     for _ in range(depth):
-        levels.append(parents(levels[-1], fanout))
+        levels.append(written(parents(levels[-1], fanout), "nodes"))
     return levels
 
 
-def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """archive, idx, status (changed, missing, extra) of every record in which the replicas differ."""
+def _below(level: DataFrame, bad: DataFrame, begins: str, fanout: int) -> DataFrame:
+    """The children of bad nodes, with where they begin."""
+    up = bad.where(F.col(begins).isNotNull()).select(F.col("archive").alias("_a"), F.col("node").alias("_up"), F.col(begins).alias("_from"))
+    kids = level.join(up, (level["archive"] == up["_a"]) & (F.floor(level["node"] / fanout) == up["_up"]))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("archive", "_up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of `fanout` rows at most
+    return kids.select("archive", "node", "hash", "size", (F.col("_from") + before).alias(begins))
+
+
+def findings(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """archive, idx, status (changed, missing, extra), begins, ends of every record in which the replicas differ.
+
+    The byte range is that in the primary, and of extra records that in the replica.
+    """
     top = max((x.agg(F.max(F.col("idx").cast("long"))).first()[0] or 0) for x in (primary, replica))
     depth = 0
     while top // fanout**depth:
         depth += 1
-    a, b = tree(primary, depth, fanout), tree(replica, depth, fanout)
     bad = None
-    for x, y in zip(reversed(a), reversed(b), strict=True):
-        if bad is not None:  # only the children of nodes that differ
-            up = bad.select(F.col("archive").alias("_a"), F.col("node").alias("_up"))
-            inside = lambda t: t.join(up, (t["archive"] == up["_a"]) & (F.floor(t["node"] / fanout) == up["_up"]), "left_semi")
-            x, y = inside(x), inside(y)
-        y = y.withColumnRenamed("hash", "other")
-        bad = x.join(y, ["archive", "node"], "full_outer").where(~F.col("hash").eqNullSafe(F.col("other")))
+    for x, y in zip(reversed(tree(primary, depth, fanout)), reversed(tree(replica, depth, fanout)), strict=True):
+        if bad is None:
+            x, y = x.withColumn("begins", F.lit(0).cast("long")), y.withColumn("other_begins", F.lit(0).cast("long"))
+        else:  # only the children of nodes that differ
+            x, y = _below(x, bad, "begins", fanout), _below(y, bad, "other_begins", fanout)
+        y = y.withColumnsRenamed({"hash": "other", "size": "other_size"})
+        bad = written(x.join(y, ["archive", "node"], "full_outer").where(~F.col("hash").eqNullSafe(F.col("other"))), "differ")
     status = F.when(F.col("other").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
-    return bad.select("archive", F.col("node").alias("idx"), status.alias("status"))
+    at = F.coalesce("begins", "other_begins")
+    return bad.select("archive", F.col("node").alias("idx"), status.alias("status"), at.alias("begins"), (at + F.coalesce("size", "other_size")).alias("ends"))
 
 
-def offsets(records: DataFrame) -> DataFrame:
-    """archive, idx, begins, ends: each record's byte range in its archive.
-
-    Sums of blocks of records come first, so that a running sum never spans more than one block or the blocks of an archive.
-    """
-    from pyspark.sql import Window
-
-    size = records.select("archive", F.col("idx").cast("long").alias("idx"), F.octet_length("record").cast("long").alias("n")).withColumn("block", F.floor(F.col("idx") / 1024))
-    over = Window.partitionBy("archive").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = size.groupBy("archive", "block").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(over), F.lit(0))).drop("s")
-    own = Window.partitionBy("archive", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    ends = F.sum("n").over(own) + F.col("before")
-    return size.join(before, ["archive", "block"]).withColumn("ends", ends).select("archive", "idx", (F.col("ends") - F.col("n")).alias("begins"), "ends")
-
-
-def findings(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """The audit with byte ranges: in the primary, and of extra records in the replica."""
-    places = offsets(primary).withColumn("_extra", F.lit(False)).unionByName(offsets(replica).withColumn("_extra", F.lit(True)))
-    found = audit(primary, replica).withColumn("_extra", F.col("status") == "extra")
-    return found.join(places, ["archive", "idx", "_extra"], "left").select("archive", "idx", "status", "begins", "ends")
+def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """archive, idx, status of every record in which the replicas differ."""
+    return findings(primary, replica, fanout).select("archive", "idx", "status")
 
 
 def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

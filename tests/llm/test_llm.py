@@ -392,12 +392,32 @@ def test_fixity(spark):
     other = df.where("not (archive = 2 and idx = 17)").withColumn("record", F.when((F.col("archive") == 3) & (F.col("idx") == 299), F.lit(b"z")).otherwise(F.col("record")))
     other = other.union(spark.createDataFrame([(5, 1000, b"new")], df.schema))
     assert sorted((r.archive, r.idx, r.status) for r in fixity.audit(df, other).collect()) == [(2, 17, "missing"), (3, 299, "changed"), (5, 1000, "extra")]
-    place = {(r.archive, r.idx): (r.begins, r.ends) for r in fixity.offsets(df.where("archive = 1")).collect()}
-    at = 0
-    for i in range(300):
-        n = len(f"r1-{i}")
-        assert place[1, i] == (at, at + n)
-        at += n
+
+
+def test_fixity_ranges_and_odd_tables(spark):
+    r = random.Random(6)
+    rows = [(a, i, bytes(r.randrange(256) for _ in range(r.randint(0, 30)))) for a in (1, 2) for i in range(90) if i % 7] + [(1, 5, b"again"), (1, 5, b"again"), (2, 80, b"z" * 300_000)]
+    mine, theirs = [x for x in rows if x[:2] != (2, 11)], [(a, i, b + b"!") if (a, i) in ((1, 8), (2, 80), (2, 15)) else (a, i, b) for a, i, b in rows if (a, i) != (1, 29)]
+    ddl = "archive long, idx long, record binary, hash string, size long, node int, begins int, other string"
+    frame = lambda x: spark.createDataFrame([(*t, "h", 1, 2, 3, "o") for t in x], ddl)
+
+    def places(x):
+        out, at = {}, {}
+        for a, i, b in sorted(x):
+            old = out.get((a, i))
+            out[a, i] = (old[0] if old else at.get(a, 0), at.get(a, 0) + len(b))
+            at[a] = at.get(a, 0) + len(b)
+        return out
+
+    p, q = places(mine), places(theirs)
+    want = {(1, 8, "changed", *p[1, 8]), (2, 80, "changed", *p[2, 80]), (2, 15, "changed", *p[2, 15]), (1, 29, "missing", *p[1, 29]), (2, 11, "extra", *q[2, 11])}
+    assert {tuple(x) for x in fixity.findings(frame(mine), frame(theirs), fanout=4).collect()} == want
+    assert fixity.findings(frame([]), frame([])).count() == 0 and fixity.findings(frame(mine), frame([])).where("status <> 'missing'").count() == 0
+    levels = fixity.tree(frame(mine), 4, 4)
+    assert [x.where("archive = 2").agg(F.sum("size")).first()[0] for x in levels] == [sum(len(b) for a, _, b in mine if a == 2)] * 5
+    moved = fixity.tree(frame([(a, i, b[1:] if (a, i) == (2, 12) else b) for a, i, b in mine]), 1, 4)[1].where("archive = 2")
+    old = {x.node: x.hash for x in levels[1].where("archive = 2").collect()}
+    assert [x.node for x in moved.collect() if x.hash != old[x.node]] == [3]  # ranges are relative: later nodes keep their hashes
 
 
 def test_pipeline_stages(spark):
