@@ -1,13 +1,21 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
 Words are maximal runs of digits, letters (A-Z lower-cased) and bytes from 0x80 on. A *window* is `width` consecutive
-words of an item; an item of fewer words (but not none) is one window. Training documents stream through the automaton,
-which keeps the longest suffix read so far that is a substring of some item: a window of a long item ends where that
-length reaches `width`, and a short item ends where its own state is on the suffix-link path.
+words of an item; an item of fewer words (but not none) is one window. An automaton keeps the longest suffix read so far that
+is a substring of some item: a window of a long item ends where that length reaches `width`, and a short item ends where
+its own state is on the suffix-link path.
 
-Items are dealt to blocks of bounded size (`BLOCK_WORDS`); each block's automaton is small, is built once on the driver
-and goes to the executors, and the documents are streamed through each block. Before the automaton is stepped, word
-n-grams no longer than the shortest window drop the stretches of text that can't hold any window.
+1. Items are cut into pieces of `PIECE` words, which overlap so that no window is lost, and dealt to blocks of about `block_words` words.
+2. The documents are read once. Word n-grams of the windows, as bits of a map of fixed size, say which stretches of a text
+   may hold a window; the map only lets more through when it fills. Nearly all of a corpus ends here.
+3. Stretches meet the blocks whose n-grams they hold. A task builds its block's automaton and streams its stretches through it;
+   a block with many stretches is dealt to several tasks.
+4. Spans are gathered by document.
+
+What is broadcast is the map (at most `MAP_BITS` bits); neither items nor automata pass through the driver.
+
+`decontaminated` drops documents whose hit share reaches a limit; `without_spans` cuts spans out of the texts, beyond limits
+on a span's length and on the document's coverage.
 
 Defined results: null or empty text and text without words: no words, not contaminated. Items that are null, have no
 words or a null id: no window. Items that repeat an id are one item with the windows of all its rows.
@@ -15,7 +23,7 @@ words or a null id: no window. Items that repeat an id are one item with the win
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import documents, mix, raw, slices, table, words
+from spindle.llm.common import documents, fresh, mix, raw, slices, small, table, without, words, written
 
 WIDTH = 13
-#: Most item words in one automaton: bounds what is sent to the executors (about 100 MB).
-BLOCK_WORDS = 200_000
+#: Item words in one automaton, on average over blocks (some 500 bytes each, in a task).
+BLOCK_WORDS = 100_000
+#: Words of a piece of an item: no block gets more of an item at once.
+PIECE = 10_000
+#: Bits of the map of n-grams that documents are held against (32 MB), in parts of `PART_BITS`.
+MAP_BITS = 1 << 28
+PART_BITS = 1 << 16
+#: Stretches that one task streams through its automaton.
+STRETCHES = 20_000
 #: Share of a document's words that makes it contaminated: hit words * PARTS >= words.
 PARTS = 20
 
+#: Bound of the hit documents (some 200 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_HITS = 100_000
+
 MEMBER = np.zeros(256, dtype=bool)
 MEMBER[48:58] = MEMBER[65:91] = MEMBER[97:123] = MEMBER[128:] = True
 
@@ -152,65 +170,61 @@ def _grams(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-class Matcher:
-    """An automaton over a block of items, with the vocabulary and the seeds that find stretches worth stepping."""
-
-    def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH):
-        self.auto = SuffixAutomaton(width)
-        hashes = []
-        for _, text in items:
-            hashes.append(words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), MEMBER)[3])
-        self.vocab = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
-        seqs = [np.searchsorted(self.vocab, h) for h in hashes]
-        lens = [min(len(s), width) for s in seqs if len(s)]
-        self.k = min([3, *lens]) if lens else 0
-        for (item, _), seq in zip(items, seqs, strict=True):
-            self.auto.add(item, seq.tolist())
-        self.auto.close()
-        self.seeds = np.unique(np.concatenate([*(_grams(s, self.k) for s in seqs), np.zeros(0, np.uint64)])) if self.k else None
-        self.least = min(lens) if lens else 0
-
-    def find(self, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, set[str] | tuple]]:
-        """Windows in the words of several documents, by their word numbers; no window crosses documents."""
-        if not self.k or not len(h):
-            return []
-        at = np.searchsorted(self.vocab, h)
-        at[at == len(self.vocab)] = 0
-        known = self.vocab[at] == h
-        ids = np.where(known, at, -1)
-        g = _grams(ids, self.k)
-        if not len(g):
-            return []
-        k = self.k
-        pos = np.searchsorted(self.seeds, g)
-        pos[pos == len(self.seeds)] = 0
-        seed = (self.seeds[pos] == g) & (doc[: len(g)] == doc[k - 1 : k - 1 + len(g)])
-        for j in range(k):
-            seed &= known[j : j + len(g)]
-        # runs of seeds within one document
-        at = np.flatnonzero(seed)
-        if not len(at):
-            return []
-        cut = np.flatnonzero((np.diff(at) != 1) | (doc[at[1:]] != doc[at[:-1]])) + 1
-        out = []
-        for lo, hi in zip(at[np.concatenate(([0], cut))], at[np.concatenate((cut - 1, [len(at) - 1]))], strict=True):
-            hi += k
-            if hi - lo >= self.least:
-                out += [(lo + a, lo + b, x) for a, b, x in self.auto.scan(ids[lo:hi].tolist())]
-        return out
+def _order(n: int, width: int) -> int:
+    """The length of the n-grams that stand for the windows of an item of n words."""
+    return min(3, width, n)
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def _pieces(batches, width: int):
+    """(item, words, n): the word hashes of each item, in pieces; n is the item's whole number of words."""
+    for batch in batches:
+        data, off = raw(batch.column(1))
+        names = batch.column(0)
+        for lo, hi in slices(off):
+            _, _, doc, h = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], MEMBER)
+            first = np.searchsorted(doc, np.arange(hi - lo + 1))
+            at = [(d, p, min(p + PIECE, int(first[d + 1]))) for d in range(hi - lo) for p in range(int(first[d]), max(int(first[d]) + 1, int(first[d + 1]) - width + 1), PIECE - width + 1) if first[d + 1] > first[d]]
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array([lo + d for d, _, _ in at], pa.int64())), pa.array([h[a:b].tobytes() for _, a, b in at], pa.binary()), pa.array([int(first[d + 1] - first[d]) for d, _, _ in at], pa.int64())], names=["item", "words", "n"])
+
+
+def _seeds(batches, width: int):
+    """(seed, block): the n-grams of each piece, as hashes that hold their length too."""
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, (x, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            g = np.unique(_grams(np.frombuffer(x, np.uint64), _order(n, width)))
+            out.append(g)
+            of.append(np.full(len(g), block[i]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(of))], names=["seed", "block"])
+
+
+def _map_bits(batches, size: int):
+    for batch in batches:
+        x = np.unique(batch.column(0).to_numpy().view(np.uint64) % np.uint64(size)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x // PART_BITS), pa.array(x % PART_BITS)], names=["part", "bit"])
+
+
+def _map_part(group: pa.Table) -> pa.Table:
+    bits = np.zeros(PART_BITS, bool)
+    bits[group.column("bit").to_numpy()] = True
+    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
-def _rows(batches, matcher: Matcher, schema: pa.Schema):
+def _has(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    x = (g % np.uint64(8 * len(bits))).astype(np.int64)
+    return (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 != 0
+
+
+SCANNED = "doc_id {key}, n_words long, firsts array<int>, words array<binary>, begins array<binary>, ends array<binary>"
+
+
+def _stretches(batches, bits: np.ndarray, least: dict[int, int], schema: pa.Schema):
+    """One row for each document: its words' number, and its stretches with word hashes and byte places.
+
+    least: for each length of n-grams, the words of the shortest window that they stand for.
+    """
     for batch in batches:
         data, off = raw(batch.column(1))
         for lo, hi in slices(off):
@@ -218,21 +232,77 @@ def _rows(batches, matcher: Matcher, schema: pa.Schema):
             s, e, doc, h = words(data[base : off[hi]], off[lo : hi + 1] - base, MEMBER)
             n = hi - lo
             first = np.searchsorted(doc, np.arange(n + 1))
-            found: dict[int, list] = {}
-            for a, b, items in matcher.find(h, doc):
-                found.setdefault(int(doc[a]), []).append((int(a), int(b), items))
-            cols: list[list] = [[], [], [], [], []]
-            for d in range(n):
-                hits = found.get(d, ())
-                runs = _merged([(a, b) for a, b, _ in hits])
-                begin, w = int(off[lo + d] - base), int(first[d])
-                cols[0].append([a - w for a, _ in runs])
-                cols[1].append([b - w for _, b in runs])
-                cols[2].append([int(s[a]) - begin for a, _ in runs])
-                cols[3].append([int(e[b - 1]) - begin for _, b in runs])
-                cols[4].append(sorted({x for _, _, items in hits for x in items}))
+            edge = np.zeros(len(h) + 1, np.int32)  # the number of stretches that are open at each word
+            for k, shortest in least.items():
+                if len(h) < k:
+                    continue
+                at = np.flatnonzero(_has(bits, _grams(h, k)) & (doc[: len(h) - k + 1] == doc[k - 1 :]))
+                if not len(at):
+                    continue
+                cut = np.concatenate(([True], (np.diff(at) != 1) | (doc[at[1:]] != doc[at[:-1]])))
+                a, b = at[cut], np.append(at[np.flatnonzero(cut)[1:] - 1], at[-1]) + k
+                long = b - a >= shortest
+                np.add.at(edge, a[long], 1)
+                np.add.at(edge, b[long], -1)
+            open_ = np.cumsum(edge[:-1]) > 0
+            start = open_.copy()
+            start[1:] &= ~open_[:-1] | (doc[1:] != doc[:-1])
+            stop = open_.copy()
+            stop[:-1] &= ~open_[1:] | (doc[1:] != doc[:-1])
+            a, b = np.flatnonzero(start), np.flatnonzero(stop) + 1
+            own = np.searchsorted(doc[a], np.arange(n + 1)) if len(a) else np.zeros(n + 1, np.int64)
+            begin = off[lo + doc[a]] - base if len(a) else a
+            lists = pa.array(own, pa.int32())
+            blob = lambda f: pa.ListArray.from_arrays(lists, pa.array([f(x, y, z).tobytes() for x, y, z in zip(a, b, begin, strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, n), pa.array(np.diff(first), pa.int64()), *[pa.array(c, schema.field(i + 2).type) for i, c in enumerate(cols)]], schema=schema)
+                [batch.column(0).slice(lo, n), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(lists, pa.array((a - first[doc[a]]).astype(np.int32) if len(a) else np.zeros(0, np.int32))),
+                 blob(lambda x, y, z: h[x:y]), blob(lambda x, y, z: (s[x:y] - z).astype(np.int64)), blob(lambda x, y, z: (e[x:y] - z).astype(np.int64))], schema=schema)
+
+
+def _grams_of(batches, orders: list[int]):
+    """(seed, sid): the distinct n-grams of each stretch."""
+    for batch in batches:
+        out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, x in enumerate(batch.column(1).to_pylist()):
+            h = np.frombuffer(x, np.uint64)
+            g = np.unique(np.concatenate([_grams(h, k) for k in orders]))
+            out.append(g)
+            of.append(np.full(len(g), i))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(of)))], names=["seed", "sid"])
+
+
+def _matched(rows: pa.Table, items: pa.Table, width: int, schema: pa.Schema) -> pa.Table:
+    """(doc_id, starts, ends, byte_starts, byte_ends, items) of each stretch that holds a window. rows: stretches of a task; items: the pieces of its block."""
+    if not rows.num_rows or not items.num_rows:
+        return schema.empty_table()
+    hashes = [np.frombuffer(x, np.uint64) for x in items.column("words").to_pylist()]
+    vocab = np.unique(np.concatenate(hashes))
+    auto = SuffixAutomaton(width)
+    for name, h in zip(items.column("item").to_pylist(), hashes, strict=True):
+        auto.add(name, np.searchsorted(vocab, h).tolist())
+    auto.close()
+    out: list[list] = [[] for _ in schema]
+    for r in rows.select(["doc_id", "first", "words", "begins", "ends"]).to_pylist():
+        h = np.frombuffer(r["words"], np.uint64)
+        at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+        hits = list(auto.scan(np.where(vocab[at] == h, at, -1).tolist()))
+        if hits:
+            runs = _merged([(a, b) for a, b, _ in hits])
+            begins, ends = np.frombuffer(r["begins"], np.int64), np.frombuffer(r["ends"], np.int64)
+            row = (r["doc_id"], [r["first"] + a for a, _ in runs], [r["first"] + b for _, b in runs], [int(begins[a]) for a, _ in runs], [int(ends[b - 1]) for _, b in runs], sorted({x for _, _, own in hits for x in own}))
+            for col, v in zip(out, row, strict=True):
+                col.append(v)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -241,32 +311,48 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, bl
     docs: doc_id, text. items: item_id, text. Returns doc_id, n_words, starts, ends, byte_starts, byte_ends, items.
     """
     docs = documents(docs, "text")
-    key = docs.schema["doc_id"].dataType
-    ddl = SPANS.format(key=key.simpleString())
+    spark = docs.sparkSession
+    key = docs.schema["doc_id"].dataType.simpleString()
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[key]
+    # 1. pieces, blocks and the map of n-grams
     items = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null")
-    size = items.agg((F.sum(F.length("text")) / 2).cast("long")).first()[0] or 0  # a word takes two bytes at least
-    blocks = -(-size // block_words) or 1
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):  # each block is bounded by its dealt share; texts of one item stay together
-        matcher = Matcher([(r.item, bytes(r.text)) for r in dealt.where(F.col("block") == block).collect()], width)
-        shared = docs.sparkSession.sparkContext.broadcast(matcher)
-
-        def run(batches, shared=shared):
-            schema = None
-            for batch in batches:
-                schema = schema or pa.schema([("doc_id", batch.schema.field(0).type), ("n_words", pa.int64()), *[(x, pa.list_(pa.int64())) for x in ("starts", "ends", "byte_starts", "byte_ends")], ("items", pa.list_(pa.string()))])
-                yield from _rows([batch], shared.value, schema)
-
-        part = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, ddl)
-        out = part if out is None else out.unionByName(part)
-    if blocks == 1:
-        return out
-    return (
-        out.groupBy("doc_id")
-        .agg(F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "byte_starts", "byte_ends")], F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .mapInPandas(_joined, ddl)
-    )
+    pieces = written(items.mapInArrow(lambda b: _pieces(b, width), "item string, words binary, n long"), "pieces")
+    size = pieces.agg(F.sum(F.length("words") / 8)).first()[0] or 0
+    shortest = pieces.groupBy(F.least("n", F.lit(3)).alias("k")).agg(F.min("n").alias("n")).collect()
+    least = {_order(r.n, width): min(r.n, width) for r in sorted(shortest, key=lambda r: -r.k)}
+    orders = sorted(least)
+    blocks = -(-int(size) // block_words) or 1
+    dealt = written(pieces.select(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).alias("block"), "words", "n", "item"), "dealt")
+    seeds = written(dealt.select("block", "words", "n").mapInArrow(lambda b: _seeds(b, width), "seed long, block long").distinct(), "seeds")
+    large = min(MAP_BITS, max(PART_BITS, 1 << (64 * seeds.count()).bit_length()))
+    parts = seeds.select("seed").mapInArrow(lambda b: _map_bits(b, large), "part long, bit long").distinct().groupBy("part").applyInArrow(_map_part, "part long, bits binary").collect()  # MAP_BITS at most
+    bits = np.zeros(large // 8, np.uint8)
+    for r in parts:
+        bits[r.part * PART_BITS // 8 : (r.part + 1) * PART_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    packed = spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+    # 2. one pass over the documents
+    kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.binary())] * 3]
+    schema = pa.schema([("doc_id", arrow), *zip(("n_words", "firsts", "words", "begins", "ends"), kinds, strict=True)])
+
+    def scan(batches):
+        yield from _stretches(batches, np.frombuffer(zlib.decompress(packed.value), np.uint8), least, schema)
+
+    scanned = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, SCANNED.format(key=key)), "scanned")
+    # 3. stretches with the blocks whose n-grams they hold
+    one = F.explode(F.arrays_zip(F.col("firsts").alias("first"), F.col("words").alias("words"), F.col("begins").alias("begins"), F.col("ends").alias("ends")))
+    some = scanned.where(F.size("firsts") > 0).select("doc_id", one.alias("s")).select("doc_id", "s.*").withColumn("sid", F.concat_ws("/", F.col("doc_id").cast("string"), "first"))
+    pairs = written(some.select("sid", "words").mapInArrow(lambda b: _grams_of(b, orders), "seed long, sid string").join(seeds, "seed").select("sid", "block").distinct(), "pairs")
+    tasks = pairs.groupBy("block").agg(F.ceil(F.count("*") / STRETCHES).alias("tasks"))
+    rows = pairs.join(small(tasks, 100_000), "block").withColumn("task", F.pmod(F.xxhash64("sid"), "tasks")).join(some, "sid")
+    need = dealt.join(tasks, "block").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))).select("block", "task", "item", "words")
+    spans = pa.schema([("doc_id", arrow), *[(x, pa.list_(pa.int64())) for x in ("starts", "ends", "byte_starts", "byte_ends")], ("items", pa.list_(pa.string()))])
+    hits = rows.select("block", "task", "doc_id", "first", "words", "begins", "ends").groupBy("block", "task").cogroup(need.groupBy("block", "task")).applyInArrow(lambda x, y: _matched(x, y, width, spans), SPANS.format(key=key).replace("n_words long, ", ""))
+    # 4. by document
+    joined = hits.groupBy("doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "byte_starts", "byte_ends")], F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = written(joined.mapInPandas(_joined, SPANS.format(key=key).replace("n_words long, ", "")), "hits").withColumnRenamed("doc_id", "_id")
+    none = F.array().cast("array<long>")
+    lists = [F.coalesce(c, none).alias(c) for c in ("starts", "ends", "byte_starts", "byte_ends")]
+    return scanned.select("doc_id", "n_words").join(small(joined, BROADCAST_HITS), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_words", *lists, F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _joined(frames):
@@ -279,9 +365,28 @@ def _joined(frames):
 
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without those that are contaminated; all columns stay."""
+    docs = documents(docs)
     spans = contaminated_spans(docs, items, width)
-    bad = spans.where(_hit() & (PARTS * _n_hit() >= F.col("n_words"))).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, spans.where(_hit() & (PARTS * _n_hit() >= F.col("n_words"))).select("doc_id"))
+
+
+def without_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_words: int = 0, max_share: float = 0.0) -> DataFrame:
+    """The documents with contaminated spans cut out of their text; all columns stay.
+
+    A span goes if it has more than `max_words` words, and all spans of a document go if its hit words are more than the
+    share `max_share` of its words (with 0 for either, any span goes). Cuts are at words' edges, so no character is broken.
+    """
+    docs = documents(docs)
+    found = contaminated_spans(docs, items, width)
+    long = F.transform(F.filter(F.arrays_zip("starts", "ends", "byte_starts", "byte_ends"), lambda x: (x["ends"] - x["starts"] > max_words) | (_n_hit() > F.col("n_words") * max_share)), lambda x: F.struct(x["byte_starts"].alias("a"), x["byte_ends"].alias("b")))
+    name, cuts = fresh(docs, "_span_id"), fresh(docs, "_cuts")
+    some = found.where(_hit()).select(F.col("doc_id").alias(name), long.alias(cuts)).where(F.size(cuts) > 0)
+    raw_text = F.col("text").cast("binary")
+    edges = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))), F.col(cuts))
+    kept = F.transform(edges, lambda x, i: F.substring(raw_text, (x["b"] + 1).cast("int"), (F.coalesce(F.get(F.transform(edges, lambda y: y["a"]), i + 1), F.length(raw_text).cast("long")) - x["b"]).cast("int")))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.decode(F.aggregate(kept, F.lit(b""), lambda s, x: F.concat(s, x)), "UTF-8"))
+    both = docs.join(small(some, BROADCAST_HITS), docs["doc_id"] == F.col(name), "left")
+    return both.select(*[text.alias(c) if c.lower() == "text" else docs[c] for c in docs.columns])
 
 
 def _n_hit():

@@ -248,17 +248,38 @@ def brute_hits(texts, items, width=13):
     return out
 
 
-@pytest.mark.parametrize("block_words", [200_000, 40])
-def test_decontamination_equals_brute_force(spark, docs, none, block_words):
+@pytest.mark.parametrize("block_words, piece", [(100_000, 10_000), (40, 16)])
+def test_decontamination_equals_brute_force(spark, docs, none, block_words, piece, monkeypatch):
     base = texts()[0].split()
     items = [(1, " ".join(base[10:40])), (10, "One, two!"), (2, None), (3, ""), (4, prose(30, 77)), (5, " ".join(base[100:113])), (5, "ONE"), (6, " ".join(base[200:212])), (7, "x" * 5000)]
     bench = spark.createDataFrame(items + [(None, "one")], "item_id long, text string")
     small = docs.where("doc_id <> 20")
-    got = {r.doc_id: (r.n_words, sum(r.ends) - sum(r.starts), list(r["items"])) for r in decontaminate.contaminated_spans(small, bench, block_words=block_words).collect()}
+    odd = small.withColumns({c: F.lit(c) for c in ("starts", "ends", "words", "first", "sid", "seed", "block", "items", "_id", "_gone", "_cuts", "_span_id")})
+    got = {r.doc_id: (r.n_words, sum(r.ends) - sum(r.starts), list(r["items"])) for r in decontaminate.contaminated_spans(odd, bench, block_words=block_words).collect()}
     assert got == brute_hits({d: t for d, t in texts().items() if d != 20}, items)
-    left = {r.doc_id for r in decontaminate.decontaminated(docs.where("doc_id is not null"), bench).collect()}
-    assert {0, 5, 6, 23}.isdisjoint(left) and {2, 3, 4, 10, 20} <= left
+    if piece == 16:
+        return
+    left = {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()}
+    assert {0, 5, 6, 23}.isdisjoint(left) and {2, 3, 4, 10, 20} <= left and None not in left
     assert decontaminate.contaminated_spans(none, bench).count() == 0 and decontaminate.contaminated_spans(small, bench.limit(0)).where("size(items) > 0").count() == 0
+    want = {0: base[:10] + base[40:100] + base[113:200] + base[212:], 5: [], 7: "É né à la".split(), 10: texts()[10].split()}
+    for frame in (odd, small):
+        cut = decontaminate.without_spans(frame, bench)
+        assert cut.columns == frame.columns and {r.doc_id: (r.text or "").split() for r in cut.where("doc_id in (0, 5, 7, 10)").collect()} == want
+    words = {k: {r.doc_id: len((r.text or "").split()) for r in decontaminate.without_spans(small, bench, max_words=a, max_share=b).where("doc_id in (0, 5)").collect()} for k, (a, b) in {"long": (13, 1.0), "much": (999, 0.2), "never": (999, 1.0)}.items()}
+    assert words == {"long": {0: 270, 5: 1}, "much": {0: 300, 5: 0}, "never": {0: 300, 5: 1}}
+
+
+def test_pieces_of_items_keep_every_window(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 16)
+    text = prose(200, 31)
+    batch = pa.RecordBatch.from_pydict({"item": ["a", "b", "c", "d"], "text": pa.array([text.encode(), b"one two", b"", prose(16, 32).encode()])})
+    got = pa.Table.from_batches(list(decontaminate._pieces([batch], 13))).to_pylist()
+    count = lambda name, n: [len(np.frombuffer(x["words"], np.uint64)) for x in got if x["item"] == name and x["n"] == n]
+    assert count("b", 2) == [2] and count("d", 16) == [16] and all(13 <= n <= 16 for n in count("a", 200))
+    seen = {tuple(np.frombuffer(x["words"], np.uint64)[i : i + 13]) for x in got if x["item"] == "a" for i in range(len(x["words"]) // 8 - 12)}
+    _, _, _, h = decontaminate.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), decontaminate.MEMBER)
+    assert seen == {tuple(h[i : i + 13]) for i in range(188)}
 
 
 # -- tokens
