@@ -5,8 +5,11 @@ intervals (each ends where the pattern's next event begins), and an as-of join e
 entries that were active when it was fetched. A pattern matches its own host and every host below it, so a
 capture is looked up under each suffix of its host: an equi-join on (suffix = pattern) with the interval as condition.
 
-Skew: a list has few intervals for each pattern, so a host with a third of all captures meets only those; the intervals
-are broadcast when counted to be small, and else the join is a sort-merge join that AQE may split.
+Each distinct host is looked up once, under each of its suffixes, so that a suffix that no list has (or that most hosts have) costs a row for each
+host, not for each capture. The intervals that a host meets then join its captures.
+
+Skew: a pattern has few intervals, so a host with a third of all captures meets only those; the intervals
+are broadcast when counted to be small, and else the joins are sort-merge joins whose hot keys AQE may split.
 
 Defined results: a URL that is null or has no host has host null, no active entry and is not blocked. Events without
 pattern, date or list, or with another action than add or remove, are ignored. Of several events of a list's pattern at one time,
@@ -42,14 +45,15 @@ def intervals(events: DataFrame) -> DataFrame:
 
 def active_entries(captures: DataFrame, events: DataFrame, key: str = "page_id") -> DataFrame:
     """captures: key, url, fetched. Returns key, host, fetched, n_active, lists (sorted names of the lists that block it), blocked."""
+    span = intervals(events)
     seen = captures.select(F.col(key).alias("_k"), F.monotonically_increasing_id().alias("_row"), host().alias("host"), "fetched")
-    parts = F.split("host", r"\.")
+    parts = F.split("h", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
-    own = seen.withColumn("suffix", F.explode_outer(F.when(F.col("host").isNotNull(), suffix)))
-    span = small(intervals(events), BROADCAST_INTERVALS)
-    hit = (F.col("suffix") == F.col("pattern")) & (F.col("fetched") >= F.col("begins")) & (F.col("ends").isNull() | (F.col("fetched") < F.col("ends")))
-    got = own.join(span, hit, "left").groupBy("_row").agg(
-        F.first("_k").alias(key), F.first("host").alias("host"), F.first("fetched").alias("fetched"), F.count("pattern").alias("n_active"), F.array_sort(F.collect_set("list")).alias("lists"))
+    hosts = captures.select(host().alias("h")).where("h is not null").distinct().withColumn("suffix", F.explode(suffix))
+    met = hosts.join(small(span, BROADCAST_INTERVALS), F.col("suffix") == F.col("pattern")).select("h", "list", "begins", "ends")
+    hit = (F.col("host") == F.col("h")) & (F.col("fetched") >= F.col("begins")) & (F.col("ends").isNull() | (F.col("fetched") < F.col("ends")))
+    got = seen.join(small(met, BROADCAST_INTERVALS), hit, "left").groupBy("_row").agg(
+        F.first("_k").alias(key), F.first("host").alias("host"), F.first("fetched").alias("fetched"), F.count("h").alias("n_active"), F.array_sort(F.collect_set("list")).alias("lists"))
     return got.drop("_row").withColumn("blocked", F.col("n_active") > 0)
 
 
