@@ -4,8 +4,8 @@ A code's 64 bits are cut into m segments. If two codes differ in at most m * (r
 most r. So a query looks into every segment's buckets at segment distance r = 0, 1, 2, ..., verifies what it
 finds on the whole code, and stops once its k-th verified distance is at most m * (r + 1) - 1: all nearer codes have been seen.
 
-Rows are dealt in blocks (any partitioning will do); each task indexes the distinct codes of its block and searches it
-for all queries, which come in blocks of bounded size (`QUERY_BLOCK`). A code that many rows share is one entry with its least
+Rows are dealt by a hash of id to blocks of some `INDEX_BLOCK` rows, and queries to blocks of some `QUERY_BLOCK`. Any two blocks meet in one
+task, which indexes the distinct codes of its rows once and searches them for its queries; nothing passes through the driver. A code that many rows share is one entry with its least
 ids: k, and as many more as an id has rows in the block, since those may be the query's own; no more of them can be among the first k. Then the k best of each query are merged from k of each block.
 
 Results are exact, ordered by distance and then by id; a row is not its own neighbour.
@@ -28,10 +28,10 @@ from spindle.llm.common import table
 
 BITS = 64
 K = 10
-#: Queries sent to the executors at once (16 bytes each).
-QUERY_BLOCK = 50_000
-#: Rows that a task indexes at once.
-INDEX_BLOCK = 1_000_000
+#: Queries of a block (16 bytes each).
+QUERY_BLOCK = 200_000
+#: Rows of a block, which a task indexes.
+INDEX_BLOCK = 500_000
 
 
 def sign_codes(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -62,6 +62,7 @@ class MultiIndex:
             order = np.argsort(v, kind="stable")
             self.tables.append((order, np.searchsorted(v[order], np.arange((1 << self.width) + 1))))
         self.masks: dict[int, np.ndarray] = {}
+        self.stamp, self.turn = np.zeros(len(self.codes), dtype=np.int64), 0
 
     def segment(self, codes: np.ndarray, s: int) -> np.ndarray:
         return ((codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
@@ -73,7 +74,7 @@ class MultiIndex:
 
     def search(self, own: int, code: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest ids and their distances."""
-        seen = np.zeros(len(self.codes), dtype=bool)
+        self.turn += 1  # a code is seen if it bears this query's number
         found, dist = np.zeros(0, np.int64), np.zeros(0, np.int64)
         ids = near = np.zeros(0, np.int64)
         parts = [int(self.segment(np.array([code]), s)[0]) for s in range(self.m)]
@@ -86,12 +87,12 @@ class MultiIndex:
                 if not len(b):
                     continue
                 got = order[np.repeat(start[b], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
-                got = got[~seen[got]]
-                seen[got] = True
+                got = got[self.stamp[got] != self.turn]
+                self.stamp[got] = self.turn
                 found = np.concatenate((found, got))
                 dist = np.concatenate((dist, np.bitwise_count(self.codes[got] ^ code).astype(np.int64)))
             ids, near = self._rows(found, dist, own)
-            if (len(ids) == self.k and near[-1] <= self.m * (r + 1) - 1) or seen.all():
+            if (len(ids) == self.k and near[-1] <= self.m * (r + 1) - 1) or len(found) == len(self.codes):
                 break
         return ids, near
 
@@ -111,37 +112,26 @@ class MultiIndex:
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, id, distance, rank of the k nearest rows of codes (id, code) for each of queries (id, code)."""
-    spark = codes.sparkSession
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        part = queries.select("id", "code").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).distinct().toPandas()
-        shared = spark.sparkContext.broadcast((part["id"].to_numpy(np.int64), part["code"].to_numpy(np.int64).view(np.uint64)))
-
-        def run(batches, shared=shared):
-            own, asked = shared.value
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def flush():
-                index = MultiIndex(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), k)
-                held.clear()
-                for a in range(0, len(own), 256):
-                    got = [index.search(int(i), c) for i, c in zip(own[a : a + 256], asked[a : a + 256], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[a : a + 256], [len(x) for x, _ in got])), pa.array(np.concatenate([x for x, _ in got])), pa.array(np.concatenate([d for _, d in got]))], names=["query_id", "id", "distance"])
-
-            for batch in batches:
-                if len(batch):
-                    held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
-                if sum(len(x) for x, _ in held) >= INDEX_BLOCK:
-                    yield from flush()
-            if held and len(own):
-                yield from flush()
-
-        found = codes.select("id", "code").mapInArrow(run, "query_id long, id long, distance long")
-        out = found if out is None else out.unionByName(found)
+    codes, queries = codes.select("id", "code"), queries.select("id", "code").distinct()
+    blocks, sets = (max(1, -(-df.count() // size)) for df, size in ((codes, INDEX_BLOCK), (queries, QUERY_BLOCK)))
+    least = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(blocks, min(least, codes.limit(least * 2000).count() // 2000))  # small tables too are worked on in several tasks
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = codes.withColumn("block", F.pmod(F.xxhash64("id", "code"), F.lit(blocks))).withColumn("part", every(sets))
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("id", "code"), F.lit(sets))).withColumn("block", every(blocks))
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        got = []
+        if mine.num_rows and theirs.num_rows:
+            index = MultiIndex(mine.column("id").to_numpy(), mine.column("code").to_numpy().view(np.uint64), k)
+            for i, c in zip(theirs.column("id").to_numpy(), theirs.column("code").to_numpy().view(np.uint64), strict=True):
+                ids, near = index.search(int(i), c)
+                got.append((np.full(len(ids), i), ids, near))
+        return pa.table(dict(zip(("query_id", "id", "distance"), (np.concatenate([*(x[j] for x in got), np.zeros(0, np.int64)]) for j in range(3)), strict=True)))
+
+    found = rows.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(run, "query_id long, id long, distance long")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
