@@ -31,8 +31,8 @@ from spindle.llm.common import SALT, documents, mix, powers, raw, slices, table
 MEAN = 1024
 LEAST = 64
 ROLL = 32
-#: Bytes of whitespace-free text after which a chunk may end inside a word.
-STRETCH = 8192
+#: Bytes of whitespace-free text after which a chunk may end inside a word: shorter stretches go to the tokenizer whole.
+STRETCH = 1 << 20
 #: Bytes of chunk texts remembered by a worker.
 CHUNK_MEMORY = 24_000_000
 #: Words remembered by a worker, in each of two generations.
@@ -110,6 +110,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.isolated = isolates_words(spec)
+        self.folds = folds_letters(spec)
         self.plain = spec.get("decoder") is None
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.names = {str(i): self.tok.id_to_token(i) for i in range(size)}
@@ -161,7 +162,7 @@ class Encoder:
             if x is not None:
                 made[w] = x
                 continue
-            parts[w] = own = _stem(w)
+            parts[w] = own = _stem(w) if self.folds else (w,)
             for y in own:
                 if y not in made:
                     x = get(y)
@@ -182,11 +183,11 @@ class Encoder:
                 self.words.put(w, made[w])
         return made
 
-    def _joined(self, left: bytes, right: bytes) -> tuple[int, list[str], int] | None:
+    def _joined(self, left: bytes | bytearray, known, right: bytes) -> tuple[int, list[str], int] | None:
         """What a join changes: (tokens dropped at left's end, tokens put there, tokens dropped at right's start); None if nothing.
 
-        Windows double until the joined encoding begins as the left piece and ends as the right one do, each with
-        tokens to spare, or until they are the whole chunks.
+        known() gives left's ids. Windows double until the joined encoding begins as the left piece and ends as the right one do,
+        each with tokens to spare, or until they are all of both.
         """
         size = 1
         while True:
@@ -197,7 +198,9 @@ class Encoder:
                 return None
             whole = len(a) == len(left) and len(b) == len(right)
             same_a, same_b = _common(ia, both), _common(ib[::-1], both[::-1])
-            if whole or (same_a >= 2 and same_b >= 2 and same_a + same_b <= len(both) and self._ends(left, ia) and self._starts(right, ib)):
+            if whole:
+                return len(known()), both, len(self._chunk(right).split())
+            if same_a >= 2 and same_b >= 2 and same_a + same_b <= len(both) and known()[-len(ia) :] == ia and self._chunk(right).split()[: len(ib)] == ib:
                 return len(ia), both, len(ib)
             size = max(48, size * 2)
 
@@ -207,30 +210,30 @@ class Encoder:
         got = self.words.get(text.strip(" \n")) if self.isolated else None
         return got.split() if got is not None else [str(i) for i in self._ids(text)]
 
-    def _ends(self, chunk: bytes, ids: list[str]) -> bool:
-        return self._chunk(chunk).split()[-len(ids) :] == ids
-
-    def _starts(self, chunk: bytes, ids: list[str]) -> bool:
-        return self._chunk(chunk).split()[: len(ids)] == ids
-
     def encode(self, pieces: list[bytes]) -> str:
         """The ids of a text, given as its chunks, as decimals joined by one space."""
-        if not pieces:
-            return ""
-        done = [self._chunk(pieces[0])]
-        before = pieces[0]
-        for piece in pieces[1:]:
-            fix = self._joined(before, piece)
-            if fix is None:
-                done.append(self._chunk(piece))
-                before = piece
-                continue
-            # the join reaches into both chunks: from here on they count as one
-            before = before + piece
-            drop_a, put, drop_b = fix
-            left, right = done.pop().split(), self._chunk(piece).split()
-            done.append(" ".join(left[: len(left) - drop_a] + put + right[drop_b:]))
-            self.chunks.put(before, done[-1], len(before) + 64)
+        done: list[str] = []
+        left: bytes | bytearray = b""  # the chunk before, or those that repaired joins have made one
+        own: list[str] = []  # the latter's ids
+
+        def known() -> list[str]:
+            return own or self._chunk(bytes(left)).split()
+
+        for piece in pieces:
+            if left:
+                fix = self._joined(left, known, piece)
+                if fix is not None:  # the join reaches into both: from here on they count as one
+                    drop_a, put, drop_b = fix
+                    if not own:
+                        own, left = known(), bytearray(left)
+                    del own[len(own) - drop_a :]
+                    own += put + self._chunk(piece).split()[drop_b:]
+                    left += piece
+                    continue
+                done.append(" ".join(own) if own else self._chunk(left))
+            left, own = piece, []
+        if left:
+            done.append(" ".join(own) if own else self._chunk(left))
         return " ".join([x for x in done if x])
 
     def decode(self, ids: str) -> str:
@@ -261,12 +264,12 @@ def _odd_space(text: str) -> bool:
     return any(x in text for x in "\x1c\x1d\x1e\x1f")
 
 
-def _tail(chunk: bytes, size: int) -> bytes:
+def _tail(chunk: bytes | bytearray, size: int) -> bytes:
     """The end of a chunk from a word's start on: at least `size` bytes, or the whole chunk."""
     at = len(chunk) - size
     while at > 0 and not _SPACE[chunk[at]]:
         at -= 1
-    return chunk[max(at, 0) :]
+    return bytes(chunk[max(at, 0) :])
 
 
 def _head(chunk: bytes, size: int) -> bytes:
@@ -296,6 +299,14 @@ def isolates_words(spec: dict) -> bool:
     )
 
 
+def folds_letters(spec: dict) -> bool:
+    """Whether `_stem` holds: nothing but composition, blanks for white space and lower case comes before the split."""
+    norm = spec.get("normalizer") or {}
+    steps = norm.get("normalizers", [norm])
+    kinds = [x.get("type") for x in steps]
+    return "Lowercase" in kinds and all(k in ("NFC", "Lowercase") or k == "Replace" and x.get("pattern") == {"Regex": "\\s+"} for k, x in zip(kinds, steps, strict=True))
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -311,6 +311,36 @@ def test_joins_inside_words_are_repaired(monkeypatch):
             assert b"".join(chunks) == b and enc.encode(chunks) == " ".join(map(str, tok.encode(t, add_special_tokens=False).ids))
 
 
+def test_cased_tokenizers_and_long_blobs(tmp_path, monkeypatch):
+    import json
+    import time
+
+    from tokenizers import Tokenizer
+
+    with open(bpe.tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    tok, enc = Tokenizer.from_file(path), bpe.Encoder(path)
+    for t in ("Hello World", "HELLO, World! hello", "ÄÖ Straße. É"):
+        assert enc.encode([t.encode()]) == " ".join(map(str, tok.encode(t, add_special_tokens=False).ids))
+    r = random.Random(3)
+    blob = "".join(r.choice("abcdefgh") for _ in range(300_000))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = bpe.tokenizer_path(name)
+        tok, took = Tokenizer.from_file(path), []
+        want = " ".join(map(str, tok.encode(blob, add_special_tokens=False).ids))
+        for size in (len(blob), 100_000):
+            enc, start = bpe.Encoder(path), time.perf_counter()
+            b = blob[:size].encode()
+            got = enc.encode(bpe.chunks_of(np.frombuffer(b, np.uint8), np.array([0, size]))[0])
+            took.append(time.perf_counter() - start)
+            assert size < len(blob) or got == want
+        assert took[0] < 30 * max(took[1], 0.05)  # in proportion, with room
+
+
 def test_unigram_counts_equal_tokenizers(docs, none):
     import unicodedata
 
