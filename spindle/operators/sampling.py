@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.functions.hashing import draw, flag, sample_id, stable_seed, uniform
+from spindle.functions.signal import is_finite
 from spindle.operators.windows import eligible, future_pairs, pools
-from spindle.schemas import FEATURE_VERSION, LOOKBACK_SEC, MANIFEST_VERSION, MAX_CONTEXT, MAX_FUTURE, MIN_CONTEXT, SHORT_CONTEXT, SPARSE_RETENTION, TRAJECTORY
+from spindle.schemas import DIMENSION, FEATURE_VERSION, LOOKBACK_SEC, MANIFEST_VERSION, MAX_CONTEXT, MAX_FUTURE, MIN_CONTEXT, SHORT_CONTEXT, SPARSE_RETENTION, TRAJECTORY
 
 SPLITS = ("train", "validation", "test")
 REGIMES = ("main", "short_robustness")
@@ -61,10 +62,27 @@ def observed(indices: Column, anchor: Column, probability: float, seed: Column)
     return F.transform(indices, lambda i: (uniform(seed, F.lit("sparse"), i) < probability) | (i == anchor))
 
 
+def checked_rows(snaps: DataFrame, split: str) -> DataFrame:
+    """The split's snapshots that have a channel. Columns that are absent, and rows of the split that break the contract, raise."""
+    gone = sorted({*TRAJECTORY, "measurement_index", "elapsed_time_sec", "split", "feature_schema_version", "feature_dimension", "feature_vector", "horizontal_present", "vertical_present"} - set(snaps.columns))
+    if gone:
+        raise ValueError(f"snapshots lack the columns {gone}")
+    own = snaps.where(F.col("split") == split)
+    some = F.col("horizontal_present") | F.col("vertical_present")
+    rules = {
+        "feature version": F.col("feature_schema_version") == FEATURE_VERSION, "feature dimension": F.col("feature_dimension") == DIMENSION,
+        "finite vector": (F.size("feature_vector") == DIMENSION) & F.forall("feature_vector", is_finite),
+        "chronology": ~some | ((F.col("measurement_index") >= 1) & is_finite(F.col("elapsed_time_sec")))}
+    broken = own.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()]).first().asDict()
+    if any(broken.values()):
+        raise ValueError(f"snapshots of {split} break rules (rows): { {k: n for k, n in broken.items() if n} }")
+    return own.where(some)
+
+
 def sample_manifest(snaps: DataFrame, *, split: str, seed: int, anchors_per_trajectory: int | None, context_regime: str = "main", sparse_regime: str = "dense", epoch: int | None = None, full_remaining_lifecycle: bool = False, lookback: float = LOOKBACK_SEC) -> DataFrame:
     """One row for each sample: context and future as measurement indices and times relative to the anchor."""
     checked(split, seed, anchors_per_trajectory, context_regime, sparse_regime)
-    rows = snaps.where((F.col("split") == split) & (F.col("horizontal_present") | F.col("vertical_present")))
+    rows = checked_rows(snaps, split)
     key = [F.col(c) for c in TRAJECTORY]
     own = eligible(pools(rows, TRAJECTORY, lookback)).withColumn("tseed", stable_seed(seed, epoch if epoch is not None else -1, *key))
     own = choose_anchors(own, TRAJECTORY, anchors_per_trajectory, F.col("tseed"))

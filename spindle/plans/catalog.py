@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions.hashing import draw, sample_id, stable_int, stable_seed
 from spindle.operators import baselines, contract, eda, features, metadata, sampling, sensitivity, tensors, validation, windows
-from spindle.schemas import CHANNELS, CHANNEL_FEATURES, CONTEXT_MINUTES, HORIZON_RATIOS, SPARSE_RETENTION, SPECTRAL_FEATURES, TIME_FEATURES, TRAJECTORY
+from spindle.schemas import CHANNELS, CHANNEL_FEATURES, CONTEXT_MINUTES, DIMENSION, FEATURE_VERSION, HORIZON_RATIOS, SPARSE_RETENTION, SPECTRAL_FEATURES, TIME_FEATURES, TRAJECTORY
 from spindle.sources.driver_tables import trajectories, waves
 
 QUERIES: dict = {}
@@ -318,6 +318,7 @@ s4 as (select *, substr(sha256(concat_ws('|', 'XJTU-SY', experiment_id, bearing_
 
 def _manifest(spark, sf_dir, split="train", **kw):
     s = waves(spark, sf_dir).groupBy(*TRAJECTORY, "measurement_index", "elapsed_time_sec").agg(*[F.max(F.col("channel_id") == c).alias(f"{c}_present") for c in CHANNELS]).withColumn("split", features.split_of())
+    s = s.withColumns({"feature_schema_version": F.lit(FEATURE_VERSION), "feature_dimension": F.lit(DIMENSION), "feature_vector": F.array_repeat(F.lit(0.0).cast("float"), DIMENSION)})  # indices alone are drawn
     return sampling.sample_manifest(s, split=split, seed=11, anchors_per_trajectory=3, **kw)
 
 
@@ -523,8 +524,8 @@ o as (select model, sample_id, sum(abs(p - y)) a, sum((p - y) * (p - y)) s, coun
 select model, x.g group_name, x.v group_value, regime sparse_regime, c::int context_window_min, r predict_ratio, count(*) evaluated_examples, any_value(total) cell_record_count, sum(n)::bigint feature_sample_count, round(sum(a) / sum(n), 4) mae, round(sqrt(sum(s) / sum(n)), 4) rmse, round(avg(cover), 4) coverage_90, round(avg(width), 4) mean_interval_width_90
 from g join tot using (regime, c, r, h) group by all""")
 def sensitivity_metrics(spark, sf_dir):
-    m = _eval_manifest(spark, sf_dir)
-    out = sensitivity.evaluate(m, _long_snaps(spark, sf_dir), _eval_predictions(m)).where("group_name in ('overall', 'condition')")
+    m = _eval_manifest(spark, sf_dir).persist()
+    out = sensitivity.evaluate(m, _long_snaps(spark, sf_dir), _eval_predictions(m), width=2).where("group_name in ('overall', 'condition')")
     return out.select("model", "group_name", "group_value", "sparse_regime", "context_window_min", "predict_ratio", "evaluated_examples", "cell_record_count", "feature_sample_count", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "coverage_90", "mean_interval_width_90")])
 
 
@@ -553,10 +554,10 @@ def sensitivity_grid_all(spark, sf_dir):
 
 @query(_all_cells(ORACLE["sensitivity_metrics"]).replace("o.*, d.regime,", "o.*, d.kk, d.user_id, d.regime,").replace("{'g': 'condition', 'v': 'e'}", "{'g': 'condition', 'v': 'e'}, {'g': 'bearing', 'v': 'u' || user_id}, {'g': 'context_records', 'v': kk::varchar}").replace("round(sum(a) / sum(n), 4)", "round(sum(a) / sum(n) + 1e-7, 4)"))
 def sensitivity_metrics_all(spark, sf_dir):
-    """Every group; mean errors just at a rounding tie go up, as sums differ in their last bits."""
-    m = _all_eval_manifest(spark, sf_dir)
-    out = sensitivity.evaluate(m, _long_snaps(spark, sf_dir), _eval_predictions(m))
-    return out.select("model", "group_name", "group_value", "sparse_regime", "context_window_min", "predict_ratio", "evaluated_examples", "cell_record_count", "feature_sample_count", F.round(F.col("mae") + 1e-7, 4).alias("mae"), *[F.round(c, 4).alias(c) for c in ("rmse", "coverage_90", "mean_interval_width_90")])
+    """Every group; means just at a rounding tie go up, as sums differ in their last bits."""
+    m = _all_eval_manifest(spark, sf_dir).persist()
+    out = sensitivity.evaluate(m, _long_snaps(spark, sf_dir), _eval_predictions(m), width=2)
+    return out.select("model", "group_name", "group_value", "sparse_regime", "context_window_min", "predict_ratio", "evaluated_examples", "cell_record_count", "feature_sample_count", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("mae", "coverage_90")], *[F.round(c, 4).alias(c) for c in ("rmse", "mean_interval_width_90")])
 
 
 @query(_all_cells(ORACLE["missing_predictions"]))

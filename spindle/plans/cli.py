@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     add("sample", "snapshots", "out", split={"required": True}, seed={"type": int, "required": True}, anchors_per_trajectory={"type": int, "required": True}, context_regime={"default": "main"}, sparse_regime={"default": "dense"}, epoch={"type": int}, full_remaining_lifecycle=switch)
     add("validate", "snapshots", "report", manifests=many, compare={})
     add("baseline", "snapshots", "train", "out", evaluations=many, seed={"type": int, "default": 0})
-    add("explore", "observations", "metadata", "out", geometry={}, force=switch)
+    add("explore", "observations", "metadata", "out", manifest={}, geometry={}, force=switch)
     add("prepare", "snapshots", "out", splits={"nargs": "+", "default": ["test"]}, regimes={"nargs": "+", "default": ["dense"]}, seed={"type": int, "default": 2026}, anchor_cap={"type": int})
     add("evaluate", "snapshots", "manifest", "out", predictions=many)
     return p
@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "baseline":
         got = {"metric_rows": runs.run_baselines(spark, a.snapshots, a.train, a.evaluations, a.out, a.seed).count()}
     elif a.command == "explore":
-        got = runs.explore(spark, a.observations, a.metadata, a.out, geometry=a.geometry, force=a.force)
+        got = runs.explore(spark, a.observations, a.metadata, a.out, manifest=a.manifest, geometry=a.geometry, force=a.force)
     elif a.command == "prepare":
         got = {"rows": runs.prepare_sensitivity(spark, a.snapshots, a.out, splits=a.splits, regimes=a.regimes, seed=a.seed, anchor_cap=a.anchor_cap).count()}
     else:

@@ -6,22 +6,41 @@ parsed is a manifest row with its error.
 
 from __future__ import annotations
 
+import io
 import math
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.schemas import CONDITIONS, DATASET, RECORD_INTERVAL_SEC, SAMPLING_RATE_HZ, SIGNAL_COLUMNS, SIGNAL_LENGTH
 
+#: Repeated measurement indices (some 60 bytes each) that are broadcast to the files; more are joined by shuffle.
+BROADCAST_COPIES = 100_000
 _NUMBER = re.compile(r"[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, content, source_relative_path, condition_source_name, experiment_id, bearing_id, stem, measurement_index (null if the name is no number from 1 on)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").load(root)
+    """path, content, source_relative_path, condition_source_name, experiment_id, bearing_id, stem, measurement_index (null if the name is no number from 1 on).
+
+    Files count where they stand right in <root>/<condition>/<bearing>/; trees at another depth are no bearings. A root that is absent raises.
+    """
+    names = folders(spark, root)
+    known = [c[0] for c in CONDITIONS if c[0] in names]
+    files = None
+    for name in known:
+        try:
+            one = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{name}/*/*.[cC][sS][vV]")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # a condition without any file
+        files = one if files is None else files.union(one)
+    if files is None:
+        files = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     rel = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1)
     cond = F.create_map(*[x for c in CONDITIONS for x in (F.lit(c[0]), F.lit(c[1]))])
     stem = F.regexp_extract(rel, r"/([^/]+)\.[cC][sS][vV]$", 1)
@@ -30,12 +49,40 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumn("experiment_id", cond[F.col("condition_source_name")]).where("experiment_id is not null")
 
 
-def missing_conditions(files: DataFrame) -> list[str]:
-    """Condition folders without any file."""
-    have = {r[0] for r in files.select("condition_source_name").distinct().collect()}  # three at most
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders right in root, sorted, read by Spark's own file system so that any store will do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        raise FileNotFoundError(f"raw root does not exist: {root}")
+    return sorted(x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory())
+
+
+def ignored_conditions(spark: SparkSession, root: str) -> list[str]:
+    """Folders in root that are no condition."""
+    return [x for x in folders(spark, root) if x not in {c[0] for c in CONDITIONS}]
+
+
+def missing_conditions(spark: SparkSession, root: str) -> list[str]:
+    """Conditions without a folder in root."""
+    have = folders(spark, root)
     return [c[0] for c in CONDITIONS if c[0] not in have]
 
 
+def _plain(content: bytes) -> np.ndarray | None:
+    """The numbers of a file whose lines are all of two plain decimal numbers; None for any other, which is then read cell by cell."""
+    body = content.partition(b"\n")[2]
+    if not body or body.translate(None, b"0123456789+-.eE,\r\n"):
+        return None
+    try:
+        got = np.loadtxt(io.BytesIO(body), delimiter=",", dtype=np.float64, ndmin=2, comments=None)
+    except ValueError:
+        return None
+    with np.errstate(over="ignore"):
+        got = got.astype(np.float32)
+    return got if got.shape[0] and got.shape[1] == 2 and np.isfinite(got).all() else None
+
+
 def parse_signals(content: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(header, horizontal, vertical); anything that isn't two columns of finite numbers raises with its line."""
     rows = [(n, line.split(",")) for n, line in enumerate(content.decode("utf-8-sig").splitlines(), 1)]
@@ -46,6 +93,9 @@ def parse_signals(content: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
         raise ValueError(f"repeated columns: {header}")
     if set(header) != set(SIGNAL_COLUMNS):
         raise ValueError(f"unexpected columns: {header}")
+    fast = _plain(content)
+    if fast is not None:
+        return header, fast[:, header.index(SIGNAL_COLUMNS[0])], fast[:, header.index(SIGNAL_COLUMNS[1])]
     data = []
     for n, cells in rows[1:]:
         if not any(x.strip() for x in cells):
@@ -91,10 +141,12 @@ def _parse(frames):
 
 def parsed(files: DataFrame) -> DataFrame:
     """Each file with its hash, size, error or signals. All copies of a measurement index in a bearing (1.csv, 01.csv) are errors."""
-    w = Window.partitionBy("experiment_id", "bearing_id", "measurement_index")
-    copies = files.select("path", F.when(F.col("measurement_index").isNull(), 1).otherwise(F.count("*").over(w)).cast("long").alias("copies"))  # names only, not contents
+    key = ["experiment_id", "bearing_id", "measurement_index"]
+    twice = files.where("measurement_index is not null").groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1")  # names only, not contents
+    if twice.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES:
+        twice = F.broadcast(twice)  # so that contents pass no shuffle
     hashed = files.withColumns({"file_sha256": F.sha2("content", 256), "file_size_bytes": F.length("content").cast("long")})
-    rows = hashed.join(copies, "path").select("source_relative_path", "file_sha256", "file_size_bytes", "condition_source_name", "experiment_id", "bearing_id", "measurement_index", "copies", "content")
+    rows = hashed.join(twice, key, "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))).select("source_relative_path", "file_sha256", "file_size_bytes", "condition_source_name", "experiment_id", "bearing_id", "measurement_index", "copies", "content")
     return rows.mapInPandas(_parse, _PARSED)
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,26 @@ def test_sensitivity_context_is_shared_by_regimes(snaps):
         assert seen.setdefault((r.context_window_min, r.anchor_measurement_index), r.context_measurement_indices) == r.context_measurement_indices
         assert r.context_min_records <= r.context_count_k <= r.context_window_min and len(r.future_measurement_indices) == r.future_query_count_q
     assert {r.context_window_min for r in m} == {30, 40} and len({r.sample_id for r in m}) == len(m)
+
+
+def test_neural_baseline_equals_its_networks(snaps):
+    m = manifest(snaps, anchors_per_trajectory=6).cache()
+    flat = snaps.withColumn("feature_vector", F.transform("feature_vector", lambda v, i: F.when(i == 4, F.lit(1.0).cast("float")).otherwise((v / (i + 1)).cast("float"))))
+    ex = tensors.examples(m, tensors.checked_snapshots(flat)).cache()
+    code = {(r.sample_id, r.query_pos): np.array(r.encoding) for r in tensors.encode_context(ex).collect()}
+    goal = {(r.sample_id, r.query_pos, r.feature_index): r.target for r in baselines.target_long(ex).where("valid").collect()}
+    last = {(r.sample_id, r.query_pos, r.feature_index): r.prediction for r in baselines.persistence(ex).collect()}
+    shard = {(r.sample_id, r.query_pos): r.s for r in ex.select("sample_id", F.posexplode("future_query_time").alias("query_pos", "t")).withColumn("s", F.pmod(F.xxhash64("sample_id", "query_pos"), F.lit(2))).collect()}
+    for rows, shards in ((20_000, 1), (-(-len(code) // 2), 2)):
+        got = {(r.sample_id, r.query_pos, r.feature_index): r.prediction for r in baselines.mlp_forecast(ex, ex, seed=3, rows=rows).collect()}
+        assert set(got) == set(last) and all(got[k] == last[k] for k in got if k[2] == 4)  # a constant feature falls back
+        for f in (0, 7):
+            weights, n = 0.0, 0
+            for part in range(shards):
+                own = [k for k in sorted(code) if (*k, f) in goal and (shards == 1 or shard[k] == part)]
+                net = baselines.Mlp(3 + f).fit(np.stack([code[k] for k in own]), np.array([goal[(*k, f)] for k in own]))
+                weights, n = weights + len(own) * np.concatenate([a.ravel() for a in net.p]), n + len(own)
+            d, h, w = len(next(iter(code.values()))), 32, weights / n
+            net.p = [w[: d * h].reshape(d, h), w[d * h : d * h + h], w[d * h + h : d * h + 2 * h].reshape(h, 1), w[d * h + 2 * h :]]
+            for k, x in code.items():
+                assert got[(*k, f)] == pytest.approx(net.predict(x[None])[0], rel=1e-6, abs=1e-9)
