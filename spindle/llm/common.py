@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once in vectorised code (a longer text is handled alone).
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 
 _own_dirs: dict[str, str] = {}
 _tables: set[str] = set()
