@@ -97,7 +97,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
     return key, np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << _BITS)
 
 
-def _parts(off: np.ndarray, limit: int = 800_000):
+def _parts(off: np.ndarray, limit: int = 400_000):
     for lo, hi in slices(off, limit):
         for a in range(lo, hi, _ROWS):
             yield a, min(a + _ROWS, hi)
