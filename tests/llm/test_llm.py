@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.llm import bpe, decontaminate, fixity, graph, hamming, language, minhash, quality, repeats, unigram, urls
+from spindle.llm import bpe, decontaminate, fixity, graph, hamming, language, linear, minhash, quality, repeats, unigram, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words long"
 RND = random.Random(4)
@@ -385,6 +385,59 @@ def test_classifiers_on_held_out_rows(spark):
     assert 0.9 < one < 1 and quality.scores(docs, quality.train(docs, labels.limit(0))).first().score == 0.5
 
 
+def test_quality_equals_a_refit(spark):
+    """Counts, ratios, hinge machine and sigmoid worked out anew, document by document."""
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(WORDS).upper() if i % 3 == 0 and r.random() < 0.6 else r.choice(WORDS) for _ in range(30))) for i in range(150)] + [(500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    found = {d: set(quality.features(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[1].tolist()) for d, t in rows}
+    order = [x.doc_id for x in docs.orderBy(F.xxhash64(F.lit(41), F.col("doc_id"))).collect()]
+    known = [d for d in order if d < 120 and zlib.crc32(str(d).encode()) % 5]
+    y = np.array([1.0 if d % 3 else -1.0 for d in known])
+    pos, neg = np.ones(quality.DIMS), np.ones(quality.DIMS)
+    for d, k in zip(known, y, strict=True):
+        for f in found[d]:
+            (pos if k > 0 else neg)[f] += 1
+    ratio = np.log(pos / ((y > 0).sum() + 2)) - np.log(neg / ((y < 0).sum() + 2))
+    as_row = lambda d: (np.array(sorted(found[d])), ratio[sorted(found[d])] / np.sqrt(len(found[d])))
+    side = np.arange(len(y)) % 4 == 0
+    part = linear.fit_hinge([as_row(d) for d, t in zip(known, side, strict=True) if not t], y[~side], quality.DIMS)
+    margin = lambda w, d: sum(w[f] * ratio[f] for f in found[d]) / np.sqrt(max(1, len(found[d]))) + w[-1]
+    a, b = linear.fit_sigmoid(np.array([margin(part, d) for d, t in zip(known, side, strict=True) if t]), y[side])
+    w = linear.fit_hinge([as_row(d) for d in known], y, quality.DIMS)
+    got = {x.doc_id: x.score for x in quality.scores(docs, quality.train(docs, labels)).collect()}
+    assert len(got) == len(rows) and all(got[d] == pytest.approx(linear.sigmoid(a * margin(w, d) + b), abs=1e-9) for d in got)
+
+
+def test_hinge_machine_finds_the_optimum():
+    r = np.random.default_rng(4)
+    x, c = r.normal(size=(60, 6)), 1.0
+    y = np.where(x[:, 0] + 0.7 * r.normal(size=60) > 0.2, 1.0, -1.0)
+    w = linear.fit_hinge([(np.arange(6), v) for v in x], y, 6, c=c, epochs=3000)
+    z = np.hstack([x, np.ones((60, 1))]) * y[:, None]
+    q, alpha = z @ z.T, np.zeros(60)
+    for _ in range(60_000):  # projected gradient on the dual problem
+        alpha = np.clip(alpha + (1 - q @ alpha) / np.linalg.norm(q, 2), 0, c)
+    value = lambda v: 0.5 * v @ v + c * np.maximum(0, 1 - z @ v).sum()
+    assert value(w) == pytest.approx(alpha.sum() - 0.5 * alpha @ q @ alpha, rel=1e-2)
+
+
+def test_votes_of_languages_equal_their_definition():
+    r = np.random.default_rng(9)
+    names = ["a", "b", "c", "d"]
+    m = {"names": names, "pairs": {(p, q): {"w": r.normal(size=5), "bias": 0.1, "a": 2.0, "b": -0.1} for i, p in enumerate(names) for q in names[i + 1 :]}}
+    x = r.normal(size=(200, 5))
+    best, score = language._vote(x, m)
+    for i, v in enumerate(x):
+        prob = {}
+        for (p, q), k in m["pairs"].items():
+            prob[p, q] = 1 / (1 + np.exp(-(2.0 * (v @ k["w"] + 0.1) - 0.1)))
+            prob[q, p] = 1 - prob[p, q]
+        rank = {n: (sum(prob[n, o] >= 0.5 for o in names if o != n), sum(prob[n, o] for o in names if o != n)) for n in names}
+        assert names[best[i]] == max(names, key=rank.get) and score[i] == pytest.approx(min(prob[names[best[i]], o] for o in names if o != names[best[i]]))
+
+
 # -- search, filters, fixity
 
 def test_top_k_equals_brute_force(spark):
