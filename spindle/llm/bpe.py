@@ -17,7 +17,6 @@ Defined results: a null or empty text has no tokens; its decoded text is empty.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import SALT, documents, mix, powers, raw, slices, table
+from spindle.llm.common import SALT, documents, held, lean, mix, powers, raw, slices, table
 
 MEAN = 1024
 LEAST = 64
@@ -307,9 +306,8 @@ def folds_letters(spec: dict) -> bool:
     return "Lowercase" in kinds and all(k in ("NFC", "Lowercase") or k == "Replace" and x.get("pattern") == {"Regex": "\\s+"} for k, x in zip(kinds, steps, strict=True))
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(f"bpe {path}", lambda: Encoder(path))
 
 
 def chunks_of(data: np.ndarray, off: np.ndarray) -> list[list[bytes]]:
@@ -338,7 +336,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 n = [x.count(" ") + 1 if x else 0 for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array([enc.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {key}, ids string, n_tokens long, decoded string")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run, f"bpe {path}"), f"doc_id {key}, ids string, n_tokens long, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -358,7 +356,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run, f"bpe {path}"), f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once in vectorised code (a longer text is handled alone).
 SLICE_BYTES = 400_000
+#: Bytes of a batch that goes to Python, unless the session has a bound of its own: 10,000 rows of long texts have no bound.
+BATCH_BYTES = 12_000_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own_dirs: dict[str, str] = {}
 _tables: set[str] = set()
@@ -90,9 +94,11 @@ def _drop_all() -> None:
 def documents(df: DataFrame, *cols: str) -> DataFrame:
     """doc_id and the named columns (by default all, in their order), one row for each doc_id that is not null.
 
-    Ids alone are counted first (8 bytes a row); the texts are shuffled only if some id does repeat. Of repeats, the row with
+    Sets the session's bound of Arrow batches if it has none. Ids alone are counted first (8 bytes a row); the texts are shuffled only if some id does repeat. Of repeats, the row with
     the greatest text stays; of equal texts, that whose other columns (of types with an order) are greatest.
     """
+    if df.sparkSession.conf.get(_BATCH_CONF, None) is None:
+        df.sparkSession.conf.set(_BATCH_CONF, BATCH_BYTES)
     own = list(cols) or [c for c in df.columns if c.lower() != "doc_id"]
     out = df.select(*(("doc_id", *cols) if cols else df.columns)).where(F.col("doc_id").isNotNull())
     repeats = out.groupBy("doc_id").count().where("count > 1").limit(1).count()
@@ -142,6 +148,59 @@ def held_out(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable):
+    """What the tasks of one operator share in a worker. Workers serve all operators in turn and hold one such thing at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _trimmed() -> None:
+    """Gives free memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _forget(key: str | None) -> None:
+    others = [k for k in _held if k != key]
+    for k in others:
+        del _held[k]
+    if others:
+        _trimmed()
+
+
+def lean(run: Callable, key: str | None = None) -> Callable:
+    """A function of batches that leaves no free memory behind in its worker, nor what operators other than `key` hold there."""
+
+    def task(batches):
+        _forget(key)
+        try:
+            yield from run(batches)
+        finally:
+            _trimmed()
+
+    return task
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for a function of a group's table."""
+
+    def task(group):
+        _forget(None)
+        out = run(group)
+        del group
+        _trimmed()
+        return out
+
+    return task
+
+
 def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary array, and n + 1 offsets; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import documents, fresh, mix, raw, slices, small, table, without, words, written
+from spindle.llm.common import documents, fresh, lean, mix, raw, slices, small, table, without, words, written
 
 WIDTH = 13
 #: Item words in one automaton, on average over blocks (some 500 bytes each, in a task).
@@ -337,7 +337,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, bl
     def scan(batches):
         yield from _stretches(batches, np.frombuffer(zlib.decompress(packed.value), np.uint8), least, schema)
 
-    scanned = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, SCANNED.format(key=key)), "scanned")
+    scanned = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(scan), SCANNED.format(key=key)), "scanned")
     # 3. stretches with the blocks whose n-grams they hold
     one = F.explode(F.arrays_zip(F.col("firsts").alias("first"), F.col("words").alias("words"), F.col("begins").alias("begins"), F.col("ends").alias("ends")))
     some = scanned.where(F.size("firsts") > 0).select("doc_id", one.alias("s")).select("doc_id", "s.*").withColumn("sid", F.concat_ws("/", F.col("doc_id").cast("string"), "first"))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import LOWER, SHARES, documents, held_out, mix, raw, share_of, slices, table
+from spindle.llm.common import LOWER, SHARES, documents, held_out, lean, mix, raw, share_of, slices, table
 from spindle.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 
 DIMS = 2048
@@ -125,7 +125,7 @@ def train(docs: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, per_
                 v = vectors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.astype(np.float16).tobytes() for x in v], pa.binary())], names=["lang", "h", "v"])
 
-    got = rows.where(h < share[F.col("lang")]).select(F.col("text").cast("binary").alias("text"), "lang", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "lang string, h long, v binary").toPandas().sort_values("h")
+    got = rows.where(h < share[F.col("lang")]).select(F.col("text").cast("binary").alias("text"), "lang", F.xxhash64("doc_id").alias("h")).mapInArrow(lean(run), "lang string, h long, v binary").toPandas().sort_values("h")
     if not len(got):
         return None
     x = np.stack([np.frombuffer(v, np.float16) for v in got.v]).astype(np.float32)
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
             names[~letters], score[~letters] = "und", 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {key}, lang_pred string, score double")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

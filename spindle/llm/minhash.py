@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import documents, dropped, mix, raw, slices, small, table, without, words, written
+from spindle.llm.common import documents, dropped, lean, lean_group, mix, raw, slices, small, table, without, words, written
 from spindle.llm.graph import components
 
 MINIMA = 192
@@ -299,7 +299,7 @@ def _dealt(rows: DataFrame, size: int, each: int, key: str, run) -> DataFrame:
     schema = pa.schema([("a", arrow), ("b", arrow)])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
     dealt = rows.withColumn("task", F.pmod(F.xxhash64("bin"), F.lit(tasks)))
-    return written(dealt.groupBy("task").applyInArrow(lambda t: run(t, schema), f"a {key}, b {key}"), "links")
+    return written(dealt.groupBy("task").applyInArrow(lean_group(lambda t: run(t, schema)), f"a {key}, b {key}"), "links")
 
 
 def _confirm(bins: DataFrame, classes: DataFrame, docs: DataFrame, key: str, width: int, similarity: int) -> DataFrame:
@@ -322,10 +322,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of every document. docs: doc_id, text."""
     docs = documents(docs, "text")
     key = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda b: _signed(b, width), SIGNED_DDL.format(key=key)), "signed")
+    signed = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(lambda b: _signed(b, width)), SIGNED_DDL.format(key=key)), "signed")
     classes = written(signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     # values that several classes have, and each class's prefix of its rarest
-    posts = classes.select("rep", "sig").mapInArrow(_postings, f"key long, rep {key}")
+    posts = classes.select("rep", "sig").mapInArrow(lean(_postings), f"key long, rep {key}")
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     held = posts.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("held")).where(F.size("held") >= COLLISIONS)  # COORDINATES at most
     popular = F.struct(F.size("held").alias("c"), F.aggregate("held", F.lit(0.0), lambda x, v: x + F.log(v["df"].cast("double"))).alias("s"))  # an original shares all its values

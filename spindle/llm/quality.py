@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import SHARES, documents, held_out, mix, raw, share_of, slices, small, table, without, words
+from spindle.llm.common import SHARES, documents, held_out, lean, mix, raw, share_of, slices, small, table, without, words
 from spindle.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 
 DIMS = 1 << 16
@@ -124,14 +124,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
             model["b"] = float(np.log((pos + 1) / (n - pos + 1)))
         return model
     text = F.col("text").cast("binary").alias("text")
-    sums = rows.select(text, "y").mapInArrow(_class_counts, "f int, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toPandas()  # DIMS rows at most
+    sums = rows.select(text, "y").mapInArrow(lean(_class_counts), "f int, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toPandas()  # DIMS rows at most
     p, q = np.full(DIMS, SMOOTHING), np.full(DIMS, SMOOTHING)
     p[sums.f], q[sums.f] = p[sums.f] + sums.pos, q[sums.f] + sums.neg
     r = np.log(p / (totals[1] + 2 * SMOOTHING)) - np.log(q / (totals[0] + 2 * SMOOTHING))
     h = F.xxhash64(F.lit(41), F.col("doc_id"))
     share = [share_of(max(0.9 * sample_rows * totals[k] / n, min(CLASS_ROWS, 0.1 * sample_rows)), totals[k]) for k in (0, 1)]
     drawn = rows.where(F.pmod(h, F.lit(SHARES)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select(text, "y", h.alias("h"))
-    got = drawn.mapInArrow(_as_rows, "y int, h long, f binary").orderBy("h").limit(sample_rows).toPandas()
+    got = drawn.mapInArrow(lean(_as_rows), "y int, h long, f binary").orderBy("h").limit(sample_rows).toPandas()
     feats = [np.frombuffer(x, np.int32) for x in got.f]
     y = np.where(got.y.to_numpy() > 0, 1.0, -1.0)
     if len(set(y)) < 2:
@@ -162,7 +162,7 @@ def scores(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
                 out[lo:hi] = np.bincount(doc, weights=m["w"][f], minlength=hi - lo) / np.sqrt(np.maximum(n, 1)) + m["bias"]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(m["a"] * out + m["b"]))], names=[key, "score"])
 
-    return docs.select(key, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
+    return docs.select(key, F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), f"{key} {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import SALT, documents, fresh, mix, powers, raw, slices, table, written
+from spindle.llm.common import SALT, documents, fresh, lean, lean_group, mix, powers, raw, slices, table, written
 
 LENGTH = 50
 GRAM = 18
@@ -522,11 +522,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("length(text) >= %d" % LENGTH)
     size = text.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    asked = text.mapInArrow(lambda b: _seeds(b, parts), SEED_DDL).repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _repeated(t, parts), ASK_DDL)
-    asked = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _asked(t), ASKED_DDL)
-    runs = text.join(asked, "doc_id").select("doc_id", "text", "fp", "hot").mapInArrow(lambda b: _runs(b, parts), RUN_DDL)
-    cuts = runs.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _factors(t, parts), CUT_DDL)
-    return cuts.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _spans(t), SPAN_DDL)
+    asked = text.mapInArrow(lean(lambda b: _seeds(b, parts)), SEED_DDL).repartition(parts, "part").groupBy("part").applyInArrow(lean_group(lambda t: _repeated(t, parts)), ASK_DDL)
+    asked = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lean_group(_asked), ASKED_DDL)
+    runs = text.join(asked, "doc_id").select("doc_id", "text", "fp", "hot").mapInArrow(lean(lambda b: _runs(b, parts)), RUN_DDL)
+    cuts = runs.repartition(parts, "part").groupBy("part").applyInArrow(lean_group(lambda t: _factors(t, parts)), CUT_DDL)
+    return cuts.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lean_group(_spans), SPAN_DDL)
 
 
 def _kept_bytes(text: bytes, starts, ends) -> bytes:

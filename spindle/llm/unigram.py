@@ -15,7 +15,6 @@ Defined results: a null, empty or blank text has no tokens and score 0.
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm.bpe import Memory, tokenizer_path
-from spindle.llm.common import documents, table
+from spindle.llm.common import documents, held, lean, table
 
 MARK = "▁"
 PENALTY = 10.0
@@ -90,9 +89,8 @@ class Counter:
         return n, score
 
 
-@functools.lru_cache(maxsize=2)
 def _counter(path: str) -> Counter:
-    return Counter(vocabulary(path))
+    return held(f"unigram {path}", lambda: Counter(vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -105,7 +103,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             rows = [counter.text(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_tokens long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run, f"unigram {path}"), f"doc_id {key}, n_tokens long, score double")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
