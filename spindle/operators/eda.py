@@ -14,19 +14,21 @@ from spindle.schemas import BANDS_HZ, MEASUREMENT, SPECTRAL_FEATURES, TRAJECTORY
 
 
 def geometry(path: str | None) -> dict | None:
-    """Bearing geometry from a flat YAML file of `name: number` lines; None if any value is absent. Impossible values raise."""
+    """Bearing geometry from a flat YAML file of `name: value` lines; None without a file. A file with values missing, or impossible ones, raises."""
     if path is None:
         return None
     with open(path, encoding="utf-8") as f:  # a small file of the driver
         pairs = [line.split("#")[0].split(":", 1) for line in f if ":" in line.split("#")[0]]
-    got = {k.strip(): v.strip() for k, v in pairs}
-    names = ("rolling_element_count", "rolling_element_diameter_mm", "pitch_diameter_mm", "contact_angle_deg")
-    if any(got.get(n, "null") in ("", "null", "~") for n in names):
-        return None
-    n, d, big, angle = (float(got[k]) for k in names)
-    if not (n > 0 and d > 0 and big > d and 0 <= angle < 90):
-        raise ValueError(f"impossible bearing geometry: {got}")
-    return {"n": n, "d": d, "D": big, "angle": angle}
+    got = {k.strip(): v.strip().strip("'\"") for k, v in pairs}
+    given = {k: v for k, v in got.items() if v not in ("", "null", "Null", "NULL", "~")}
+    needed = ("bearing_model", "number_of_rolling_elements", "rolling_element_diameter_mm", "pitch_diameter_mm")
+    if gone := [k for k in needed if k not in given]:
+        raise ValueError(f"bearing geometry lacks values: {', '.join(gone)}")
+    n, d, big = (float(given[k]) for k in needed[1:])
+    angle = float(given.get("contact_angle_deg", 0.0))
+    if not (n >= 1 and n == int(n) and d > 0 and big > d and 0 <= angle < 90):
+        raise ValueError(f"impossible bearing geometry: {given}")
+    return {"model": given["bearing_model"], "n": n, "d": d, "D": big, "angle": angle, "source": given.get("source")}
 
 
 def bearing_frequencies(conditions: DataFrame, geo: dict | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.functions.signal import NAN, is_finite, wave_features
+from spindle.operators.selection import quantiles
 from spindle.schemas import (
     CHANNEL_FEATURES, CHANNELS, CORRELATION_LIMIT, DIMENSION, FEATURE_VERSION, FEATURES, MEASUREMENT, OUTLIER_LIMIT, VALIDATION_BEARINGS,
 )
@@ -64,15 +65,19 @@ def feature_quality(long: DataFrame) -> DataFrame:
     """Counts, constancy and outliers of each feature.
 
     Outliers are judged against median and median absolute deviation of the finite train rows (of all rows if no row is
-    train); with a deviation of 0, by 1.5 interquartile ranges of all finite values.
+    train); with a deviation of 0, by 1.5 interquartile ranges of all finite values. Order statistics are exact, by counting (selection.py):
+    `long` is read some ten times, so it should come from a table or a checkpoint.
     """
     x = F.when(is_finite(F.col("value")), F.col("value"))
-    any_train = long.agg(F.coalesce(F.max(F.col("split") == "train"), F.lit(False)).alias("any_train"))
-    ref = long.crossJoin(F.broadcast(any_train)).withColumn("ref", F.when(~F.col("any_train") | (F.col("split") == "train"), x))
-    mid = ref.groupBy("feature").agg(F.coalesce(F.median("ref"), F.lit(0.0)).alias("median"), F.count("ref").alias("reference_count"))
-    dev = ref.join(F.broadcast(mid), "feature").groupBy("feature").agg(F.coalesce(F.median(F.abs(F.col("ref") - F.col("median"))), F.lit(0.0)).alias("mad"))
-    quart = long.groupBy("feature").agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    ready = long.join(F.broadcast(mid), "feature").join(F.broadcast(dev), "feature").join(F.broadcast(quart), "feature")  # 30 rows each
+    any_train = bool(long.where(F.col("split") == "train").limit(1).count())
+    ref = long.select("feature", (F.when(F.col("split") == "train", x) if any_train else x).alias("ref"))
+    names = long.select("feature").distinct()  # 30 rows, as in the tables below
+    mid = names.join(quantiles(ref, ["feature"], "ref", [0.5]), "feature", "left").select("feature", F.coalesce(F.col("q")[0], F.lit(0.0)).alias("median"), F.coalesce("n", F.lit(0)).alias("reference_count"))
+    mid = long.sparkSession.createDataFrame(mid.collect(), mid.schema)
+    off_ref = ref.join(F.broadcast(mid), "feature").select("feature", F.abs(F.col("ref") - F.col("median")).alias("off"))
+    dev = mid.select("feature").join(quantiles(off_ref, ["feature"], "off", [0.5]), "feature", "left").select("feature", F.coalesce(F.col("q")[0], F.lit(0.0)).alias("mad"))
+    quart = mid.select("feature").join(quantiles(long.select("feature", x.alias("x")), ["feature"], "x", [0.25, 0.75]), "feature", "left").select("feature", "q")
+    ready = long.join(F.broadcast(mid), "feature").join(F.broadcast(dev), "feature").join(F.broadcast(quart), "feature")
     iqr = F.col("q")[1] - F.col("q")[0]
     off = F.abs(x - F.col("median"))
     outlier = F.when(F.col("mad") > 0, F.try_divide(0.6745 * off, F.col("mad")) > OUTLIER_LIMIT).otherwise((iqr > 0) & (off > 1.5 * iqr))

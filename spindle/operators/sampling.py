@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions.hashing import draw, flag, sample_id, stable_seed, uniform
 from spindle.functions.signal import is_finite
-from spindle.operators.windows import eligible, future_pairs, pools
+from spindle.operators.windows import checked_chronology, eligible, future_pairs, pools
 from spindle.schemas import DIMENSION, FEATURE_VERSION, LOOKBACK_SEC, MANIFEST_VERSION, MAX_CONTEXT, MAX_FUTURE, MIN_CONTEXT, SHORT_CONTEXT, SPARSE_RETENTION, TRAJECTORY
 
 SPLITS = ("train", "validation", "test")
@@ -55,6 +55,15 @@ def chosen(pool: Column, k: Column, seed: Column, keep: int = 2) -> Column:
     return F.array_sort(F.concat(some, F.slice(pool, n - held + 1, held)))
 
 
+def positions(n: Column, q: Column, seed: Column) -> Column:
+    """q different places of 1..n, each set of them equally likely: at each of the last q places, a draw up to it, or the place itself if that was drawn before (Floyd)."""
+    def step(have: Column, j: Column) -> Column:
+        at = draw(seed, F.lit("future"), j) % j + 1
+        return F.concat(have, F.array(F.when(F.array_contains(have, at), j).otherwise(at)))
+
+    return F.aggregate(F.sequence(n - q + 1, n), F.expr("array()").cast("array<long>"), step)
+
+
 def observed(indices: Column, anchor: Column, probability: float, seed: Column) -> Column:
     """Bernoulli retention of each context row; the anchor is always kept."""
     if probability >= 1.0:
@@ -76,25 +85,39 @@ def checked_rows(snaps: DataFrame, split: str) -> DataFrame:
     broken = own.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()]).first().asDict()
     if any(broken.values()):
         raise ValueError(f"snapshots of {split} break rules (rows): { {k: n for k, n in broken.items() if n} }")
-    return own.where(some)
+    return checked_chronology(own.where(some), TRAJECTORY)
+
 
+def sample_manifest(snaps: DataFrame, *, split: str, seed: int, anchors_per_trajectory: int | None, context_regime: str = "main", sparse_regime: str = "dense", epoch: int | None = None, full_remaining_lifecycle: bool = False, lookback: float = LOOKBACK_SEC, draws: str = "positions") -> DataFrame:
+    """One row for each sample: context and future as measurement indices and times relative to the anchor.
 
-def sample_manifest(snaps: DataFrame, *, split: str, seed: int, anchors_per_trajectory: int | None, context_regime: str = "main", sparse_regime: str = "dense", epoch: int | None = None, full_remaining_lifecycle: bool = False, lookback: float = LOOKBACK_SEC) -> DataFrame:
-    """One row for each sample: context and future as measurement indices and times relative to the anchor."""
+    With draws = "positions", the future's places follow from the number of later rows, and only those rows are joined: as many as samples times queries.
+    "ranks" takes the later rows of least hash, for which every anchor meets all later rows of its trajectory: for few anchors of each. All
+    later rows are joined too where the full lifecycle is asked for, as all are returned.
+    """
+    if draws not in ("positions", "ranks"):
+        raise ValueError(f"unsupported draws: {draws}")
     checked(split, seed, anchors_per_trajectory, context_regime, sparse_regime)
     rows = checked_rows(snaps, split)
     key = [F.col(c) for c in TRAJECTORY]
-    own = eligible(pools(rows, TRAJECTORY, lookback)).withColumn("tseed", stable_seed(seed, epoch if epoch is not None else -1, *key))
+    placed = rows.select(*TRAJECTORY, "measurement_index", "elapsed_time_sec", F.row_number().over(Window.partitionBy(*TRAJECTORY).orderBy("measurement_index")).cast("long").alias("_at"), F.count("*").over(Window.partitionBy(*TRAJECTORY)).alias("_of"))
+    own = eligible(pools(placed, TRAJECTORY, lookback, carry=["_at", "_of"])).withColumn("tseed", stable_seed(seed, epoch if epoch is not None else -1, *key))
     own = choose_anchors(own, TRAJECTORY, anchors_per_trajectory, F.col("tseed"))
     own = own.withColumn("sampling_seed", stable_seed(F.col("tseed"), F.col("measurement_index"), context_regime, sparse_regime, full_remaining_lifecycle))
     low, high = (MIN_CONTEXT, MAX_CONTEXT) if context_regime == "main" else SHORT_CONTEXT
     own = own.withColumn("context", choose_context(F.col("pool"), low, high, F.col("sampling_seed")))
-    later = future_pairs(own.select(*TRAJECTORY, "measurement_index", "elapsed_time_sec", "sampling_seed"), rows, TRAJECTORY)
-    if not full_remaining_lifecycle:  # hash ranks within an anchor; at most MAX_FUTURE rows go on
-        w = Window.partitionBy(*TRAJECTORY, "measurement_index")
-        later = later.withColumn("_h", draw(F.col("sampling_seed"), F.lit("future"), F.col("future_index"))).withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("_h", "future_index")))
-        q = F.lit(1) + draw(F.col("sampling_seed"), F.lit("q")) % F.least(F.lit(MAX_FUTURE), F.col("_n"))
-        later = later.where(F.col("_r") <= q)
+    n = F.col("_of") - F.col("_at")  # later rows, as time and index grow together
+    q = F.lit(1) + draw(F.col("sampling_seed"), F.lit("q")) % F.least(F.lit(MAX_FUTURE), n)
+    anchors = own.select(*TRAJECTORY, "measurement_index", "elapsed_time_sec", "sampling_seed", "_at", n.alias("_n"), q.alias("_q"))
+    if full_remaining_lifecycle:
+        later = future_pairs(anchors, rows, TRAJECTORY)
+    elif draws == "positions":
+        asked = anchors.withColumn("_at", F.explode(F.transform(positions(F.col("_n"), F.col("_q"), F.col("sampling_seed")), lambda p: p + F.col("_at"))))
+        later = asked.join(placed.select(*TRAJECTORY, "_at", F.col("measurement_index").alias("future_index"), F.col("elapsed_time_sec").alias("future_time")), [*TRAJECTORY, "_at"])
+    else:  # hash ranks within an anchor; at most MAX_FUTURE rows go on
+        w = Window.partitionBy(*TRAJECTORY, "measurement_index").orderBy("_h", "future_index")
+        later = future_pairs(anchors, rows, TRAJECTORY).withColumn("_h", draw(F.col("sampling_seed"), F.lit("future"), F.col("future_index")))
+        later = later.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_q"))
     future = later.groupBy(*TRAJECTORY, "measurement_index").agg(F.array_sort(F.collect_list(F.struct(F.col("future_time").alias("t"), F.col("future_index").alias("i")))).alias("future"))
     both = own.join(future, [*TRAJECTORY, "measurement_index"])
     indices, anchor = F.col("context.i"), F.col("measurement_index")

@@ -89,14 +89,16 @@ def compare_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "sample_id", "full_outer").select("sample_id", status.alias("status")).where("status is not null")
 
 
-def checks(issues: DataFrame) -> DataFrame:
-    """check, passed: the roll-up of issue codes."""
+def checks(issues: DataFrame, compared: bool = False) -> DataFrame:
+    """check, passed: the roll-up of issue codes; compared: whether another run's manifest was, for the check `reproducibility`."""
     code = F.col("code")
     reference = code.startswith("missing_") | code.startswith("anchor_") | code.startswith("context_split_") | code.startswith("future_split_")
     flags = {
         "manifest_contract": code.isin("manifest_contract", "manifest_read_error") | code.startswith("snapshot_"), "causal_order": code.isin(*CAUSAL), "source_reference_integrity": reference,
         "split_isolation": code == "trajectory_split_leakage", "all": code.isNotNull(),
     }
+    if compared:
+        flags["reproducibility"] = code.startswith("repro")
     one = issues.agg(*[F.coalesce(F.bool_or(v), F.lit(False)).alias(k) for k, v in flags.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), (~F.col(k)).alias("passed")) for k in flags])).alias("r")).select("r.*")
 

@@ -15,6 +15,14 @@ def chronology_violations(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumns({"before_index": i, "before_time": t}).where((F.col("before_index") >= F.col("measurement_index")) | (F.col("before_time") >= F.col("elapsed_time_sec")))
 
 
+def checked_chronology(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows; a trajectory whose index or time does not strictly increase raises."""
+    bad = chronology_violations(rows, by).select(*by, "measurement_index").take(5)
+    if bad:
+        raise ValueError(f"trajectories without strictly increasing chronology, at: {[tuple(r) for r in bad]}")
+    return rows
+
+
 def pools(rows: DataFrame, by: list[str], lookback: float = LOOKBACK_SEC, cap: int = MAX_CONTEXT, carry: list[str] | None = None) -> DataFrame:
     """Each row as an anchor with its pool: the last `cap` rows of the past `lookback` seconds (both ends count), and whether a later row exists.
 
@@ -33,13 +41,26 @@ def eligible(anchors: DataFrame, least: int = MIN_CONTEXT, future: bool = True)
     return out.where("has_future") if future else out
 
 
+def banded(anchors: DataFrame, rows: DataFrame, by: list[str], horizon: float) -> DataFrame:
+    """anchors (elapsed_time_sec) with the rows (future_time) of the same trajectory that may lie up to `horizon` seconds ahead.
+
+    Time is cut to slots a little wider than the horizon. A row is sent to its own slot and to the one before, an anchor to its own alone, so that a pair meets once
+    and the key is (trajectory, slot): a long trajectory is many keys. For rows at even distances, pairs are twice those within the horizon.
+    """
+    width = round(horizon * 1e6) + 2  # microseconds; 2 more than the horizon, as both ends are rounded
+    slot = lambda c: F.floor(F.round(F.col(c) * 1e6) / width)
+    own = anchors.withColumn("_slot", slot("elapsed_time_sec"))
+    sent = rows.withColumn("_slot", F.explode(F.array(slot("future_time"), slot("future_time") - 1)))
+    return own.join(sent, [*by, "_slot"]).drop("_slot")
+
+
 def future_pairs(anchors: DataFrame, rows: DataFrame, by: list[str], horizon: float | None = None) -> DataFrame:
-    """anchor × later rows, up to `horizon` seconds after it (all if None)."""
+    """anchor × later rows, up to `horizon` seconds after it; if None all, whose number grows with the square of a trajectory's length."""
     later = rows.select(*by, F.col("measurement_index").alias("future_index"), F.col("elapsed_time_sec").alias("future_time"))
-    hit = F.col("future_time") > F.col("elapsed_time_sec")
-    if horizon is not None:
-        hit = hit & (F.col("future_time") <= F.col("elapsed_time_sec") + horizon)
-    return anchors.join(later, by).where(hit)
+    ahead = F.col("future_time") > F.col("elapsed_time_sec")
+    if horizon is None:
+        return anchors.join(later, by).where(ahead)
+    return banded(anchors, later, by, horizon).where(ahead & (F.col("future_time") <= F.col("elapsed_time_sec") + horizon))
 
 
 def lifecycle_anchors(rows: DataFrame, by: list[str], steps: int = 10) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindle.functions.hashing import draw, sample_id, stable_int, stable_seed
-from spindle.operators import baselines, contract, eda, features, metadata, sampling, sensitivity, tensors, validation, windows
+from spindle.operators import baselines, contract, eda, features, metadata, sampling, selection, sensitivity, tensors, validation, windows
 from spindle.schemas import CHANNELS, CHANNEL_FEATURES, CONTEXT_MINUTES, DIMENSION, FEATURE_VERSION, HORIZON_RATIOS, SPARSE_RETENTION, SPECTRAL_FEATURES, TIME_FEATURES, TRAJECTORY
 from spindle.sources.driver_tables import trajectories, waves
 
@@ -102,6 +102,11 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.snapshots(f, features.fit_scaler(f))
 
 
+def _saved_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For what reads them several times: features are worked out once."""
+    return selection.checkpointed(_snapshots(spark, sf_dir))
+
+
 KEY = ["experiment_id", "bearing_id", "measurement_index", "channel_id"]
 
 
@@ -158,7 +163,7 @@ quality as (select feature, count(x) finite_count, count(*) filter (where isnan(
 
 @query(QUALITY + " select *, round(case when finite_count > 0 then outlier_count / finite_count else 0 end, 6) outlier_rate from quality")
 def feature_quality(spark, sf_dir):
-    q = features.feature_quality(features.long_form(_snapshots(spark, sf_dir)))
+    q = features.feature_quality(features.long_form(_saved_snapshots(spark, sf_dir)))
     return q.withColumn("outlier_rate", F.round("outlier_rate", 6))
 
 
@@ -176,7 +181,7 @@ def high_correlations(spark, sf_dir):
 @query(CORR.format(limit=0.99) + ", c as (select (select count(*) from snaps) snapshot_rows, 0::bigint normalized_nonfinite_total, (select sum(nan_count) from quality)::bigint raw_nan_total, (select sum(inf_count) from quality)::bigint raw_inf_total, (select sum(outlier_count) from quality)::bigint outlier_total, (select count(*) from quality where constant) constant_feature_count, (select count(*) from high) high_correlation_pair_count)"
        " select *, case when outlier_total + constant_feature_count + high_correlation_pair_count > 0 then 'pass_with_warnings' else 'pass' end status from c")
 def quality_summary(spark, sf_dir):
-    s = _snapshots(spark, sf_dir)
+    s = _saved_snapshots(spark, sf_dir)
     return features.quality_summary(s, features.feature_quality(features.long_form(s)), features.high_correlations(s))
 
 
@@ -212,7 +217,7 @@ GEOMETRY = {"n": 8.0, "d": 7.92, "D": 34.55, "angle": 0.0}
 @query("with c(experiment_id, rpm) as (values ('condition_1', 2100.0::double), ('condition_2', 2250.0), ('condition_3', 2400.0)), g as (select *, rpm / 60 s, 7.92 / 34.55::double r from c) "
        "select experiment_id, round(s, 6) shaft_hz, round(4 * s * (1 - r), 6) bpfo_hz, round(4 * s * (1 + r), 6) bpfi_hz, round(34.55 / 15.84 * s * (1 - r * r), 6) bsf_hz, round(s / 2 * (1 - r), 6) ftf_hz, 'configured' geometry_status from g")
 def bearing_frequencies(spark, sf_dir):
-    f = eda.bearing_frequencies(metadata.condition_rows(spark), GEOMETRY)
+    f = eda.bearing_frequencies(waves(spark, sf_dir).select("experiment_id", "rotational_speed_rpm").distinct(), GEOMETRY)
     return f.select("experiment_id", *[F.round(c, 6).alias(c) for c in ("shaft_hz", "bpfo_hz", "bpfi_hz", "bsf_hz", "ftf_hz")], "geometry_status")
 
 
@@ -319,7 +324,7 @@ s4 as (select *, substr(sha256(concat_ws('|', 'XJTU-SY', experiment_id, bearing_
 def _manifest(spark, sf_dir, split="train", **kw):
     s = waves(spark, sf_dir).groupBy(*TRAJECTORY, "measurement_index", "elapsed_time_sec").agg(*[F.max(F.col("channel_id") == c).alias(f"{c}_present") for c in CHANNELS]).withColumn("split", features.split_of())
     s = s.withColumns({"feature_schema_version": F.lit(FEATURE_VERSION), "feature_dimension": F.lit(DIMENSION), "feature_vector": F.array_repeat(F.lit(0.0).cast("float"), DIMENSION)})  # indices alone are drawn
-    return sampling.sample_manifest(s, split=split, seed=11, anchors_per_trajectory=3, **kw)
+    return sampling.sample_manifest(s, split=split, seed=11, **({"anchors_per_trajectory": 3, "draws": "ranks"} | kw))
 
 
 @query(SEEDS + " select experiment_id, bearing_id, measurement_index anchor_measurement_index, sampling_seed, sample_id from s4")
@@ -346,6 +351,29 @@ def sampler_summary(spark, sf_dir):
     return sampling.sampler_summary(_manifest(spark, sf_dir))
 
 
+def _whole(sql: str) -> str:
+    """SQL over every anchor, whose future's places are drawn from the number of later rows."""
+    picks = f"list_reduce(list_prepend([]::bigint[], list_transform(range(nf - q + 1, nf + 1), lambda j: [j])), lambda have, one: list_append(have, case when list_contains(have, 1 + {H('sampling_seed', "'future'", 'one[1]')} % one[1]) then one[1] else 1 + {H('sampling_seed', "'future'", 'one[1]')} % one[1] end))"
+    start, end = sql.index("f0 as ("), sql.index("f2 as (")
+    future = f"""fp as (select *, row_number() over w spot, count(*) over (partition by experiment_id, bearing_id) total from snaps window w as (partition by experiment_id, bearing_id order by measurement_index)),
+f00 as (select s4.sample_id, s4.sampling_seed, s4.experiment_id, s4.bearing_id, spot, total - spot nf, 1 + {H('sampling_seed', "'q'")} % least(8, total - spot) q from s4 join fp using (experiment_id, bearing_id, measurement_index)),
+f0 as (select *, spot + unnest({picks}) place from f00),
+f1 as (select f0.sample_id, f0.q, 1 rf, fp.measurement_index i from f0 join fp on fp.experiment_id = f0.experiment_id and fp.bearing_id = f0.bearing_id and fp.spot = f0.place),
+"""
+    return (sql[:start] + future + sql[end:]).replace(" where ra <= 3)", ")")
+
+
+def _whole_manifest(spark, sf_dir):
+    return _manifest(spark, sf_dir, anchors_per_trajectory=None, draws="positions")
+
+
+@query(_whole(ORACLE["sample_manifest"]))
+def sample_manifest_all(spark, sf_dir):
+    """Every anchor of the training split."""
+    j = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return _whole_manifest(spark, sf_dir).select("sample_id", "split", "context_count_k", j("context_measurement_indices").alias("context"), "future_query_count_q", j("future_query_measurement_indices").alias("future"))
+
+
 # ---------------------------------------------------------------- contract and audit
 
 def _broken(spark, sf_dir):
@@ -552,12 +580,14 @@ def sensitivity_grid_all(spark, sf_dir):
     return _all_eval_manifest(spark, sf_dir).select("sample_id", "bearing_id", "context_window_min", "predict_ratio", "predict_horizon_min", "sparse_regime", "anchor_measurement_index", "context_count_k", "future_query_count_q")
 
 
-@query(_all_cells(ORACLE["sensitivity_metrics"]).replace("o.*, d.regime,", "o.*, d.kk, d.user_id, d.regime,").replace("{'g': 'condition', 'v': 'e'}", "{'g': 'condition', 'v': 'e'}, {'g': 'bearing', 'v': 'u' || user_id}, {'g': 'context_records', 'v': kk::varchar}").replace("round(sum(a) / sum(n), 4)", "round(sum(a) / sum(n) + 1e-7, 4)"))
+@query(_all_cells(ORACLE["sensitivity_metrics"]).replace("o.*, d.regime,", "o.*, d.kk, d.user_id, d.regime,").replace("{'g': 'condition', 'v': 'e'}", "{'g': 'condition', 'v': 'e'}, {'g': 'bearing', 'v': 'u' || user_id}, {'g': 'context_records', 'v': kk::varchar}")
+       .replace("round(sum(a) / sum(n), 4)", "floor(sum(round(a * 1e9)::hugeint)::double / (sum(n) * 1e9) * 10000 + 0.5) / 10000")
+       .replace("avg((y between lo5 and hi95)::int) cover", "sum((y between lo5 and hi95)::int)::hugeint * 1000000000000 // count(*) cover").replace("round(avg(cover), 4)", "floor(sum(cover)::double / (count(cover) * 1e12) * 10000 + 0.5) / 10000"))
 def sensitivity_metrics_all(spark, sf_dir):
-    """Every group; mean errors just at a rounding tie go up, as sums differ in their last bits."""
+    """Every group, anchor and regime. Ties are common in mae and coverage: both are exact sums here and in SQL, and rounded by the same arithmetic."""
     m = _all_eval_manifest(spark, sf_dir).persist()
     out = sensitivity.evaluate(m, _long_snaps(spark, sf_dir), _eval_predictions(m), width=2)
-    return out.select("model", "group_name", "group_value", "sparse_regime", "context_window_min", "predict_ratio", "evaluated_examples", "cell_record_count", "feature_sample_count", F.round(F.col("mae") + 1e-7, 4).alias("mae"), *[F.round(c, 4).alias(c) for c in ("rmse", "coverage_90", "mean_interval_width_90")])
+    return out.select("model", "group_name", "group_value", "sparse_regime", "context_window_min", "predict_ratio", "evaluated_examples", "cell_record_count", "feature_sample_count", *[(F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) for c in ("mae", "coverage_90")], *[F.round(c, 4).alias(c) for c in ("rmse", "mean_interval_width_90")])
 
 
 @query(_all_cells(ORACLE["missing_predictions"]))

@@ -34,7 +34,7 @@ def test_from_observations_to_metrics(spark, tmp_path):
     whole = made.selectExpr("abs(total_spectral_power - band_power_0_1000_hz - band_power_1000_5000_hz - band_power_5000_10000_hz - band_power_10000_12800_hz) <= 1e-9 * total_spectral_power ok")
     assert whole.where("not ok").count() == 0
     geo = tmp_path / "g.yaml"
-    geo.write_text("rolling_element_count: 8\nrolling_element_diameter_mm: 7.92\npitch_diameter_mm: 34.55\ncontact_angle_deg: 0\n")
+    geo.write_text("bearing_model: LDK UER204\nnumber_of_rolling_elements: 8\nrolling_element_diameter_mm: 7.92\npitch_diameter_mm: 34.55\ncontact_angle_deg: 0\n")
     assert runs.explore(spark, f"{out}/obs", f"{out}/meta", f"{out}/e", geometry=str(geo)) == {"ran": ["fft"]}
     shutil.rmtree(f"{out}/e/time_summary")
     assert runs.explore(spark, f"{out}/obs", f"{out}/meta", f"{out}/e", geometry=str(geo)) == {"ran": ["time"]}
