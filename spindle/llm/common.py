@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 #: Bytes of text that a task handles at once in vectorised code (a longer text is handled alone).
 SLICE_BYTES = 400_000
@@ -115,6 +117,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def arrow_type(ddl: str) -> pa.DataType:
+    """The Arrow type of a Spark type's name, as for doc_id of any type."""
+    return to_arrow_type(DataType.fromDDL(ddl))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like this one that df doesn't have."""
     have = {c.lower() for c in df.columns}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import documents, fresh, lean, mix, raw, slices, small, table, without, words, written
+from spindle.llm.common import arrow_type, documents, fresh, lean, mix, raw, slices, small, table, without, words, written
 
 WIDTH = 13
 #: Item words in one automaton, on average over blocks (some 500 bytes each, in a task).
@@ -313,7 +313,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, bl
     docs = documents(docs, "text")
     spark = docs.sparkSession
     key = docs.schema["doc_id"].dataType.simpleString()
-    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[key]
+    arrow = arrow_type(key)
     # 1. pieces, blocks and the map of n-grams
     items = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null")
     pieces = written(items.mapInArrow(lambda b: _pieces(b, width), "item string, words binary, n long"), "pieces")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import documents, dropped, lean, lean_group, mix, raw, slices, small, table, without, words, written
+from spindle.llm.common import arrow_type, documents, dropped, lean, lean_group, mix, raw, slices, small, table, without, words, written
 from spindle.llm.graph import components
 
 MINIMA = 192
@@ -53,6 +53,8 @@ LIST = 4096
 BLOCK = 512
 #: Links of a class with its most popular partner that one task confirms.
 STAR = 256
+#: Bytes of text of a block or star, on average: classes with long texts make smaller ones.
+BLOCK_BYTES = 4_000_000
 #: Bound of the classes' ids (8 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_REPS = 500_000
 #: Similarity as parts of 100: 100 * intersection >= SIMILARITY * union.
@@ -103,7 +105,7 @@ def _parts(off: np.ndarray, limit: int = 400_000):
             yield a, min(a + _ROWS, hi)
 
 
-SIGNED_DDL = "doc_id {key}, n_shingles long, f1 long, f2 long, sig binary"
+SIGNED_DDL = "doc_id {key}, n_shingles long, f1 long, f2 long, size long, sig binary"
 
 
 def _signed(batches, width: int):
@@ -123,8 +125,8 @@ def _signed(batches, width: int):
                     for k in range(MINIMA):  # the low 16 bits of each least value
                         sig[some, k] = (np.minimum.reduceat(x * _A[k] + _B[k], at) >> _U(32)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary())],
-                names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+                [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(np.diff(off[lo : hi + 1])), pa.array([s.tobytes() for s in sig], pa.binary())],
+                names=["doc_id", "n_shingles", "f1", "f2", "size", "sig"])
 
 
 def _postings(batches):
@@ -295,7 +297,7 @@ def _confirmed(group: pa.Table, width: int, similarity: int, schema: pa.Schema)
 def _dealt(rows: DataFrame, size: int, each: int, key: str, run) -> DataFrame:
     """Links (a, b) from run over the rows, whose column `bin` is dealt by hash to tasks of about `each` of `size` rows."""
     spark = rows.sparkSession
-    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[key]
+    arrow = arrow_type(key)
     schema = pa.schema([("a", arrow), ("b", arrow)])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
     dealt = rows.withColumn("task", F.pmod(F.xxhash64("bin"), F.lit(tasks)))
@@ -307,8 +309,9 @@ def _confirm(bins: DataFrame, classes: DataFrame, docs: DataFrame, key: str, wid
     bins = written(bins, "bins")
     asked = small(bins.select(F.col("rep").alias("doc_id")).distinct(), BROADCAST_REPS)
     texts = docs.join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"))
+    size = bins.join(classes.select("rep", "bytes"), "rep").agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     rows = bins.join(classes.select("rep", "sig"), "rep").join(texts, "rep").select("bin", "side", "rep", "c", "sig", "text")
-    return _dealt(rows, bins.count(), 2 * BLOCK, key, lambda t, schema: _confirmed(t, width, similarity, schema))
+    return _dealt(rows, max(size.n, -(-int(size.bytes) * 2 * BLOCK // (2 * BLOCK_BYTES))), 2 * BLOCK, key, lambda t, schema: _confirmed(t, width, similarity, schema))
 
 
 def _paired(rows: DataFrame, by: str, n: str, part: int) -> DataFrame:
@@ -323,7 +326,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
     docs = documents(docs, "text")
     key = docs.schema["doc_id"].dataType.simpleString()
     signed = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(lambda b: _signed(b, width)), SIGNED_DDL.format(key=key)), "signed")
-    classes = written(signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = written(signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("size").alias("bytes"), F.first("sig").alias("sig")), "classes")
     # values that several classes have, and each class's prefix of its rarest
     posts = classes.select("rep", "sig").mapInArrow(lean(_postings), f"key long, rep {key}")
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
@@ -335,7 +338,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
     like = 100 * F.least("n_shingles", "lead_n") >= similarity * F.greatest("n_shingles", "lead_n")  # sizes that allow the similarity
     lead = prefix.groupBy("key").agg(F.max(F.struct("popular", "rep", "n_shingles")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.rep").alias("lead"), F.col("top.n_shingles").alias("lead_n"))
     star = written(prefix.join(lead, "key").where((F.col("rep") != F.col("lead")) & like).select("lead", "rep").distinct(), "star")
-    size = star.groupBy("lead").agg(F.ceil(F.count("*") / STAR).alias("bins"))
+    weight = classes.select("rep", "bytes")
+    size = star.join(weight, "rep").groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / STAR, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0))).alias("bins"))
     rays = star.join(size, "lead").select("lead", "rep", F.pmod(F.xxhash64("lead", "rep"), "bins").alias("k"))
     bins = rays.select(F.xxhash64("lead", "k").alias("bin"), F.lit(2).alias("side"), "rep", F.col("rep").alias("c")).union(rays.select("lead", "k").distinct().select(F.xxhash64("lead", "k"), F.lit(1), "lead", "lead"))
     links = _confirm(bins, classes, docs, key, width, similarity)
@@ -348,7 +352,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
     lists = _paired(left.join(classes.select("rep", "sig"), "rep"), "key", "n", LIST).withColumn("bin", F.xxhash64("key", "i", "j"))
     trees = components(_dealt(lists, left.count(), 2 * LIST, key, _forest))
     # 3. their pairs on full sets
-    many = trees.groupBy("component").agg(F.count("*").alias("size"))
+    many = trees.join(weight, trees["id"] == weight["rep"]).groupBy("component").agg(F.ceil(F.greatest(F.count("*").cast("double"), F.sum("bytes") / BLOCK_BYTES * BLOCK)).alias("size"))
     of = left.select(F.col("rep").alias("id"), "c").distinct()
     members = trees.join(of, "id").join(many, "component").select(F.col("component").alias("tree"), F.col("id").alias("rep"), "c", "size")
     blocks = _paired(members, "tree", "size", BLOCK)

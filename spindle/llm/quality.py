@@ -84,7 +84,7 @@ def features(data: np.ndarray, off: np.ndarray, dims: int = DIMS) -> tuple[np.nd
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, key: str) -> DataFrame:
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null").groupBy("_id").agg(F.min("_y").alias("_y"))
-    return docs.where(~held_out(key)).join(small(marks, BROADCAST_LABELS), F.col(key) == F.col("_id")).select(key, "text", (F.col("_y") > 0).cast("int").alias("y"))
+    return docs.where(~held_out(key)).select(key, "text").join(small(marks, BROADCAST_LABELS), F.col(key) == F.col("_id")).select(key, "text", (F.col("_y") > 0).cast("int").alias("y"))
 
 
 def _class_counts(batches):

@@ -45,7 +45,7 @@ HOT_BLOCKS = 96
 #: Text bytes of a block.
 BLOCK_BYTES = 12_000_000
 #: Text bytes for each partition of minimisers.
-PART_BYTES = 64_000_000
+PART_BYTES = 8_000_000
 #: Bound of the spans (bytes) that are broadcast to the texts; more are joined by shuffle.
 BROADCAST_BYTES = 32_000_000
 
@@ -444,6 +444,7 @@ def _factors(group: pa.Table, parts: int, length: int = LENGTH) -> pa.Table:
             found.append((doc, start, start + size))
         elif len(doc):
             body = _column(rows, "bytes", np.uint8)
+            del rows
             begin = np.cumsum(size) - size
             m, h = _least_gram(body, begin, size)
             found += _earlier_spans(m if kind == RUNS else h, h, doc, start, size, begin, body, length)
