@@ -7,12 +7,13 @@ rounded to 6 places on both sides, as engines add in different orders.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindle.functions.hashing import draw, sample_id, stable_int, stable_seed
-from spindle.operators import baselines, contract, eda, features, metadata, sampling, selection, sensitivity, tensors, validation, windows
+from spindle.operators import baselines, contract, eda, features, folds, leakage, metadata, sampling, selection, sensitivity, tensors, validation, windows
 from spindle.schemas import CHANNELS, CHANNEL_FEATURES, CONTEXT_MINUTES, DIMENSION, FEATURE_VERSION, HORIZON_RATIOS, SPARSE_RETENTION, SPECTRAL_FEATURES, TIME_FEATURES, TRAJECTORY
 from spindle.sources.driver_tables import trajectories, waves
 
@@ -341,19 +342,21 @@ f2 as (select sample_id, count(*) future_query_count_q, string_agg(i::varchar, '
 
 
 @query(MANIFEST + " select sample_id, split, context_count_k, context, future_query_count_q, future from s4 join c2 using (sample_id) join f2 using (sample_id)")
-def sample_manifest(spark, sf_dir):
+def sample_manifest(spark, sf_dir, **kw):
     j = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return _manifest(spark, sf_dir).select("sample_id", "split", "context_count_k", j("context_measurement_indices").alias("context"), "future_query_count_q", j("future_query_measurement_indices").alias("future"))
+    return _manifest(spark, sf_dir, **kw).select("sample_id", "split", "context_count_k", j("context_measurement_indices").alias("context"), "future_query_count_q", j("future_query_measurement_indices").alias("future"))
 
 
 @query(MANIFEST + " select count(*) samples, count(distinct bearing_id) trajectories, min(context_count_k) min_context_count_k, max(context_count_k) max_context_count_k, min(future_query_count_q) min_future_query_count_q, max(future_query_count_q) max_future_query_count_q from s4 join c2 using (sample_id) join f2 using (sample_id)")
-def sampler_summary(spark, sf_dir):
-    return sampling.sampler_summary(_manifest(spark, sf_dir))
+def sampler_summary(spark, sf_dir, **kw):
+    return sampling.sampler_summary(_manifest(spark, sf_dir, **kw))
 
 
 def _whole(sql: str) -> str:
     """SQL over every anchor, whose future's places are drawn from the number of later rows."""
     picks = f"list_reduce(list_prepend([]::bigint[], list_transform(range(nf - q + 1, nf + 1), lambda j: [j])), lambda have, one: list_append(have, case when list_contains(have, 1 + {H('sampling_seed', "'future'", 'one[1]')} % one[1]) then one[1] else 1 + {H('sampling_seed', "'future'", 'one[1]')} % one[1] end))"
+    if "f0 as (" not in sql:
+        return sql.replace(" where ra <= 3)", ")")
     start, end = sql.index("f0 as ("), sql.index("f2 as (")
     future = f"""fp as (select *, row_number() over w spot, count(*) over (partition by experiment_id, bearing_id) total from snaps window w as (partition by experiment_id, bearing_id order by measurement_index)),
 f00 as (select s4.sample_id, s4.sampling_seed, s4.experiment_id, s4.bearing_id, spot, total - spot nf, 1 + {H('sampling_seed', "'q'")} % least(8, total - spot) q from s4 join fp using (experiment_id, bearing_id, measurement_index)),
@@ -363,22 +366,15 @@ f1 as (select f0.sample_id, f0.q, 1 rf, fp.measurement_index i from f0 join fp o
     return (sql[:start] + future + sql[end:]).replace(" where ra <= 3)", ")")
 
 
-def _whole_manifest(spark, sf_dir):
-    return _manifest(spark, sf_dir, anchors_per_trajectory=None, draws="positions")
-
-
-@query(_whole(ORACLE["sample_manifest"]))
-def sample_manifest_all(spark, sf_dir):
-    """Every anchor of the training split."""
-    j = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return _whole_manifest(spark, sf_dir).select("sample_id", "split", "context_count_k", j("context_measurement_indices").alias("context"), "future_query_count_q", j("future_query_measurement_indices").alias("future"))
+#: Every anchor of a split; the samples then grow with the tables.
+WHOLE = {"anchors_per_trajectory": None, "draws": "positions"}
 
 
 # ---------------------------------------------------------------- contract and audit
 
-def _broken(spark, sf_dir):
+def _broken(spark, sf_dir, **kw):
     """A manifest with faults put in by a fixed rule on the first hex digit of sample_id."""
-    m = _manifest(spark, sf_dir)
+    m = _manifest(spark, sf_dir, **kw)
     d = F.conv(F.substring("sample_id", 1, 1), 16, 10).cast("int")
     return m.withColumns({
         "split": F.when(d == 1, "holdout").otherwise(F.col("split")), "context_count_k": F.when(d.isin(2, 3), F.col("context_count_k") + 1).otherwise(F.col("context_count_k")),
@@ -392,8 +388,8 @@ BROKEN = SEEDS + ", b as (select sample_id, ('0x' || substr(sample_id, 1, 1))::i
 
 
 @query(BROKEN + ", r(lo, hi, rule) as (values (1, 1, 'split'), (2, 3, 'k_matches'), (4, 6, 'q_matches'), (4, 6, 'overlap'), (14, 15, 'seed')) select sample_id, rule from b join r on d between lo and hi")
-def manifest_violations(spark, sf_dir):
-    return contract.contract_violations(_broken(spark, sf_dir))
+def manifest_violations(spark, sf_dir, **kw):
+    return contract.contract_violations(_broken(spark, sf_dir, **kw))
 
 
 def _snapshot_stub(spark, sf_dir):
@@ -413,21 +409,21 @@ select code, count(*) n from b join r on d between lo and hi group by 1
 union all select 'future_time_mismatch', sum(q)::bigint from n where d between 4 and 6 having count(*) > 0
 union all select 'context_split_leakage', sum(k)::bigint from n where d = 1 having count(*) > 0
 union all select 'future_split_leakage', sum(q)::bigint from n where d = 1 having count(*) > 0""")
-def validation_issues_all(spark, sf_dir):
+def validation_issues_all(spark, sf_dir, **kw):
     """All codes that the audit finds; `validation_issues` leaves three out, as its SQL does."""
-    return validation.issue_counts(validation.sample_issues(_broken(spark, sf_dir), _snapshot_stub(spark, sf_dir)))
+    return validation.issue_counts(validation.sample_issues(_broken(spark, sf_dir, **kw), _snapshot_stub(spark, sf_dir)))
 
 
 @query(BROKEN + ", n as (select count(*) filter (where d = 1) a, count(*) filter (where d between 4 and 6) o, count(*) filter (where d between 7 and 9) t, count(*) filter (where d in (1, 2, 3, 4, 5, 6, 14, 15)) c from b) "
        "select 'manifest_contract' \"check\", c = 0 passed from n union all select 'causal_order', o = 0 from n union all select 'source_reference_integrity', a + t = 0 from n union all select 'split_isolation', not exists (select 1 from s4 join b using (sample_id) group by experiment_id, bearing_id having count(distinct case when d = 1 then 'holdout' else split end) > 1) union all select 'all', a + o + t + c = 0 from n")
-def validation_checks(spark, sf_dir):
-    m = _broken(spark, sf_dir)
+def validation_checks(spark, sf_dir, **kw):
+    m = _broken(spark, sf_dir, **kw)
     return validation.checks(validation.sample_issues(m, _snapshot_stub(spark, sf_dir)).unionByName(validation.manifest_issues(m)))
 
 
 @query(BROKEN + " select sample_id, case when d = 1 then 'missing' when d = 2 then 'changed' end status from b where d in (1, 2) union all select sample_id || 'x', 'extra' from b where d = 3")
-def manifest_diff(spark, sf_dir):
-    m = _manifest(spark, sf_dir)
+def manifest_diff(spark, sf_dir, **kw):
+    m = _manifest(spark, sf_dir, **kw)
     d = F.conv(F.substring("sample_id", 1, 1), 16, 10).cast("int")
     other = m.where(d != 1).withColumn("context_count_k", F.when(d == 2, F.lit(0)).otherwise(F.col("context_count_k")))
     other = other.unionByName(m.where(d == 3).withColumn("sample_id", F.concat("sample_id", F.lit("x"))))
@@ -436,8 +432,8 @@ def manifest_diff(spark, sf_dir):
 
 # ---------------------------------------------------------------- tensors, baselines, metrics
 
-def _examples(spark, sf_dir):
-    return tensors.examples(_manifest(spark, sf_dir), _snapshots(spark, sf_dir))
+def _examples(spark, sf_dir, **kw):
+    return tensors.examples(_manifest(spark, sf_dir, **kw), _snapshots(spark, sf_dir))
 
 
 LONGSQL = LONG.split("with ", 1)[1]
@@ -450,42 +446,42 @@ ln as (select sample_id, feature, arg_max(z, i) last, case when max(t) > min(t)
 pr as (select tg.*, coalesce(last, 0) persistence, coalesce(mz + slope * (qt - mt), last, 0) trend from tg left join ln using (sample_id, feature))"""
 
 
-def _predictions(spark, sf_dir, f):
-    m, s = _manifest(spark, sf_dir), _snapshots(spark, sf_dir)
+def _predictions(spark, sf_dir, f, **kw):
+    m, s = _manifest(spark, sf_dir, **kw), _snapshots(spark, sf_dir)
     ex = tensors.examples(m, s)
     return m, ex, f(ex)
 
 
-def _with_target(spark, sf_dir, f):
-    m, ex, p = _predictions(spark, sf_dir, f)
+def _with_target(spark, sf_dir, f, **kw):
+    m, ex, p = _predictions(spark, sf_dir, f, **kw)
     t = baselines.target_long(ex).join(p, ["sample_id", "query_pos", "feature_index"])
     return t.groupBy("sample_id", "query_pos", "query_time").agg(F.round(F.sum("prediction"), 2).alias("prediction_sum"), F.round(F.sum("target"), 2).alias("target_sum")).drop("query_pos")
 
 
 @query(EX + " select sample_id, qt query_time, round(sum(persistence), 2) prediction_sum, round(sum(target), 2) target_sum from pr group by 1, 2")
-def persistence_forecast(spark, sf_dir):
-    return _with_target(spark, sf_dir, baselines.persistence)
+def persistence_forecast(spark, sf_dir, **kw):
+    return _with_target(spark, sf_dir, baselines.persistence, **kw)
 
 
 @query(EX + " select sample_id, qt query_time, round(sum(trend), 2) prediction_sum, round(sum(target), 2) target_sum from pr group by 1, 2")
-def linear_trend_forecast(spark, sf_dir):
-    return _with_target(spark, sf_dir, baselines.linear_trend)
+def linear_trend_forecast(spark, sf_dir, **kw):
+    return _with_target(spark, sf_dir, baselines.linear_trend, **kw)
 
 
 @query(EX + """, er as (select 'persistence' model, *, persistence - target e from pr where valid union all select 'linear_trend', *, trend - target from pr where valid),
 er2 as (select er.*, 'K=' || context_count_k k, case when qt < 300 then '0-5m' when qt < 600 then '5-10m' when qt < 1200 then '10-20m' when qt < 1800 then '20-30m' when qt < 3600 then '30-60m' else '60m+' end h from er join c2 using (sample_id)),
 gr as (select model, split, e, unnest([{'g': 'overall', 'v': 'all'}, {'g': 'bearing', 'v': bearing_id}, {'g': 'condition', 'v': experiment_id}, {'g': 'K', 'v': k}, {'g': 'sparse_regime', 'v': 'dense'}, {'g': 'future_horizon', 'v': h}]) x from er2)
 select model, split, x.g "group", x.v group_value, count(*) feature_count, round(avg(abs(e)), 3) mae, round(sqrt(avg(e * e)), 3) rmse from gr group by 1, 2, 3, 4""")
-def baseline_metrics(spark, sf_dir):
-    m, ex, p = _predictions(spark, sf_dir, baselines.persistence)
+def baseline_metrics(spark, sf_dir, **kw):
+    m, ex, p = _predictions(spark, sf_dir, baselines.persistence, **kw)
     both = p.withColumn("model", F.lit("persistence")).unionByName(baselines.linear_trend(ex).withColumn("model", F.lit("linear_trend")))
     out = baselines.baseline_metrics(both, baselines.target_long(ex), m)
     return out.select("model", "split", "group", "group_value", "feature_count", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"))
 
 
 @query(EX + ", kk as (select sample_id, context_count_k k, future_query_count_q q from s4 join c2 using (sample_id) join f2 using (sample_id)) select sample_id, k context_length, q future_length, 1221 width, (select count(*) from cx where cx.sample_id = kk.sample_id) n_valid from kk")
-def context_encoding_pad(spark, sf_dir):
-    ex = _examples(spark, sf_dir)
+def context_encoding_pad(spark, sf_dir, **kw):
+    ex = _examples(spark, sf_dir, **kw)
     enc = tensors.encode_context(ex).where("query_pos = 0").select("sample_id", F.size("encoding").alias("width"), F.aggregate(F.slice("encoding", 601, 600), F.lit(0.0), lambda a, b: a + b).cast("long").alias("n_valid"))
     return ex.select("sample_id", "context_length", "future_length").join(enc, "sample_id")
 
@@ -503,6 +499,54 @@ def mlp_forecast(spark, sf_dir):
     return baselines.mlp_forecast(train, test)
 
 
+for _name in ("sample_manifest", "sampler_summary", "manifest_violations", "validation_issues_all", "validation_checks", "manifest_diff", "persistence_forecast", "linear_trend_forecast", "baseline_metrics", "context_encoding_pad"):
+    # over all anchors, beside the queries of three anchors a trajectory
+    QUERIES[f"{_name.removesuffix('_all')}_whole"] = partial(QUERIES[_name], **WHOLE)
+    ORACLE[f"{_name.removesuffix('_all')}_whole"] = _whole(ORACLE[_name])
+
+
+# ---------------------------------------------------------------- folds, leakage between splits, distances of distributions
+
+FOLD = """, gs as (select bearing_id g, experiment_id c, name, count(*) n, avg(value) mu, var_pop(value) * count(*) m2 from long where isfinite(value) group by 1, 2, 3),
+ks as (select 'bearing' kind, experiment_id || '/' || bearing_id k, name, value, experiment_id || '/' || bearing_id own from long where isfinite(value) union all select 'condition', experiment_id, name, value, experiment_id from long where isfinite(value)),
+fs as (select distinct kind, own fold from ks)"""
+
+
+@query(LONG + FOLD + " select fs.kind, fold, name, count(*) n, round(avg(value), 6) + 0.0 mean, round(case when stddev_pop(value) > 0 then stddev_pop(value) else 1 end, 6) scale from fs join ks on ks.kind = fs.kind and ks.own <> fs.fold group by 1, 2, 3")
+def fold_scalers(spark, sf_dir):
+    """Scalers of leave-one-bearing-out and leave-one-condition-out, all folds in one pass; SQL fits each fold anew."""
+    f = selection.checkpointed(_features(spark, sf_dir).select("experiment_id", "bearing_id", *CHANNEL_FEATURES))
+    both = folds.fold_scalers(f, ["experiment_id", "bearing_id"]).select(F.lit("bearing").alias("kind"), F.concat_ws("/", "experiment_id", "bearing_id").alias("fold"), "name", "n", "mean", "scale")
+    both = both.unionByName(folds.fold_scalers(f, ["experiment_id"]).select(F.lit("condition").alias("kind"), F.col("experiment_id").alias("fold"), "name", "n", "mean", "scale"))
+    return both.select("kind", "fold", "name", "n", r6("mean").alias("mean"), F.round("scale", 6).alias("scale"))
+
+
+@query(EX + """, er as (select 'persistence' model, experiment_id || '/' || bearing_id own, persistence - target e from pr where valid union all select 'linear_trend', experiment_id || '/' || bearing_id, trend - target from pr where valid)
+select b.model, a.own fold, count(*) n, round(avg(abs(b.e)), 3) mae, round(sqrt(avg(b.e * b.e)), 3) rmse from (select distinct own from er) a join er b on b.own <> a.own group by 1, 2""")
+def fold_metrics(spark, sf_dir):
+    """Errors of all bearings but one, for each bearing left out."""
+    m, ex, p = _predictions(spark, sf_dir, baselines.persistence)
+    both = p.withColumn("model", F.lit("persistence")).unionByName(baselines.linear_trend(ex).withColumn("model", F.lit("linear_trend")))
+    own = baselines.target_long(ex).where("valid").join(both, ["sample_id", "query_pos", "feature_index"]).join(m.select("sample_id", "experiment_id", "bearing_id"), "sample_id")
+    out = folds.fold_metrics(own.select("model", "experiment_id", "bearing_id", (F.col("prediction") - F.col("target")).alias("e")), ["model"], ["experiment_id", "bearing_id"])
+    return out.select("model", F.concat_ws("/", "experiment_id", "bearing_id").alias("fold"), "n", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"))
+
+
+@query("""with v0 as (select vec_id, [e::double for e in embedding] x, case when vec_id % 10 < 6 then 'train' when vec_id % 10 < 8 then 'validation' else 'test' end split from embeddings),
+v as (select v0.vec_id, v0.split, case when v0.vec_id % 50 = 9 then list_transform(w.x, lambda e, i: e * (1 + 0.001::double * ((i - 1) % 7 - 3))) else v0.x end x from v0 left join v0 w on w.vec_id = v0.vec_id - 4),
+h as (select x, split, min(vec_id) id, count(*) n from v group by 1, 2)
+select a.split first_split, b.split second_split, a.id first_id, b.id second_id, a.n first_count, b.n second_count, round(list_cosine_similarity(a.x, b.x), 6) similarity from h a join h b on a.split < b.split where list_cosine_similarity(a.x, b.x) >= 0.999""")
+def split_near_duplicates(spark, sf_dir):
+    """Vectors of one split that are all but the same as one of another. The tables hold none, so every fiftieth vector becomes an altered copy of another."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    split = F.when(F.col("vec_id") % 10 < 6, "train").when(F.col("vec_id") % 10 < 8, "validation").otherwise("test")
+    other = e.select((F.col("vec_id") + 4).alias("vec_id"), F.col("x").alias("other")).where("vec_id % 50 = 9")
+    altered = F.transform("other", lambda x, i: x * (1 + F.lit(0.001) * (i % 7 - 3)))
+    own = e.join(other, "vec_id", "left").select("vec_id", split.alias("split"), F.coalesce(altered, "x").alias("vector"))
+    near = leakage.split_near_duplicates(own, "vec_id")
+    return near.select("first_split", "second_split", "first_id", "second_id", "first_count", "second_count", F.round("similarity", 6).alias("similarity"))
+
+
 # ---------------------------------------------------------------- sensitivity grid
 
 def _long_snaps(spark, sf_dir):
