@@ -24,7 +24,7 @@ _NUMBER = re.compile(r"[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, content, source_relative_path, condition_source_name, experiment_id, bearing_id, stem, measurement_index (null if the name is no number from 1 on).
+    """path, content, length, modificationTime, source_relative_path, condition_source_name, experiment_id, bearing_id, stem, measurement_index (null if the name is no number from 1 on).
 
     Files count where they stand right in <root>/<condition>/<bearing>/; trees at another depth are no bearings. A root that is absent raises.
     """
@@ -39,13 +39,17 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
                 raise
             continue  # a condition without any file
         files = one if files is None else files.union(one)
-    if files is None:
-        files = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    return discovered(spark, [] if files is None else [files])
+
+
+def discovered(spark: SparkSession, found: list[DataFrame]) -> DataFrame:
+    """What `discover` gives, of tables of binary files."""
+    files = found[0] if found else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     rel = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1)
     cond = F.create_map(*[x for c in CONDITIONS for x in (F.lit(c[0]), F.lit(c[1]))])
     stem = F.regexp_extract(rel, r"/([^/]+)\.[cC][sS][vV]$", 1)
     idx = F.when(stem.rlike("^[0-9]{1,18}$"), stem.try_cast("long"))
-    out = files.select("path", "content", rel.alias("source_relative_path"), F.regexp_extract(rel, "^([^/]+)/", 1).alias("condition_source_name"), F.regexp_extract(rel, "/([^/]+)/", 1).alias("bearing_id"), stem.alias("stem"), F.when(idx >= 1, idx).alias("measurement_index"))
+    out = files.select("path", "content", "length", "modificationTime", rel.alias("source_relative_path"), F.regexp_extract(rel, "^([^/]+)/", 1).alias("condition_source_name"), F.regexp_extract(rel, "/([^/]+)/", 1).alias("bearing_id"), stem.alias("stem"), F.when(idx >= 1, idx).alias("measurement_index"))
     return out.withColumn("experiment_id", cond[F.col("condition_source_name")]).where("experiment_id is not null")
 
 
@@ -85,6 +89,11 @@ def _plain(content: bytes) -> np.ndarray | None:
 
 def parse_signals(content: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(header, horizontal, vertical); anything that isn't two columns of finite numbers raises with its line."""
+    head = [x.strip() for x in content.partition(b"\n")[0].decode("utf-8-sig").split(",")]
+    if sorted(head) == sorted(SIGNAL_COLUMNS):  # most files: nothing but the header is read as text
+        fast = _plain(content)
+        if fast is not None:
+            return head, fast[:, head.index(SIGNAL_COLUMNS[0])], fast[:, head.index(SIGNAL_COLUMNS[1])]
     rows = [(n, line.split(",")) for n, line in enumerate(content.decode("utf-8-sig").splitlines(), 1)]
     if not rows or not any(x.strip() for x in rows[0][1]):
         raise ValueError("empty file")
@@ -93,9 +102,6 @@ def parse_signals(content: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
         raise ValueError(f"repeated columns: {header}")
     if set(header) != set(SIGNAL_COLUMNS):
         raise ValueError(f"unexpected columns: {header}")
-    fast = _plain(content)
-    if fast is not None:
-        return header, fast[:, header.index(SIGNAL_COLUMNS[0])], fast[:, header.index(SIGNAL_COLUMNS[1])]
     data = []
     for n, cells in rows[1:]:
         if not any(x.strip() for x in cells):
@@ -140,13 +146,19 @@ def _parse(frames):
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Each file with its hash, size, error or signals. All copies of a measurement index in a bearing (1.csv, 01.csv) are errors."""
+    """Each file with its hash, size, error or signals. All copies of a measurement index in a bearing (1.csv, 01.csv) are errors.
+
+    Copies are counted among these files, unless they have a column `copies`.
+    """
+    hashed = files.withColumns({"file_sha256": F.sha2("content", 256), "file_size_bytes": F.length("content").cast("long")})
+    wanted = ["source_relative_path", "file_sha256", "file_size_bytes", "condition_source_name", "experiment_id", "bearing_id", "measurement_index", "copies", "content"]
+    if "copies" in files.columns:
+        return hashed.select(*wanted).mapInPandas(_parse, _PARSED)
     key = ["experiment_id", "bearing_id", "measurement_index"]
     twice = files.where("measurement_index is not null").groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1")  # names only, not contents
     if twice.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES:
         twice = F.broadcast(twice)  # so that contents pass no shuffle
-    hashed = files.withColumns({"file_sha256": F.sha2("content", 256), "file_size_bytes": F.length("content").cast("long")})
-    rows = hashed.join(twice, key, "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))).select("source_relative_path", "file_sha256", "file_size_bytes", "condition_source_name", "experiment_id", "bearing_id", "measurement_index", "copies", "content")
+    rows = hashed.join(twice, key, "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))).select(*wanted)
     return rows.mapInPandas(_parse, _PARSED)
 
 
