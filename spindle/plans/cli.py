@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from spindle.plans import runs
+from spindle.plans import ingest, runs
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
 
     switch, many = {"action": "store_true"}, {"nargs": "+", "required": True}
     add("parse", "raw_root", "out", allow_errors=switch)
+    add("ingest", "raw_root", "out")
     add("metadata", "config", "manifest", "out")
     add("features", "observations", "out")
     add("sample", "snapshots", "out", split={"required": True}, seed={"type": int, "required": True}, anchors_per_trajectory={"type": int, "required": True}, context_regime={"default": "main"}, sparse_regime={"default": "dense"}, epoch={"type": int}, full_remaining_lifecycle=switch)
@@ -43,6 +44,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "parse":
         got = runs.parse(spark, a.raw_root, a.out)
         bad = bool(got["errors"]) and not a.allow_errors
+    elif a.command == "ingest":
+        got = ingest.ingest(spark, a.raw_root, a.out)
     elif a.command == "metadata":
         got = {"count_mismatches": runs.build_metadata(spark, a.config, a.manifest, a.out)}
     elif a.command == "features":

@@ -36,6 +36,8 @@ def test_from_observations_to_metrics(spark, tmp_path):
     geo = tmp_path / "g.yaml"
     geo.write_text("bearing_model: LDK UER204\nnumber_of_rolling_elements: 8\nrolling_element_diameter_mm: 7.92\npitch_diameter_mm: 34.55\ncontact_angle_deg: 0\n")
     assert runs.explore(spark, f"{out}/obs", f"{out}/meta", f"{out}/e", geometry=str(geo)) == {"ran": ["fft"]}
+    told = json.load(open(f"{out}/e/eda_report.json"))
+    assert told["reused"] == ["time"] and told["geometry"]["n"] == 8.0 and sum(x["spectra"] for x in told["spectra"]) == 330
     shutil.rmtree(f"{out}/e/time_summary")
     assert runs.explore(spark, f"{out}/obs", f"{out}/meta", f"{out}/e", geometry=str(geo)) == {"ran": ["time"]}
     ok = waves(spark, SF).select("experiment_id", "bearing_id", "measurement_index").distinct().where("measurement_index > 1").withColumn("parse_status", F.lit("ok"))
@@ -119,10 +121,23 @@ def test_parse_run_and_command_line(spark, tmp_path, capsys):
     snaps = f"{out}/f/snapshot_features"
     assert cli.main(["sample", snaps, f"{out}/tr", "--split", "train", "--seed", "1", "--anchors-per-trajectory", "1"]) == 0
     assert cli.main(["validate", snaps, f"{out}/v.json", "--manifests", f"{out}/tr"]) == 0
-    assert cli.main(["prepare", snaps, f"{out}/grid", "--anchor-cap", "1"]) == 0
+    with pytest.raises(ValueError, match="grid is empty"):  # so few records have no context
+        cli.main(["prepare", snaps, f"{out}/grid", "--anchor-cap", "1"])
     capsys.readouterr()
 
 
+def test_ingest_command_line(spark, tmp_path, capsys):
+    (tmp_path / "35Hz12kN/Bearing1_1").mkdir(parents=True)
+    (tmp_path / "35Hz12kN/Bearing1_1/1.csv").write_text("Horizontal_vibration_signals,Vertical_vibration_signals\n1,2\n")
+    for n in (1, 0):
+        assert cli.main(["ingest", str(tmp_path), str(tmp_path / "out")]) == 0 and json.loads(capsys.readouterr().out)["parsed"] == n
+
+
+def test_baselines_need_evaluations(spark, tmp_path):
+    with pytest.raises(ValueError, match="no evaluation"):
+        runs.run_baselines(spark, "s", "t", [], str(tmp_path))
+
+
 def test_prediction_specs():
     assert runs.prediction_specs(["a=/x/p", "/y/b.parquet"]) == {"a": "/x/p", "b": "/y/b.parquet"}
     with pytest.raises(ValueError):
