@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindle.functions.hashing import draw, sample_id, stable_int, stable_seed
-from spindle.operators import baselines, contract, eda, features, folds, leakage, metadata, sampling, selection, sensitivity, tensors, validation, windows
-from spindle.schemas import CHANNELS, CHANNEL_FEATURES, CONTEXT_MINUTES, DIMENSION, FEATURE_VERSION, HORIZON_RATIOS, SPARSE_RETENTION, SPECTRAL_FEATURES, TIME_FEATURES, TRAJECTORY
+from spindle.operators import baselines, contract, distances, eda, features, folds, leakage, metadata, sampling, selection, sensitivity, tensors, validation, windows
+from spindle.schemas import CHANNELS, CHANNEL_FEATURES, CONTEXT_MINUTES, DIMENSION, FEATURES, FEATURE_VERSION, HORIZON_RATIOS, SPARSE_RETENTION, SPECTRAL_FEATURES, TIME_FEATURES, TRAJECTORY
 from spindle.sources.driver_tables import trajectories, waves
 
 QUERIES: dict = {}
@@ -547,6 +547,37 @@ def split_near_duplicates(spark, sf_dir):
     return near.select("first_split", "second_split", "first_id", "second_id", "first_count", "second_count", F.round("similarity", 6).alias("similarity"))
 
 
+PROJECTED = f"""pj as (select i, j, sqrt(-2 * ln(({H("'0'", "'radius'", 'j', 'i')} + 0.5) / 4503599627370496.0::double)) * cos(2 * pi() * ({H("'0'", "'angle'", 'j', 'i')} + 0.5) / 4503599627370496.0::double) w from range(64) a(i), range(128) b(j))"""
+
+
+@query(f"""with {WAVES}, {PROJECTED}, cl as (select vec_id, channel_id, {SPLIT} = 'test' g, unnest(x) v, generate_subscripts(x, 1) - 1 i from waves where {SPLIT} <> 'validation'),
+z as (select vec_id, channel_id, g, j, sum(v * w) z from cl join pj using (i) group by all),
+f as (select channel_id, j, avg(cos(z)) filter (where not g) - avg(cos(z)) filter (where g) c, avg(sin(z)) filter (where not g) - avg(sin(z)) filter (where g) s, count(*) filter (where not g) n_real, count(*) filter (where g) n_generated from z group by 1, 2)
+select channel_id, any_value(n_real) n_real, any_value(n_generated) n_generated, round(sum(c * c + s * s) / 128, 6) mmd2 from f group by 1""")
+def split_distances(spark, sf_dir):
+    """How far the waveforms of the test split lie from those of the training split, for each channel."""
+    w = waves(spark, sf_dir).withColumn("split", features.split_of()).where("split <> 'validation'").select("channel_id", (F.col("split") == "test").alias("generated"), F.col("vibration_signal").alias("window"))
+    return distances.mmd(w, ["channel_id"], bandwidth=1.0, frequencies=128).select("channel_id", "n_real", "n_generated", F.round("mmd2", 6).alias("mmd2"))
+
+
+def _projected(frequencies: int, dimension: int) -> str:
+    return PROJECTED.replace("range(64)", f"range({dimension})").replace("range(128)", f"range({frequencies})")
+
+
+@query(_whole(EX) + f""", {_projected(64, DIMENSION)}, nm as (select unnest({list(FEATURES)}) feature, unnest(range({DIMENSION})) i),
+wn as (select sample_id, bearing_id, qt, nm.i, case when valid then target else 0 end target, case when valid then persistence else 0 end persistence, case when valid then trend else 0 end trend from pr join nm using (feature)),
+proj as (select bearing_id, j, sum(target * w) / sqrt({DIMENSION}) t, sum(persistence * w) / sqrt({DIMENSION}) p, sum(trend * w) / sqrt({DIMENSION}) l from wn join pj using (i) group by sample_id, qt, bearing_id, j),
+u as (select 'persistence' model, bearing_id, j, t, p z from proj union all select 'linear_trend', bearing_id, j, t, l from proj),
+f as (select model, bearing_id, j, count(*) n, avg(cos(t)) - avg(cos(z)) c, avg(sin(t)) - avg(sin(z)) s from u group by 1, 2, 3)
+select model, bearing_id, any_value(n) n_real, any_value(n) n_generated, round(sum(c * c + s * s) / 64, 4) + 0.0 mmd2 from f group by 1, 2""")
+def forecast_distances(spark, sf_dir):
+    """How far each baseline's predicted vectors lie from the real ones, for each bearing, over every anchor."""
+    m, ex, p = _predictions(spark, sf_dir, baselines.persistence, **WHOLE)
+    both = p.withColumn("model", F.lit("persistence")).unionByName(baselines.linear_trend(ex).withColumn("model", F.lit("linear_trend")))
+    out = distances.forecast_distances(baselines.target_long(ex), both, m, ["bearing_id"], frequencies=64)
+    return out.select("model", "bearing_id", "n_real", "n_generated", (F.round("mmd2", 4) + 0.0).alias("mmd2"))
+
+
 # ---------------------------------------------------------------- sensitivity grid
 
 def _long_snaps(spark, sf_dir):

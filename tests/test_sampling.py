@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.operators import baselines, contract, sampling, sensitivity, tensors, validation
+from spindle.operators import baselines, contract, neural, sampling, sensitivity, tensors, validation
 from spindle.schemas import DIMENSION, FEATURE_VERSION
 
 
@@ -112,17 +112,65 @@ def test_neural_baseline_equals_its_networks(snaps):
     code = {(r.sample_id, r.query_pos): np.array(r.encoding) for r in tensors.encode_context(ex).collect()}
     goal = {(r.sample_id, r.query_pos, r.feature_index): r.target for r in baselines.target_long(ex).where("valid").collect()}
     last = {(r.sample_id, r.query_pos, r.feature_index): r.prediction for r in baselines.persistence(ex).collect()}
-    shard = {(r.sample_id, r.query_pos): r.s for r in ex.select("sample_id", F.posexplode("future_query_time").alias("query_pos", "t")).withColumn("s", F.pmod(F.xxhash64("sample_id", "query_pos"), F.lit(2))).collect()}
-    for rows, shards in ((20_000, 1), (-(-len(code) // 2), 2)):
-        got = {(r.sample_id, r.query_pos, r.feature_index): r.prediction for r in baselines.mlp_forecast(ex, ex, seed=3, rows=rows).collect()}
-        assert set(got) == set(last) and all(got[k] == last[k] for k in got if k[2] == 4)  # a constant feature falls back
-        for f in (0, 7):
-            weights, n = 0.0, 0
-            for part in range(shards):
-                own = [k for k in sorted(code) if (*k, f) in goal and (shards == 1 or shard[k] == part)]
-                net = baselines.Mlp(3 + f).fit(np.stack([code[k] for k in own]), np.array([goal[(*k, f)] for k in own]))
-                weights, n = weights + len(own) * np.concatenate([a.ravel() for a in net.p]), n + len(own)
-            d, h, w = len(next(iter(code.values()))), 32, weights / n
-            net.p = [w[: d * h].reshape(d, h), w[d * h : d * h + h], w[d * h + h : d * h + 2 * h].reshape(h, 1), w[d * h + 2 * h :]]
-            for k, x in code.items():
-                assert got[(*k, f)] == pytest.approx(net.predict(x[None])[0], rel=1e-6, abs=1e-9)
+    got = {(r.sample_id, r.query_pos, r.feature_index): r.prediction for r in baselines.mlp_forecast(ex, ex, seed=3, passes=12).collect()}
+    assert set(got) == set(last) and all(got[k] == last[k] for k in got if k[2] == 4)  # a constant feature falls back
+    features, one = neural.fit(ex.repartition(1), 3, passes=12, block_rows=20)
+    before, neural.FAN_IN = neural.FAN_IN, 2  # several levels of the tree
+    _, many = neural.fit(ex.repartition(8), 3, passes=12, block_rows=20)
+    neural.FAN_IN = before
+    assert 4 not in features and np.abs(one - many).max() <= 1e-9
+    for f in (0, 7):  # the same descent over all rows at once, in this process
+        own = [k for k in sorted(code) if (*k, f) in goal]
+        x, y = np.stack([code[k] for k in own]), np.array([[goal[(*k, f)]] for k in own])
+        start = neural.first_weights(3 + f, x.shape[1])[None]
+        descent, seen = neural.Descent(start), []
+        for _ in range(12):
+            if descent.live:
+                at = descent.trial
+                loss, grad = neural.penalised(neural.sums(at, x, y, np.ones_like(y, bool)), at, np.array([float(len(own))]), x.shape[1])
+                descent.told(loss, grad)
+                seen.append(float(descent.loss[0]))
+        assert seen == sorted(seen, reverse=True) and seen[-1] < seen[0] / 2
+        assert np.abs(one[features.index(f)] - descent.w[0]).max() <= 1e-6
+        for k, x in code.items():
+            assert got[(*k, f)] == pytest.approx(neural.predict(descent.w, x[None])[0, 0], rel=1e-5, abs=1e-6)
+
+
+def test_gradient_and_whole_sums():
+    r = np.random.default_rng(2)
+    x, y, valid = r.normal(size=(50, 6)), r.normal(size=(50, 3)), r.random((50, 3)) < 0.8
+    w = np.stack([neural.first_weights(i, 6) for i in range(3)])
+    g = neural.sums(w, x, np.where(valid, y, np.nan), valid)
+    loss = lambda w: (np.where(valid, neural.predict(w, x) - y, 0) ** 2).sum(0) / 2
+    assert g[:, -1] == pytest.approx(loss(w))
+    for k in (0, 77, 6 * 32 + 5, 6 * 32 + 40, w.shape[1] - 1):
+        d = np.zeros_like(w)
+        d[:, k] = 1e-6
+        assert g[:, k] == pytest.approx((loss(w + d) - loss(w - d)) / 2e-6, abs=1e-5)
+    parts = [r.normal(size=(2, 40)) * 10.0 ** r.integers(-9, 9) for _ in range(30)]
+    a, b = (sum(neural.whole(p) for p in own) for own in (parts, parts[::-1]))
+    assert (a == b).all() and neural.read(a) == pytest.approx(np.sum(parts, axis=0), rel=1e-12, abs=1e-13)
+    for far in (1e13, np.nan, np.inf):
+        lost = neural.read(a + neural.whole(np.array([[far] * 40, [1.0] * 40])))
+        assert np.isinf(lost[0]).all() and np.isfinite(lost[1]).all()
+    with pytest.raises(OverflowError, match="not scaled"):
+        neural.Descent(np.zeros((1, 3))).told(np.array([np.inf]), np.zeros((1, 3)))
+
+
+def test_descent_finds_the_least_point_of_a_quadratic():
+    r = np.random.default_rng(4)
+    a = r.normal(size=(2, 8, 8))
+    a, b = np.einsum("kij,klj->kil", a, a) + np.eye(8), r.normal(size=(2, 8))
+    d = neural.Descent(np.zeros((2, 8)), tolerance=1e-9)
+    for _ in range(200):
+        if d.live:
+            w, i = d.trial, d.live
+            d.told(np.einsum("ki,kij,kj->k", w, a[i], w) / 2 - (b[i] * w).sum(1), np.einsum("kij,kj->ki", a[i], w) - b[i])
+    assert d.w == pytest.approx(np.stack([np.linalg.solve(p, q) for p, q in zip(a, b, strict=True)]), abs=1e-4)
+
+
+def test_neural_baseline_without_rows_or_networks(snaps):
+    ex = tensors.examples(manifest(snaps, anchors_per_trajectory=1), tensors.checked_snapshots(snaps)).cache()
+    assert baselines.mlp_forecast(ex, ex.limit(0)).count() == 0
+    got, last = ({(r.sample_id, r.query_pos, r.feature_index): r.prediction for r in p.collect()} for p in (baselines.mlp_forecast(ex.limit(0), ex), baselines.persistence(ex)))
+    assert got == last
