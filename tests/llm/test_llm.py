@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindle.llm import bpe, decontaminate, fixity, graph, hamming, language, linear, minhash, quality, repeats, unigram, urls
+from spindle.llm.common import mix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words long"
 RND = random.Random(4)
@@ -438,6 +439,71 @@ def test_votes_of_languages_equal_their_definition():
         assert names[best[i]] == max(names, key=rank.get) and score[i] == pytest.approx(min(prob[names[best[i]], o] for o in names if o != names[best[i]]))
 
 
+def plain_trigrams(text):
+    """Damped counts of the byte trigrams of a text in unit length, worked out byte by byte and kept in half precision."""
+    kind = lambda b: b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 32 + (b - 128) % 96 if b >= 128 else 0
+    c, v = [kind(b) for b in text.encode()], np.zeros(language.DIMS)
+    for x, y, z in zip(c, c[1:], c[2:], strict=False):
+        code = x << 14 | y << 7 | z
+        if code:
+            v[int(mix(np.array([code + 5], np.uint64))[0] >> np.uint64(33)) % language.DIMS] += 1
+    v = np.log1p(v)
+    return v / max(np.sqrt(v @ v), 1e-9)
+
+
+def plain_machines(x, names):
+    """(p, q): function of a vector giving p's probability against q, each fitted on the rows of both alone."""
+    out = {}
+    for p in sorted(set(names)):
+        for q in sorted(n for n in set(names) if n > p):
+            at = [i for i, n in enumerate(names) if n in (p, q)]
+            y = np.array([1.0 if names[i] == p else -1.0 for i in at])
+            sparse = [(np.flatnonzero(x[i]), x[i][x[i] != 0]) for i in at]
+            test = np.arange(len(at)) % 4 == 0
+            part = linear.fit_hinge([r for r, t in zip(sparse, test, strict=True) if not t], y[~test], language.DIMS, c=4.0)
+            a, b = linear.fit_sigmoid(np.array([x[i] @ part[:-1] + part[-1] for i, t in zip(at, test, strict=True) if t]), y[test])
+            w = linear.fit_hinge(sparse, y, language.DIMS, c=4.0)
+            out[p, q] = lambda v, w=w, a=a, b=b: float(linear.sigmoid(a * (v @ w[:-1] + w[-1]) + b))
+    return out
+
+
+def plain_vote(v, names, machines):
+    prob = {}
+    for (p, q), f in machines.items():
+        prob[p, q] = f(v)
+        prob[q, p] = 1 - prob[p, q]
+    rank = {n: (sum(prob[n, o] >= 0.5 for o in names if o != n), sum(prob[n, o] for o in names if o != n)) for n in names}
+    best = max(names, key=rank.get)
+    return best, min((prob[best, o] for o in names if o != best), default=1.0)
+
+
+def test_languages_equal_a_refit(spark):
+    """Trigrams, sample, family step, machines and votes worked out anew, document by document."""
+    r = random.Random(6)
+    own = {"en": "the of that wh", "de": "der und ich ß", "fr": "le être ç eau", "es": "la ción ñ que", "zz": "qoph xx zyzzy ŋa"}
+    rows = [(i, " ".join(r.choice(WORDS) if r.random() < 0.6 else r.choice(own[k].split()) for _ in range(r.randint(5, 30))), k) for i in range(200) for k in [list(own)[i % 5]]]
+    rows += [(500, None, "en"), (501, "", "en"), (502, "12 !", None), (503, "É", None), (504, "the eau", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    text = {d: t or "" for d, t, _ in rows}
+    known = [(x.doc_id, x.lang) for x in docs.where("lang is not null and text is not null").orderBy(F.xxhash64("doc_id")).collect() if zlib.crc32(str(x.doc_id).encode()) % 5]
+    family = {k: f for f, ks in language.FAMILIES.items() for k in ks}
+    x = np.array([plain_trigrams(text[d]).astype(np.float32) for d, _ in known]).astype(np.float16).astype(np.float32)
+    lang = [k for _, k in known]
+    of = [family.get(k, k) for k in lang]
+    top = plain_machines(x, of)
+    below = {f: plain_machines(x[[g == f for g in of]], [k for k, g in zip(lang, of, strict=True) if g == f]) for f in set(of)}
+    got = {p.doc_id: (p.lang_pred, p.score) for p in language.predict(docs, language.train(docs)).collect()}
+    assert len(got) == len(rows)
+    for d, t in text.items():
+        if not any(c.isalpha() for c in t):
+            assert got[d] == ("und", 0.0)
+            continue
+        v = plain_trigrams(t).astype(np.float32)
+        f, p = plain_vote(v, sorted(set(of)), top)
+        best, q = plain_vote(v, sorted({k for k, g in zip(lang, of, strict=True) if g == f}), below[f])
+        assert got[d][0] == best and got[d][1] == pytest.approx(p * q, abs=1e-4), d
+
+
 # -- search, filters, fixity
 
 def test_top_k_equals_brute_force(spark):
@@ -525,6 +591,8 @@ def test_fixity_ranges_and_odd_tables(spark):
 
 
 def test_pipeline_stages(spark):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
 
     sf = "/root/testdata/sf0.001"
@@ -541,5 +609,17 @@ def test_pipeline_stages(spark):
     assert all(cut[d][3] == hashlib.sha256(t.encode()).hexdigest() or "�" in t for d, t in rows[3]) and {d for d, _ in rows[3]} == {d for d, _ in rows[2]}
     hit = brute_hits(dict(rows[3]), bench)
     assert {d for d, _ in rows[4]} == {d for d, (w, n, _) in hit.items() if not (n and 20 * n >= w)}
-    last = p.STAGES[4][1](spark, docs, sf).collect()
-    assert {r.doc_id for r in last} == {d for d, _ in rows[4]} and len({r.doc_id for r in p.run(spark, sf).collect()}) == len(last)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    score = {r.doc_id: r.score for r in quality.scores(spark.read.parquet(f"{sf}/documents.parquet"), quality.train(spark.read.parquet(f"{sf}/documents.parquet"), labels)).collect()}  # test_quality_equals_a_refit holds these scores
+    assert rows[1] and sorted(rows[1]) == sorted((d, t) for d, t in rows[0] if score[d] >= 0.3)
+    tok = Tokenizer.from_file(bpe.tokenizer_path())
+    tok.no_truncation()
+    tok.no_padding()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = set()
+    for d, t in rows[4]:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        want.add((d, len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
+    for last in (p.STAGES[4][1](spark, docs, sf), p.run(spark, sf)):
+        got = last.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
