@@ -486,10 +486,14 @@ def context_encoding_pad(spark, sf_dir, **kw):
     return ex.select("sample_id", "context_length", "future_length").join(enc, "sample_id")
 
 
-@query()
-def padded_batches(spark, sf_dir):
-    b = tensors.collate(_examples(spark, sf_dir), 8)
-    return b.select("batch_id", "sample_id", "context_length", "future_length", F.size("context_features").alias("kmax"), F.size("future_targets").alias("qmax"))
+@query(EX + f""", kk as (select sample_id, context_count_k k, future_query_count_q q, {H('sample_id', "'batch'")} % greatest(64, ceil(count(*) over () / 65536.0)::bigint) shard from s4 join c2 using (sample_id) join f2 using (sample_id)),
+bt as (select *, (row_number() over (partition by shard order by sample_id) - 1) // 8 number from kk)
+select shard || '-' || number batch_id, sample_id, k context_length, q future_length, (max(k) over w)::int kmax, (max(q) over w)::int qmax,
+ (select count(*) from cx where cx.sample_id = bt.sample_id) context_valid, (select count(*) from tg where tg.sample_id = bt.sample_id and tg.valid) target_valid from bt window w as (partition by shard, number)""")
+def padded_batches(spark, sf_dir, **kw):
+    b = tensors.collate(_examples(spark, sf_dir, **kw), 8)
+    valid = lambda c: F.size(F.filter(F.flatten(c), lambda x: x)).cast("long")
+    return b.select("batch_id", "sample_id", "context_length", "future_length", F.size("context_features").alias("kmax"), F.size("future_targets").alias("qmax"), valid("context_feature_mask").alias("context_valid"), valid("future_target_mask").alias("target_valid"))
 
 
 @query()
@@ -499,7 +503,7 @@ def mlp_forecast(spark, sf_dir):
     return baselines.mlp_forecast(train, test)
 
 
-for _name in ("sample_manifest", "sampler_summary", "manifest_violations", "validation_issues_all", "validation_checks", "manifest_diff", "persistence_forecast", "linear_trend_forecast", "baseline_metrics", "context_encoding_pad"):
+for _name in ("sample_manifest", "sampler_summary", "manifest_violations", "validation_issues_all", "validation_checks", "manifest_diff", "persistence_forecast", "linear_trend_forecast", "baseline_metrics", "context_encoding_pad", "padded_batches"):
     # over all anchors, beside the queries of three anchors a trajectory
     QUERIES[f"{_name.removesuffix('_all')}_whole"] = partial(QUERIES[_name], **WHOLE)
     ORACLE[f"{_name.removesuffix('_all')}_whole"] = _whole(ORACLE[_name])

@@ -86,6 +86,12 @@ def test_examples_batches_and_forecasts(snaps):
             assert all(v == 0.0 for v, ok in zip(x, k, strict=True) if not ok)
     b = tensors.collate(ex, 4).collect()
     assert len(b) == 6 and all(len(r.context_features) >= r.context_length and len(r.future_targets) >= r.future_length for r in b)
+    one = tensors.collate(ex, 4, shards=1).orderBy("batch_id", "sample_id").collect()
+    assert [r.batch_id for r in one] == ["0-0"] * 4 + ["0-1"] * 2 and [r.sample_id for r in one] == sorted(r.sample_id for r in one)
+    for batch in (one[:4], one[4:]):
+        assert {len(r.context_features) for r in batch} == {max(r.context_length for r in batch)} and {len(r.future_targets) for r in batch} == {max(r.future_length for r in batch)}
+    assert sorted(tensors.collate(ex.repartition(7), 4).collect(), key=lambda r: r.sample_id) == sorted(b, key=lambda r: r.sample_id)
+    assert tensors.collate(ex.limit(0), 4).count() == 0
     anchors = {r.sample_id: r.anchor_measurement_index for r in m.collect()}
     assert all(r.prediction == anchors[r.sample_id] or r.feature_index == 0 for r in baselines.persistence(ex).collect())
     t = baselines.target_long(ex).join(baselines.linear_trend(ex), ["sample_id", "query_pos", "feature_index"]).collect()
