@@ -144,3 +144,13 @@ def test_geometry_file(tmp_path):
         path.write_text(text, encoding="utf-8")
         with pytest.raises(ValueError, match="impossible"):
             eda.geometry(str(path))
+
+
+def test_grid_builds_no_pool_that_nobody_reads_and_sorts_bare_rows(spark):
+    s = snapshots(spark, [("Bearing1_1", i, (i - 1) * 60.0) for i in range(1, 61)])
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    m = sensitivity.prepare(s, splits=("train",), anchor_cap=2)
+    assert "collect_list" not in text(m.select("sample_id", "context_count_k", "future_query_count_q"))
+    lines = text(m).splitlines()
+    wide, ranked = (next(n for n, line in enumerate(lines) if "Window" in line and x in line) for x in ("collect_list", "_r30"))
+    assert wide < ranked and not any("Join" in line or "Sort" in line for line in lines[:wide])
