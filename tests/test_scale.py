@@ -154,3 +154,13 @@ def test_grid_builds_no_pool_that_nobody_reads_and_sorts_bare_rows(spark):
     lines = text(m).splitlines()
     wide, ranked = (next(n for n, line in enumerate(lines) if "Window" in line and x in line) for x in ("collect_list", "_r30"))
     assert wide < ranked and not any("Join" in line or "Sort" in line for line in lines[:wide])
+
+
+def test_missing_predictions_made_in_place_are_those_of_the_join_in_one_pass(spark):
+    s = snapshots(spark, [("Bearing1_1", i, (i - 1) * 60.0) for i in range(1, 61)])
+    m = sensitivity.prepare(s, splits=("train",), regimes=("dense", "sparse_5"), anchor_cap=3)
+    models = F.array_compact(F.array(F.when(F.substring("sample_id", 1, 1) > "5", F.lit("a")), F.lit("b")))
+    got = sensitivity.missing_attached(m, models)
+    want = sensitivity.missing_predictions(m, m.select("sample_id", F.explode(models).alias("model")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and len(got.collect()) == 2
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
