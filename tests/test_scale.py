@@ -164,3 +164,37 @@ def test_missing_predictions_made_in_place_are_those_of_the_join_in_one_pass(spa
     want = sensitivity.missing_predictions(m, m.select("sample_id", F.explode(models).alias("model")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and len(got.collect()) == 2
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_models_called_in_place_give_the_metrics_of_joined_predictions(spark):
+    s = snapshots(spark, [(f"Bearing1_{b}", i, (i - 1) * 60.0) for b in (1, 2) for i in range(1, 51) if i % (b + 4)])
+    s = s.withColumns({"feature_vector": F.transform("feature_vector", lambda v, i: (F.sin(v * (i + 1)) * 3).cast("float")), "feature_valid_mask": F.transform("feature_valid_mask", lambda m, i: (i + F.col("measurement_index")) % 3 != 0)})
+
+    def point(ids, size):
+        number = np.repeat([int(x[:2], 16) / 64 for x in ids.to_pylist()], size)[:, None]
+        return np.array([x[0] not in "01" for x in ids.to_pylist()]), number.repeat(DIMENSION, axis=1), None
+
+    def drawn(ids, size):
+        return np.ones(len(ids), bool), None, point(ids, size)[1] + np.arange(5)[:, None, None] / 2 - 1
+
+    n, one = F.conv(F.substring("sample_id", 1, 2), 16, 10).cast("double") / 64, lambda v: F.array_repeat(F.array_repeat(v, DIMENSION), F.col("future_query_count_q"))
+    for cap in (None, 2):
+        args = {"splits": ("train",), "regimes": ("dense", "sparse_5"), "seed": 3, "anchor_cap": cap}
+        m = sensitivity.prepare(s, **args).cache()
+        none = F.lit(None).cast("array<array<array<double>>>")
+        pred = m.where("substring(sample_id, 1, 1) not in ('0', '1')").select(F.lit("a").alias("model"), "sample_id", one(n).alias("predicted_features"), none.alias("prediction_samples"))
+        pred = pred.union(m.select(F.lit("b"), "sample_id", F.lit(None), F.array(*[one(n + i / 2 - 1) for i in range(5)])))
+        want = sensitivity.evaluate(m, s, pred)
+        got = sensitivity.evaluate_in_place(s, {"a": point, "b": drawn}, **args)
+        key = lambda df: sorted((tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in df.select(sorted(want.columns)).collect()), key=repr)
+        assert key(got) == key(want) and got.count() > 100
+        assert "sample_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for wrong in (lambda ids, size: (np.ones(len(ids), bool), np.zeros((1, 2)), None), lambda ids, size: (np.ones(len(ids), bool), np.full((size.sum(), DIMENSION), np.nan), None), lambda ids, size: (np.ones(len(ids), bool), None, None)):
+        with pytest.raises(Exception, match="another shape|neither"):
+            sensitivity.evaluate_in_place(s, {"a": wrong}, splits=("train",)).collect()
+
+
+def test_sums_of_errors_are_exact_at_any_size():
+    at = np.array([0, 1, 0, 1, 0])
+    for v in ([1.0, 2.0**52, 3.0, 5.0, 2.0**33 - 1], [2.0**100, 1.0, 2.0**90, 7.0, 4096.0]):
+        assert sensitivity._totals(np.array(v), at, 2) == [int(v[0]) + int(v[2]) + int(v[4]), int(v[1]) + int(v[3])]
