@@ -180,3 +180,11 @@ def test_neural_baseline_without_rows_or_networks(snaps):
     assert baselines.mlp_forecast(ex, ex.limit(0)).count() == 0
     got, last = ({(r.sample_id, r.query_pos, r.feature_index): r.prediction for r in p.collect()} for p in (baselines.mlp_forecast(ex.limit(0), ex), baselines.persistence(ex)))
     assert got == last
+
+
+def test_forecast_query_reads_waveforms_once(spark, monkeypatch):
+    from spindle.plans import catalog
+
+    monkeypatch.setattr(catalog.baselines, "mlp_forecast", lambda train, test: (train, test))
+    for ex in catalog.QUERIES["mlp_forecast"](spark, "/root/testdata/sf0.001"):
+        assert "_wave(" not in ex._jdf.queryExecution().optimizedPlan().toString() and ex.count() > 0
