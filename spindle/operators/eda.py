@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.functions.signal import fft_summary, interpolate_on, time_features
+from spindle.functions.signal import fft_summary, interpolate_on, spectrum_on, time_features
 from spindle.operators.windows import lifecycle_anchors
 from spindle.schemas import BANDS_HZ, MEASUREMENT, SPECTRAL_FEATURES, TRAJECTORY
 
@@ -60,11 +60,15 @@ def fft_rows(obs: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
 
     Anchors are places among the manifest's indices that were parsed; without a manifest, among those observed.
     """
+    made = _at_anchors(obs, manifest).withColumn("s", fft_summary("vibration_signal", "sampling_rate_hz")).drop("vibration_signal")
+    return made.withColumn("fraction", F.explode("fractions")).select(*MEASUREMENT, "channel_id", "fraction", "elapsed_time_sec", "rotational_speed_rpm", "sampling_rate_hz", "s.*")
+
+
+def _at_anchors(obs: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """The observations that an anchor asks for, with its fractions."""
     seen = obs if manifest is None else manifest.where("parse_status = 'ok' and measurement_index is not null").crossJoin(obs.select("dataset_name").limit(1))
     anchors = lifecycle_anchors(seen.select(*MEASUREMENT), TRAJECTORY)
-    hit = obs.join(anchors.groupBy(*MEASUREMENT).agg(F.collect_list("fraction").alias("fractions")), MEASUREMENT)
-    made = hit.withColumn("s", fft_summary("vibration_signal", "sampling_rate_hz")).drop("vibration_signal")
-    return made.withColumn("fraction", F.explode("fractions")).select(*MEASUREMENT, "channel_id", "fraction", "elapsed_time_sec", "rotational_speed_rpm", "sampling_rate_hz", "s.*")
+    return obs.join(anchors.groupBy(*MEASUREMENT).agg(F.collect_list("fraction").alias("fractions")), MEASUREMENT)
 
 
 def fft_report(fft: DataFrame, meta: DataFrame, geo: dict | None) -> DataFrame:
@@ -80,7 +84,17 @@ def fft_report(fft: DataFrame, meta: DataFrame, geo: dict | None) -> DataFrame:
 
 def median_spectrum_db(fft: DataFrame, points: int = 512, top_hz: float = 12_800.0) -> DataFrame:
     """Median over bearings of the interpolated spectra, in dB, by channel, fraction and grid point."""
-    rows = fft.withColumn("g", interpolate_on(points, top_hz)("frequencies_hz", "magnitudes")).select("channel_id", "fraction", F.posexplode("g").alias("point", "m"))
+    return _medians(fft.select("channel_id", "fraction", interpolate_on(points, top_hz)("frequencies_hz", "magnitudes").alias("g")))
+
+
+def median_spectrum_of(obs: DataFrame, points: int = 512, top_hz: float = 12_800.0) -> DataFrame:
+    """`median_spectrum_db` of `fft_rows`, where nothing else is made of the spectra: one worker of Python for each task, to which waveforms go once."""
+    made = _at_anchors(obs).select("channel_id", "fractions", spectrum_on(points, top_hz)("vibration_signal", "sampling_rate_hz").alias("g"))
+    return _medians(made.select("channel_id", F.explode("fractions").alias("fraction"), "g"))
+
+
+def _medians(spectra: DataFrame) -> DataFrame:
+    rows = spectra.select("channel_id", "fraction", F.posexplode("g").alias("point", "m"))
     return rows.groupBy("channel_id", "fraction", "point").agg((20 * F.log10(F.median("m") + 1e-12)).alias("median_db"))
 
 

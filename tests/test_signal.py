@@ -78,3 +78,15 @@ def test_identifiers_equal_hashlib(spark):
         h = hashlib.sha256(f"a|{r.i}".encode())
         assert r.s == int.from_bytes(h.digest()[:8], "little") & (2**63 - 1) and r.d == h.hexdigest()[:24]
         assert r.n == int.from_bytes(hashlib.sha256(f'["a",{r.i}]'.encode()).digest()[:8], "big") % (2**63 - 1)
+
+
+def test_median_spectra_take_one_python_step(spark):
+    from spindle.operators import eda
+    from spindle.sources.driver_tables import waves
+
+    w = waves(spark, "/root/testdata/sf0.001")
+    got, want = eda.median_spectrum_of(w), eda.median_spectrum_db(eda.fft_rows(w))
+    steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    assert steps(got) < steps(want)
+    key = lambda df: {tuple(r[:3]): r[3] for r in df.select("channel_id", "fraction", "point", "median_db").collect()}
+    assert key(got) == key(want)
