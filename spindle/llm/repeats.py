@@ -11,7 +11,7 @@ One suffix array of all texts would need every suffix of the corpus in one order
 2. Partitions of 32-bit fingerprints of minimisers say which of them more than one document holds. A block of documents
    sends each minimiser once, whatever the number of its documents, so that a hot one counts once for each block.
    Only runs of such minimisers go on (a fingerprint that collides costs work and changes nothing).
-3. Runs, sent as their bytes alone, meet by minimiser. Runs with equal bytes are a class, whose least document is its first copy: in other documents they go whole.
+3. Runs, sent as their bytes alone (compressed, as texts are where they meet what is asked of them), meet by minimiser. Runs with equal bytes are a class, whose least document is its first copy: in other documents they go whole.
    Where a minimiser has several classes (passages that end, or differ nearby), their suffixes are sorted by
    prefix doubling up to `LENGTH` bytes. In suffix order, the previous and the next position of a smaller document give a
    suffix's longest previous factor: the greater of its common prefixes with the two (counted up to `LENGTH`).
@@ -36,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import SALT, documents, fresh, lean, lean_group, mix, powers, raw, slices, table, written
+from spindle.llm.common import SALT, documents, dropped, fresh, lean, lean_group, mix, powers, raw, slices, table, written
 
 LENGTH = 50
 GRAM = 18
@@ -159,6 +159,35 @@ def _bucket(doc: np.ndarray, parts: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % _U(parts)).astype(np.int32)
 
 
+def _squeezed(body) -> bytes:
+    """Bytes as they are shuffled: prose takes two thirds of what Spark's own compression leaves."""
+    return pa.compress(body, "zstd", asbytes=True) if len(body) else b""
+
+
+def _whole(body: pa.Buffer, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(body, int(size), "zstd") if size else b"", np.uint8)
+
+
+SQUEEZED_DDL = "doc_id long, text binary, size int"
+
+
+def _squeezed_texts(batches):
+    """doc_id, the compressed text and its size."""
+    for batch in batches:
+        text = [x.as_buffer() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_squeezed(x) for x in text], pa.binary()), pa.array([len(x) for x in text], pa.int32())], names=["doc_id", "text", "size"])
+
+
+def _whole_texts(batches):
+    """The batches (doc_id, text, size, and more) with whole texts and without size, a slice of texts each."""
+    for batch in batches:
+        size = batch.column(2).to_numpy()
+        for lo, hi in slices(np.concatenate(([0], np.cumsum(size, dtype=np.int64)))):
+            part = batch.slice(lo, hi - lo)
+            text = [_whole(x.as_buffer(), n).tobytes() for x, n in zip(part.column(1), size[lo:hi], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.binary()), *part.columns[3:]], names=["doc_id", "text", *part.schema.names[3:]])
+
+
 def _packed(doc: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted documents as distinct ones with their counts."""
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
@@ -271,7 +300,23 @@ def _hot(doc: np.ndarray, key: np.ndarray, lists: list[bytes]) -> np.ndarray:
 
 
 def _runs(batches, parts: int, length: int = LENGTH):
-    """The runs that go on, by part: m, h (of the run's bytes), document, first byte, bytes; later copies in the block are sure to go."""
+    """The runs that go on, by part: m, h (of the run's bytes), document, first byte, bytes; later copies in the block are sure to go.
+
+    A block ends at BLOCK_BYTES of texts or of runs: the more parts, the more runs a row needs to be worth its columns.
+    """
+    block, size, moved = [], 0, 0
+    for one in _asked_runs(batches, parts, length):
+        block.append(one)
+        size, moved = size + len(one[0]), moved + int((one[2] - one[1]).sum())
+        if max(size, moved) >= BLOCK_BYTES:
+            yield _run_rows(block, parts)
+            block, size, moved = [], 0, 0
+    if block:
+        yield _run_rows(block, parts)
+
+
+def _asked_runs(batches, parts: int, length: int):
+    """Of each slice of texts: its bytes, and the start, end, place in the document, document, h, key and kind of the runs that go on."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         data, off = raw(batch.column(1))
@@ -293,22 +338,27 @@ def _runs(batches, parts: int, length: int = LENGTH):
             h = _hash(total, s, e)
             kind = np.repeat(np.array([RUNS, WINDOWS]), [cold.sum(), k.sum()])
             key = np.where(kind == RUNS, np.concatenate((m[cold], h[cold.sum() :])), h)
-            own = ids[lo + d]
-            order = np.lexsort((own, h, key, kind))
-            d, s, e, h, key, own, kind = (x[order] for x in (d, s, e, h, key, own, kind))
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
-            kind[own > own[_heads(new, text, s, e - s)]] = SURE
-            part = np.where(kind == SURE, _bucket(own, parts), key % _U(parts)).astype(np.int64)
-            order = np.lexsort((s, own, kind, part))
-            d, s, e, own, kind, part = (x[order] for x in (d, s, e, own, kind, part))
-            out: list[list] = [[] for _ in _RUN]
-            for p, a, b in _bins(part * 4 + kind):
-                size = (e[a:b] - s[a:b]).astype(np.int32)
-                body = b"" if p % 4 == SURE else text[_spread(s[a:b], size)].tobytes()
-                row = (p // 4, p % 4, *_packed(own[a:b]), (s[a:b] - at[d[a:b]]).astype(np.int32).tobytes(), size.tobytes(), body)
-                for col, v in zip(out, row, strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _RUN, strict=True)], schema=_RUN)
+            yield text, s, e, s - at[d], ids[lo + d], h, key, kind
+
+
+def _run_rows(block: list, parts: int) -> pa.RecordBatch:
+    text = np.concatenate([x[0] for x in block])
+    base = np.repeat(np.cumsum([0, *(len(x[0]) for x in block[:-1])]), [len(x[1]) for x in block])
+    s, e, place, own, h, key, kind = (np.concatenate(x) for x in list(zip(*block, strict=True))[1:])
+    order = np.lexsort((own, h, key, kind))
+    s, e, place, own, h, key, kind = (x[order] for x in (s + base, e + base, place, own, h, key, kind))
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
+    kind[own > own[_heads(new, text, s, e - s)]] = SURE
+    part = np.where(kind == SURE, _bucket(own, parts), key % _U(parts)).astype(np.int64)
+    order = np.lexsort((place, own, kind, part))
+    s, e, place, own, kind, part = (x[order] for x in (s, e, place, own, kind, part))
+    out: list[list] = [[] for _ in _RUN]
+    for p, a, b in _bins(part * 4 + kind):
+        size = (e[a:b] - s[a:b]).astype(np.int32)
+        body = b"" if p % 4 == SURE else _squeezed(text[_spread(s[a:b], size)])
+        for col, v in zip(out, (p // 4, p % 4, *_packed(own[a:b]), place[a:b].astype(np.int32).tobytes(), size.tobytes(), body), strict=True):
+            col.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _RUN, strict=True)], schema=_RUN)
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -443,7 +493,7 @@ def _factors(group: pa.Table, parts: int, length: int = LENGTH) -> pa.Table:
         if kind == SURE:
             found.append((doc, start, start + size))
         elif len(doc):
-            body = _column(rows, "bytes", np.uint8)
+            body = np.concatenate([_whole(x.as_buffer(), np.frombuffer(k.as_buffer(), np.int32).sum()) for x, k in zip(rows.column("bytes"), rows.column("size"), strict=True)])
             del rows
             begin = np.cumsum(size) - size
             m, h = _least_gram(body, begin, size)
@@ -518,16 +568,21 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, starts, ends: the bytes that go, as merged spans, of each document that loses some. docs: doc_id, text."""
+    """doc_id, starts, ends: the bytes that go, as merged spans, of each document that loses some. docs: doc_id, text. A written table.
+
+    What blocks ask for is written too, so that the files of all minimisers are gone before texts and runs are shuffled.
+    """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("length(text) >= %d" % LENGTH)
     size = text.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     asked = text.mapInArrow(lean(lambda b: _seeds(b, parts)), SEED_DDL).repartition(parts, "part").groupBy("part").applyInArrow(lean_group(lambda t: _repeated(t, parts)), ASK_DDL)
-    asked = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lean_group(_asked), ASKED_DDL)
-    runs = text.join(asked, "doc_id").select("doc_id", "text", "fp", "hot").mapInArrow(lean(lambda b: _runs(b, parts)), RUN_DDL)
+    asked = written(asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lean_group(_asked), ASKED_DDL), "asked")
+    runs = text.mapInArrow(lean(_squeezed_texts), SQUEEZED_DDL).join(asked, "doc_id").select("doc_id", "text", "size", "fp", "hot").mapInArrow(lean(lambda b: _runs(_whole_texts(b), parts)), RUN_DDL)
     cuts = runs.repartition(parts, "part").groupBy("part").applyInArrow(lean_group(lambda t: _factors(t, parts)), CUT_DDL)
-    return cuts.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lean_group(_spans), SPAN_DDL)
+    spans = written(cuts.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lean_group(_spans), SPAN_DDL), "spans")
+    dropped(asked)
+    return spans
 
 
 def _kept_bytes(text: bytes, starts, ends) -> bytes:
@@ -538,8 +593,7 @@ def _kept_bytes(text: bytes, starts, ends) -> bytes:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, str, str]:
-    """docs with two more columns, starts and ends (null where nothing goes), and their names; the spans are broadcast if their counted size is small."""
-    spans = written(spans, "spans")
+    """docs with two more columns, starts and ends (null where nothing goes), and their names; the written spans are broadcast if their counted size is small."""
     size = spans.agg(F.sum(16 * F.size("starts") + 40)).first()[0] or 0
     key, starts, ends = (fresh(docs, x) for x in ("_span_id", "_starts", "_ends"))
     spans = spans.toDF(key, starts, ends)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindle.llm import bpe, decontaminate, fixity, graph, hamming, language, linear, minhash, quality, repeats, unigram, urls
-from spindle.llm.common import mix
+from spindle.llm.common import _CLEANUP_CONF, SLICE_BYTES, mix, raw, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words long"
 RND = random.Random(4)
@@ -107,6 +107,61 @@ def test_repeats_hot_blocks_reach_every_document(hot, monkeypatch):
     assert got == want
 
 
+def test_repeats_rows_hold_runs_of_whole_blocks():
+    """What runs take on disk: a row for each part and kind of a block, not of each slice, and its bytes compressed."""
+    shared, parts = [prose(3000, 300 + i) for i in range(20)], 60
+    texts = {i: shared[i % 20] + " " + prose(3000, 400 + i) for i in range(60)}
+    assert 2 * SLICE_BYTES < sum(len(t) for t in texts.values()) < repeats.BLOCK_BYTES
+    text = pa.array([t.encode() for t in texts.values()])
+    data, off = raw(text)
+    doc, _, _, m = repeats.minimisers(data, off, repeats._prefix(data))
+    fp = pa.array([np.unique(repeats._fingerprint(m[doc == i], parts)).tobytes() for i in range(60)], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), text, fp, pa.array([b""] * 60, pa.binary())], names=["doc_id", "text", "fp", "hot"])
+    rows = [x for b in repeats._runs([batch], parts) for x in b.to_pylist()]
+    assert len({(x["part"], x["kind"]) for x in rows}) == len(rows)
+    whole = sum(int(np.frombuffer(x["size"], np.int32).sum()) for x in rows if x["kind"] != repeats.SURE)
+    assert whole and sum(len(x["bytes"]) for x in rows) < 0.6 * whole
+    assert {x["kind"] for x in rows} == {repeats.RUNS, repeats.SURE}
+
+
+def test_repeats_texts_travel_compressed():
+    rows = [(1, prose(400, 1)), (2, "é" * 60), (3, "x" * 49), (4, ""), (5, prose(200_000, 2)), (6, "\0" * 70)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([t.encode() for _, t in rows])], names=["doc_id", "text"])
+    (sent,) = repeats._squeezed_texts([batch])
+    assert sum(len(x) for x in sent.column(1).to_pylist()) < 0.6 * sum(len(t.encode()) for _, t in rows)
+    more = pa.RecordBatch.from_arrays([*sent.columns, pa.array([bytes([d]) for d, _ in rows])], names=["doc_id", "text", "size", "fp"])
+    got = [x for b in repeats._whole_texts([more.slice(1), more.slice(0, 1)]) for x in b.to_pylist()]
+    assert got == [{"doc_id": d, "text": t.encode(), "fp": bytes([d])} for d, t in [*rows[1:], rows[0]]]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    jvm = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = jvm.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, conf = shuffled(), spark.conf.get(_CLEANUP_CONF, None)
+    rows = spark.range(1000).repartition(4, "id")
+    got = written(rows.groupBy((F.col("id") % 10).alias("k")).applyInArrow(lambda t: t.slice(0, 1), "id long"), "test")
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.5)
+    assert not left and got.count() == 10 and spark.conf.get(_CLEANUP_CONF, None) == conf
+    assert rows.groupBy().count().first()[0] == 1000  # what is read again is worked out again
+
+
+def test_repeats_keep_spans_alone(docs):
+    from spindle.llm import common
+
+    before = set(common._tables)
+    out = repeats.removal(docs)
+    assert [x.rpartition("/")[2].partition("-")[0] for x in common._tables - before] == ["spans"]
+    assert out.count() == len(texts())
+
+
 def test_repeats_cut_keeps_columns(docs):
     odd = docs.where("doc_id in (0, 1, 2, 12)").dropDuplicates().withColumns({c: F.lit(c) for c in ("starts", "ends", "_starts", "_ends", "_span_id", "bucket")})
     out = repeats.without_repeats(odd)
