@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spindle.llm import bpe, decontaminate, minhash, quality, repeats
-from spindle.llm.common import documents, table, written
+from spindle.llm.common import documents, dropped, table, written_alone
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each but the last is written and read again."""
+    """All stages over the table documents; each but the last is written and read again. Tables go once the next stage is written."""
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before = docs
         if n < len(STAGES) - 1:
-            docs = written(docs, f"stage{n}")
+            docs = written_alone(lambda: stage(spark, before, sf_dir), f"stage{n}")  # noqa: B023
+            dropped(before)
+        else:
+            docs = stage(spark, before, sf_dir)
     return docs

@@ -366,8 +366,7 @@ def _joined(frames):
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without those that are contaminated; all columns stay."""
     docs = documents(docs)
-    spans = contaminated_spans(docs, items, width)
-    return without(docs, spans.where(_hit() & (PARTS * _n_hit() >= F.col("n_words"))).select("doc_id"))
+    return without(docs, lambda: contaminated_spans(docs, items, width).where(_hit() & (PARTS * _n_hit() >= F.col("n_words"))).select("doc_id"))
 
 
 def without_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_words: int = 0, max_share: float = 0.0) -> DataFrame:

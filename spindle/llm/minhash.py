@@ -371,7 +371,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARIT
 def first_of_each(docs: DataFrame, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id; all columns stay."""
     docs = documents(docs)
-    return without(docs, near_duplicates(docs, width, similarity).where("doc_id <> component_id").select("doc_id"))
+    return without(docs, lambda: near_duplicates(docs, width, similarity).where("doc_id <> component_id").select("doc_id"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,7 +169,7 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     """The documents that the classifier keeps, all columns as they were."""
     docs = documents(docs)
     bad = scores(docs, train(docs, labels)).where(F.col("score") < threshold).select("doc_id")
-    return without(docs, bad)
+    return without(docs, lambda: bad)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

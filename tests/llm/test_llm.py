@@ -645,6 +645,21 @@ def test_fixity_ranges_and_odd_tables(spark):
     assert [x.node for x in moved.collect() if x.hash != old[x.node]] == [3]  # ranges are relative: later nodes keep their hashes
 
 
+def test_pipeline_keeps_no_tables_of_former_stages(spark):
+    import corpus_pipeline as p
+    from spindle.llm import common
+
+    sf = "/root/testdata/sf0.001"
+    names = lambda before: sorted(x.rpartition("/")[2].partition("-")[0] for x in common._tables - before)
+    docs, before = spark.read.parquet(f"{sf}/documents.parquet"), set(common._tables)
+    p.near_dedup(spark, docs, sf)
+    assert names(before) == ["gone"]  # what is gone has been worked out, its links and signatures aren't read again
+    before = set(common._tables)
+    out = p.run(spark, sf)
+    assert names(before) == ["stage3"]
+    assert out.count() > 0
+
+
 def test_pipeline_stages(spark):
     from tokenizers import Tokenizer
 
